@@ -36,9 +36,10 @@ def jaccard_pairs(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> Data
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     size = F.size("w")
     grams = F.when(size >= shingle, F.transform(F.sequence(F.lit(1), F.greatest(size - shingle + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(shingle)), " ")))).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
-    sets = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0).select("doc_id", F.array_sort(F.array_distinct(grams)).alias("s"))
+    sets = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0).select("doc_id", F.sort_array(F.array_distinct(grams)).alias("s"))
     sets = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"))
-    each = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("g"))
+    # The outer form, as a filter on the array that explode implies would be pushed below and evaluate the shingles anew.
+    each = sets.select("doc_id", F.size("s").alias("n"), F.explode_outer("s").alias("g"))
     df = each.groupBy("g").agg(F.count("*").alias("df"))
     ranked = each.join(df.where("df > 1"), "g", "left").select("doc_id", "n", "g", F.coalesce("df", F.lit(1)).alias("df"))
     order = Window.partitionBy("doc_id").orderBy("df", "g")

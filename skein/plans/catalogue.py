@@ -19,6 +19,7 @@ from ..operators import spans as S
 from ..sources import exports as X
 from ..sources import tables as B
 from ..sources.tables import table
+from ..streaming import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -349,9 +350,10 @@ def quotes(spark, sf_dir):
 f AS (SELECT o_orderkey, 'iso_day' AS family, unnest(regexp_extract_all(t, '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1)) AS x FROM o
   UNION ALL SELECT o_orderkey, 'iso_month', unnest(regexp_extract_all(t, '\b(\d{{4}}-\d{{2}})\b', 1)) FROM o
   UNION ALL SELECT o_orderkey, 'year', unnest(regexp_extract_all(t, '\b(\d{{4}})\b', 1)) FROM o
+  UNION ALL SELECT o_orderkey, 'about_year', unnest(regexp_extract_all(t, '(?:on|in|at|during|by)\s+(\d{{4}})\b', 1)) FROM o
   UNION ALL SELECT o_orderkey, 'month_year', unnest(regexp_extract_all(t, '((?:{"|".join(D.MONTHS)})\s+\d{{4}})\b', 1)) FROM o)
-SELECT o_orderkey, family, CASE family WHEN 'month_year' THEN 'month' WHEN 'iso_month' THEN 'month' WHEN 'year' THEN 'year' ELSE 'day' END AS precision, x AS expression,
-  CASE family WHEN 'iso_day' THEN x WHEN 'iso_month' THEN x || '-01' WHEN 'year' THEN x || '-01-01' ELSE strftime(strptime(x, '%B %Y'), '%Y-%m-01') END AS normalized FROM f""")
+SELECT o_orderkey, family, CASE family WHEN 'month_year' THEN 'month' WHEN 'iso_month' THEN 'month' WHEN 'year' THEN 'year' WHEN 'about_year' THEN 'approximate' ELSE 'day' END AS precision, x AS expression,
+  CASE family WHEN 'iso_day' THEN x WHEN 'iso_month' THEN x || '-01' WHEN 'year' THEN x || '-01-01' WHEN 'about_year' THEN NULL ELSE strftime(try_strptime(x, '%B %Y'), '%Y-%m-01') END AS normalized FROM f""")
 def time_expressions(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Signed on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(", due in "), F.date_format("o_orderdate", "MMMM yyyy"), F.lit(".")).alias("t"))
     found = rows.select("o_orderkey", F.explode(D.time_expressions(F.col("t"))).alias("e")).select("o_orderkey", "e.*")
@@ -663,3 +665,16 @@ def graph_hash(spark, sf_dir):
 @query()
 def entity_pages(spark, sf_dir):
     return X.entity_pages(B.triples(spark, sf_dir).where("pred <> 'bought'"), B.entities(spark, sf_dir))
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def stream_windows(spark, sf_dir):
+    return J.run_window_counts(spark, f"{sf_dir}/events.parquet")
+
+
+@query()
+def token_bucket(spark, sf_dir):
+    return J.run_token_bucket(spark, f"{sf_dir}/events.parquet")
