@@ -142,6 +142,7 @@ def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]
 def plan(fps: DataFrame, distance: int = DISTANCE) -> list[tuple[int, list[int], int]]:
     """(mask, bits, threshold) of the partitions to probe, for two or three partitions, whichever costs less."""
     n, both = bit_counts(fps)
+    n = max(n, 1)  # of an empty table too, an index of few rows is the better one
     sample = np.array([r["fp"] for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64)
     options = []
     for m in (2, 3):
