@@ -15,9 +15,10 @@ def mentions(docs: DataFrame) -> DataFrame:
     return rows.where(~T.is_blocked(F.col("surface")))
 
 
-def mention_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, ord, surface, start, end in code points: the gaps between matches give the offsets, all in the JVM."""
-    pieces = docs.select("doc_id", T.names(F.col("text")).alias("m"), F.split("text", T.NAME).alias("gap"))
+def mention_spans(docs: DataFrame, pattern: str = T.NAME) -> DataFrame:
+    """doc_id, ord, surface, start, end in code points of the matches of a pattern (one group, the whole match): the gaps
+    between matches give the offsets, all in the JVM."""
+    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("m"), F.split("text", pattern).alias("gap"))
     lengths = F.transform(F.arrays_zip("gap", "m"), lambda x: F.struct(F.length(x["gap"]).alias("g"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("n")))
     # Running ends by one pass over the array.
     ends = F.aggregate(
@@ -65,6 +66,18 @@ def salience(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return scored.select("doc_id", "key", "n", "total", F.when(size > 1, F.round(100.0 * rank / (size - 1))).otherwise(0.0).cast("int").alias("percentile"))
 
 
+def resolve_pronouns(docs: DataFrame, pattern: str = r"(\bhe\b)", reach: int = 500) -> DataFrame:
+    """doc_id, start, antecedent: each match of the pattern with the last name that begins before it, not more than
+    ``reach`` characters away; null where there is none."""
+    from .spans import asof_previous
+
+    names = mention_spans(docs).where(~T.is_blocked(F.col("surface"))).select("doc_id", "start", F.struct("start", "surface").alias("name"))
+    pronouns = mention_spans(docs, pattern).select("doc_id", "start")
+    found = asof_previous(pronouns, names, ["doc_id"], "start", "name")
+    near = F.when(F.col("start") - F.col("previous_name.start") <= reach, F.col("previous_name.surface"))
+    return found.select("doc_id", "start", near.alias("antecedent"))
+
+
 def cooccurrence(found: DataFrame, min_count: int = 2, max_df: int = 50) -> DataFrame:
     """Pairs of names that share at least ``min_count`` documents. Names of more than ``max_df`` documents say nothing and
     would pair with everything; they take no part (a documented definition, not a sample)."""

@@ -152,3 +152,28 @@ def test_predicate_filter_reaches_the_scan(spark, tmp_path):
     df = relations.query(tables.triples(spark, "/root/testdata/sf0.001"), tables.entities(spark, "/root/testdata/sf0.001"), pred="part_of")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and plan.count("Relation") == 1  # the other branches are pruned
+
+
+def test_codec_round_trip():
+    from hypothesis import given
+    from hypothesis import strategies as st
+
+    from skein.functions import codec
+
+    @given(st.lists(st.integers(0, 2**63), max_size=8))
+    def round_trip(values):
+        data = b"".join(map(codec.varint, values))
+        assert codec.read_varints(codec.from_base62(codec.base62(data))) == values
+
+    round_trip()
+    with pytest.raises(ValueError):
+        codec.read_varints(b"\x80")
+
+
+def test_approve_adds_both_ways_once(spark):
+    from skein.operators import review
+
+    items = spark.createDataFrame([("a", "ally_of", "b", 0.5, "approved"), ("b", "ally_of", "a", 0.6, "approved"), ("c", "p", "d", 1.0, "pending"), ("x", "p", "y", 1.0, "approved")], "subj string, pred string, obj string, confidence double, status string")
+    known = spark.createDataFrame([("x", "p", "y")], "subj string, pred string, obj string")
+    got = review.approve(items, known, ["ally_of"]).collect()
+    assert sorted((r.subj, r.obj, r.confidence) for r in got) == [("a", "b", 0.6), ("b", "a", 0.6)]
