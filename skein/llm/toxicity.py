@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import held_out, slices
 
 #: Labelled documents of each class that the model is fitted on, at most.
-TRAIN = 1500
+TRAIN = 800
 BUCKETS = 1 << 16
 #: A sequence ends with a sentence or after this many words.
 LONGEST = 128
@@ -116,15 +116,16 @@ def tag_families(docs: list[list[str]], toxic: list[bool]) -> set[str]:
                 seen.update(fs)
         clean_df.update(seen)
     n_toxic, n_clean = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
+    del words_of
     least = max(3.0, 0.01 * n_toxic)
     ratio = n_toxic / n_clean
     weight = np.ones(len(docs))
     holders = {f: h for f, h in holders.items() if len(h) - 3 * ratio * clean_df[f] >= least and len(h) >= 0.8 * (len(h) + ratio * clean_df[f])}
+    has = {w: [f for f in fs if f in holders] for w, fs in has.items() if w in owners}
     by_family = defaultdict(list)
     for w in owners:
         for f in has[w]:
-            if f in holders:
-                by_family[f].append(w)
+            by_family[f].append(w)
     chosen: set[str] = set()
     while holders:
         gain = {f: sum(weight[i] for i in h) - 3 * ratio * clean_df[f] for f, h in holders.items()}
@@ -249,7 +250,10 @@ def fit(docs: list[tuple[str, int]], rounds: int = 60, seed: int = 0) -> Model:
     first = np.cumsum(length) - length
     inner = np.setdiff1d(np.arange(len(word)), first + length - 1, assume_unique=True)
 
-    features = [hashed(families(c)) for c in vocabulary]
+    used, word = np.unique(word, return_inverse=True)
+    spelled = list(vocabulary)
+    features = [hashed(families(spelled[k])) for k in used]
+    del vocabulary, spelled, ids, tags, marked
     of_word = np.repeat(np.arange(len(features)), [len(f) for f in features])
     feature = np.array([f for fs in features for f in fs], np.int64)
     counts = np.zeros((2, 2))
