@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to the per-batch code in slices of about this many bytes, which bounds a Python worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,3 +69,10 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
 def held_out(doc_id, mod: int, remainder: int):
     """True where crc32 of doc_id's decimal text leaves that remainder; a null doc_id counts as not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == remainder, F.lit(False))
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next free one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(spare)}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import byte_characters, slices
 
 #: Code points in one chunk of the prefix scan.
 CHUNK = 512
@@ -143,7 +143,7 @@ class Counter:
     def __init__(self, path: str):
         model = json.loads(open(path, encoding="utf-8").read())
         self.specials = [t["content"] for t in model["added_tokens"]]
-        byte_of = {c: b for b, c in _byte_characters().items()}
+        byte_of = {c: b for b, c in byte_characters().items()}
         raw = lambda t: bytes(byte_of[c] for c in t)
         # Tokens are numbered by the order in which they arise: bytes first, then one for each merge.
         self.tokens = {bytes([b]): b for b in range(256)}
@@ -261,13 +261,6 @@ class Counter:
         return out
 
 
-def _byte_characters() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next free one from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = (b for b in range(256) if b not in own)
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(spare)}
-
-
 @lru_cache(4)
 def counter(name: str) -> Counter:
     import public_tokenizers
