@@ -78,13 +78,15 @@ def resolve_pronouns(docs: DataFrame, pattern: str = r"(\bhe\b)", reach: int = 5
     return found.select("doc_id", "start", near.alias("antecedent"))
 
 
-def cooccurrence(found: DataFrame, min_count: int = 2, max_df: int = 50) -> DataFrame:
-    """Pairs of names that share at least ``min_count`` documents. Names of more than ``max_df`` documents say nothing and
-    would pair with everything; they take no part (a documented definition, not a sample)."""
+def cooccurrence(found: DataFrame, min_count: int = 2) -> DataFrame:
+    """Pairs of names that share at least ``min_count`` documents. Only names of fewer documents are left out before pairing:
+    no pair of theirs can reach the count. The names of a document are one sorted array and pairs come from it row by row,
+    so nothing is dealt by name, and the count aggregates before its shuffle."""
     keys = found.select("doc_id", T.surface_key(F.col("surface")).alias("key")).where(F.length("key") >= 2).distinct()
-    rare = keys.groupBy("key").agg(F.count("*").alias("df")).where(F.col("df").between(min_count, max_df)).select("key")
-    keys = keys.join(rare, "key", "left_semi")
-    pairs = keys.select("doc_id", F.col("key").alias("a")).join(keys.select("doc_id", F.col("key").alias("b")), "doc_id").where("a < b")
+    enough = keys.groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") >= min_count).select("key")
+    sets = keys.join(enough, "key", "left_semi").where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    firsts = sets.select("keys", F.posexplode("keys").alias("at", "a"))
+    pairs = firsts.select("a", F.explode(F.expr("slice(keys, at + 2, size(keys))")).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_count)
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions import time as D
-from skein.operators import entities, graph, paging, relations, spans
+from skein.operators import entities, graph, mentions, paging, relations, spans
 from skein.sources import tables
 from skein.streaming import jobs
 
@@ -177,3 +177,9 @@ def test_approve_adds_both_ways_once(spark):
     known = spark.createDataFrame([("x", "p", "y")], "subj string, pred string, obj string")
     got = review.approve(items, known, ["ally_of"]).collect()
     assert sorted((r.subj, r.obj, r.confidence) for r in got) == [("a", "b", 0.6), ("b", "a", 0.6)]
+
+
+def test_cooccurrence_keeps_frequent_names(spark):
+    found = spark.createDataFrame([(i, 0, name) for i in range(60) for name in ("Ann", "Bob", "Ann")] + [(0, 1, "Carl"), (1, 1, "Carl"), (2, 1, "Dora")], "doc_id long, ord int, surface string")
+    got = {(r.a, r.b): r.n_docs for r in mentions.cooccurrence(found).collect()}
+    assert got == {("ann", "bob"): 60, ("ann", "carl"): 2, ("bob", "carl"): 2}
