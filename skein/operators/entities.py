@@ -31,12 +31,40 @@ def jaccard_pairs(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> Data
 
     Prefix filtering: shingles are ordered by rarity, and two sets that similar must share one of their first
     (1 - least) * size + 1. Only those are joined; the candidates are verified on the whole sets. Equal shingle sets are
-    collapsed first, so copies cost nothing.
+    collapsed first to their smallest doc_id; ``jaccard_classes`` has their members, so that every link follows from both.
     """
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    return _near_sets(_shingle_sets(docs, shingle), least)
+
+
+def jaccard_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id, representative, n_copies, n_links for each document: the smallest doc_id with an equal shingle set, the other
+    documents with that set, and all other documents of at least that similarity. Without words: null, 0 and 0."""
+    sets = _shingle_sets(docs, shingle)
+    # By the digest of the set, so that no sets are moved.
+    digest = F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256).alias("class")
+    members = sets.where("doc_id is not null").select("doc_id", digest).distinct()
+    classes = members.groupBy("class").agg(F.min("doc_id").alias("representative"), F.count("*").alias("size"))
+    pairs = _near_sets(sets, least).select("a", "b")
+    sizes = classes.select(F.col("representative").alias("b"), "size")
+    near = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(sizes, "b").groupBy(F.col("a").alias("representative")).agg(F.sum("size").alias("near"))
+    linked = classes.join(near, "representative", "left").select("class", "representative", (F.col("size") - 1).alias("n_copies"), (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    named = members.join(linked, "class").select("doc_id", "representative", "n_copies", "n_links")
+    rest = docs.where("doc_id is not null").where(F.coalesce(F.size(_words()), F.lit(-1)) <= 0).select("doc_id").distinct()
+    return named.unionByName(rest.select("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("representative"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")))
+
+
+def _words():
+    return F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, s: the sorted hashes of the word shingles of each text with words."""
     size = F.size("w")
     grams = F.when(size >= shingle, F.transform(F.sequence(F.lit(1), F.greatest(size - shingle + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(shingle)), " ")))).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
-    sets = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0).select("doc_id", F.sort_array(F.array_distinct(grams)).alias("s"))
+    return docs.select("doc_id", _words().alias("w")).where(F.size("w") > 0).select("doc_id", F.sort_array(F.array_distinct(grams)).alias("s"))
+
+
+def _near_sets(sets: DataFrame, least: float) -> DataFrame:
     sets = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"))
     # The outer form, as a filter on the array that explode implies would be pushed below and evaluate the shingles anew.
     each = sets.select("doc_id", F.size("s").alias("n"), F.explode_outer("s").alias("g"))

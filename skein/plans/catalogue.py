@@ -554,6 +554,16 @@ def jaccard_pairs(spark, sf_dir):
     return E.jaccard_pairs(table(spark, sf_dir, "documents"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] ELSE [array_to_string(w, ' ')] END)) AS s FROM w WHERE len(w) > 0),
+g AS (SELECT doc_id, unnest(s) AS g FROM s), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+n AS (SELECT a, count(*) AS n FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE shared / (len(x.s) + len(y.s) - shared) >= 0.8 GROUP BY 1),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS representative, count(*) OVER (PARTITION BY s) - 1 AS n_copies FROM s)
+SELECT d.doc_id, representative, coalesce(n_copies, 0) AS n_copies, coalesce(n, 0) AS n_links FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN n ON n.a = d.doc_id""")
+def jaccard_classes(spark, sf_dir):
+    return E.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 CORR = """corr AS (SELECT c_custkey AS seq, CASE c_custkey % 4 WHEN 0 THEN 'retype' WHEN 1 THEN 'rename' WHEN 2 THEN 'reject' ELSE 'alias' END AS kind,
   'S' || (c_custkey % 40) AS target, CASE c_custkey % 4 WHEN 0 THEN 'ITEM' WHEN 2 THEN NULL ELSE c_name END AS value, c_acctbal < 0 AS rolled_back FROM customer WHERE c_custkey % 3 = 0)"""
 

@@ -183,3 +183,12 @@ def test_cooccurrence_keeps_frequent_names(spark):
     found = spark.createDataFrame([(i, 0, name) for i in range(60) for name in ("Ann", "Bob", "Ann")] + [(0, 1, "Carl"), (1, 1, "Carl"), (2, 1, "Dora")], "doc_id long, ord int, surface string")
     got = {(r.a, r.b): r.n_docs for r in mentions.cooccurrence(found).collect()}
     assert got == {("ann", "bob"): 60, ("ann", "carl"): 2, ("bob", "carl"): 2}
+
+
+def test_jaccard_classes_name_every_copy(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    other = "a text that stands alone and is copied once"
+    docs = [(i, text) for i in (7, 3, 9, 5)] + [(4, text + " more"), (20, other), (21, other.upper()), (30, "no copy of this"), (31, None), (32, "")]
+    got = {r.doc_id: tuple(r)[1:] for r in entities.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    copies, none = {i: (3, 3, 4) for i in (3, 5, 7, 9)}, (None, 0, 0)
+    assert got == copies | {4: (4, 0, 4), 20: (20, 1, 1), 21: (20, 1, 1), 30: (30, 0, 0), 31: none, 32: none}
