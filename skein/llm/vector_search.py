@@ -109,16 +109,18 @@ def _runs(some: np.ndarray, which: np.ndarray) -> tuple[list[int], list[np.ndarr
     return some[np.r_[0, cuts]].tolist(), np.split(which, cuts)
 
 
-def search(file: DataFrame, bounds: dict[int, np.ndarray], queries: list[tuple[int, int, bytes]], k: int = TOP) -> DataFrame:
-    """The k best of each partition for each query (vec_id, dims, exact as in the file)."""
+def search(file: DataFrame, bounds: dict[int, np.ndarray], queries: list[tuple[int, int, bytes, int]], k: int = TOP) -> DataFrame:
+    """The k best rows of each partition for each query (vec_id, dims, exact as in the file, and how often it is asked)."""
     held = file.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
         best: dict[int, Best] = {}
+        times: dict[int, np.ndarray] = {}
         for dims, (lo, width) in bounds.items():
-            mine = [(i, e) for i, n, e in held.value if n == dims]
+            mine = [(i, e, t) for i, n, e, t in held.value if n == dims]
             if mine:
-                best[dims] = Best(np.array([i for i, _ in mine], np.int64), np.stack([_read(e, dims) for _, e in mine]), k)
+                best[dims] = Best(np.array([i for i, _, _ in mine], np.int64), np.stack([_read(e, dims) for _, e, _ in mine]), k)
+                times[dims] = np.array([t for _, _, t in mine], np.int64)
         for batch in batches:
             of = batch.column("dims").to_numpy(zero_copy_only=False)
             for dims in set(of.tolist()) & set(best):
@@ -127,10 +129,12 @@ def search(file: DataFrame, bounds: dict[int, np.ndarray], queries: list[tuple[i
                     piece = part.slice(at, STEP)
                     cells = np.frombuffer(b"".join(piece.column("cells").to_pylist()), np.uint8).reshape(-1, dims)
                     best[dims].scan(piece.column("vec_id").to_numpy(), cells, piece.column("exact").to_pylist(), *bounds[dims])
-        for b in best.values():
+        for dims, b in best.items():
             full = b.id != np.iinfo(np.int64).max
             rows, _ = np.nonzero(full)
-            yield pa.RecordBatch.from_arrays([pa.array(b.ids[rows]), pa.array(b.id[full]), pa.array(b.score[full])], ["query_id", "vec_id", "score"])
+            again = times[dims][rows]
+            columns = b.ids[rows], b.id[full], b.score[full]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, again)) for c in columns], ["query_id", "vec_id", "score"])
 
     return file.mapInArrow(run, "query_id long, vec_id long, score long")
 
@@ -139,20 +143,21 @@ def top_k(embeddings: DataFrame, queries, k: int = TOP, bits: int = BITS) -> Dat
     """query_id, rank, vec_id, score: for the rows that ``queries`` (a condition on vec_id) selects, the k best others.
 
     Vectors that are null, empty, or hold a null or non-finite component take no part. Only vectors of equal length are
-    compared. A vec_id that occurs more than once: its rows never answer a query of their own id, a repeated query is asked
-    once (its first vector in byte order), and of equal (score, vec_id) answers one is kept. Scores are exact 64-bit integers while they
-    fit. An empty table, or no query, gives no rows.
+    compared. Every row counts: a vec_id that occurs more than once takes a place for each of its rows, and the rows of a
+    repeated query each bring their answers to the k places of their vec_id; rows never answer a query of their own id.
+    Equal rows of a query are asked once and their answers repeated. Scores are exact 64-bit integers while they fit. An
+    empty table, or no query, gives no rows.
     """
     spark = embeddings.sparkSession
     shared = Shared(spark)
     built, bounds = build(quantised(embeddings), bits)
     file = shared.write(built)
-    asked = shared.write(file.where(queries).groupBy("vec_id").agg(F.min(F.struct("exact", "dims")).alias("q")).select("vec_id", "q.dims", "q.exact"))
+    asked = shared.write(file.where(queries).groupBy("vec_id", "dims", "exact").agg(F.least(F.count("*"), F.lit(k)).alias("times")))
     blocks = max(1, -(-asked.count() // BLOCK))
     found = []
     for b in range(blocks):
-        block = [tuple(r) for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "dims", "exact").collect()]
-        found.append(search(file, bounds, [(i, n, bytes(e)) for i, n, e in block], k))
+        block = [tuple(r) for r in asked.where(F.pmod(F.xxhash64("vec_id", "exact"), F.lit(blocks)) == b).select("vec_id", "dims", "exact", "times").collect()]
+        found.append(search(file, bounds, [(i, n, bytes(e), times) for i, n, e, times in block], k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = reduce(DataFrame.unionByName, found)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -400,6 +400,20 @@ def test_top_k_against_brute_force(spark, nothing):
     assert vector_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_counts_every_repeated_row(spark, duck):
+    rng = np.random.default_rng(2)
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 6)))]
+    near = [4 * x for x in vectors[50][1]]
+    vectors += [(200 + i, near) for i in range(2)] + [(7, near)] * 7 + [(100, near)] * 2 + [(100, vectors[3][1])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    want = duck.cursor()
+    want.execute("CREATE TEMP TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    want.executemany("INSERT INTO embeddings VALUES (?, ?)", vectors)
+    want = rows(want.execute(queries.ORACLE_SQL["op8_exact_top_k"]).fetchdf())
+    for parts in (1, 5):
+        assert rows(vector_search.top_k(df.repartition(parts), F.col("vec_id") % 50 == 0, 5).toPandas()) == want
+
+
 def test_bounds_hold_and_spare_reads():
     rng = np.random.default_rng(1)
     x = (rng.normal(size=(2000, 32)) * 30).astype(np.int64)
