@@ -4,8 +4,9 @@ Host and path are split off and the rules applied with built-in functions. A url
 tokens: the labels of its host are cut into words by a unigram Viterbi search, the segments of its path are taken as they
 are, and multinomial naive Bayes weighs them. It learns from the urls that rules decide and from seed words.
 
-Word frequencies come from the visible text of a bounded sample of pages (TEXTS), the token counts from a bounded sample
-of urls (TRAIN), smallest hash of page_id first.
+Word frequencies are counted over the visible text of all pages and stay a table. Hosts are cut with the counts of the
+words that they contain, which a join on their substrings finds: at most LONGEST words for each character of a host. The
+token counts come from a bounded sample of urls (TRAIN), smallest hash of page_id first.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN, TEXTS, MAX_HOSTS = 20_000, 1_000, 100_000
+from .common import Shared, slices
+
+#: Urls to learn from, letters of the longest word in a host, different words that a task counts before it hands them on.
+TRAIN, LONGEST, MAX_WORDS = 20_000, 24, 200_000
 #: (verdict, host and path); the longest rule that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Words that speak for either verdict before any url is seen, each as often as SEED_WEIGHT urls (fixed values).
@@ -54,14 +58,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 @dataclass
 class Model:
-    words: dict[str, float]  # log probability of a word
+    words: dict[str, float]  # log probability of a word, of those that the urls it learns from contain
     unknown: float  # of any one unknown character
     tokens: dict[str, float] = field(default_factory=dict)  # log odds of block
     other: float = 0.0  # of a token that was never seen
     prior: float = 0.0
+    total: int = 0  # of all counts
 
 
-def segment(name: str, model: Model, longest: int = 24) -> list[str]:
+def segment(name: str, model: Model, longest: int = LONGEST) -> list[str]:
     """The most probable split of a name into words; runs of unknown characters stay together."""
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(name) + 1):
@@ -88,18 +93,68 @@ def tokens(host: str, path: str, model: Model) -> list[str]:
     return [*("h:" + w for w in host_words), *("p:" + w for w in _letters.findall(path.lower()))]
 
 
+def _words(html: str) -> list[str]:
+    return [w for w in _letters.findall(_tags.sub(" ", html).lower()) if len(w) > 1]
+
+
+def _seeds() -> Counter:
+    return Counter(w for seeds in SEEDS.values() for w in seeds.split() for _ in range(SEED_WEIGHT))
+
+
+def _logs(counts: dict[str, int], total: int) -> tuple[dict[str, float], float]:
+    return {w: math.log(n / total) for w, n in counts.items()}, math.log(0.1 / total) / 2
+
+
 def unigrams(texts: list[str]) -> tuple[dict[str, float], float]:
     """Log probabilities of the words of the texts and the seeds, and of an unknown character."""
-    counts = Counter(w for t in texts for w in _letters.findall(_tags.sub(" ", t).lower()) if len(w) > 1)
-    for seeds in SEEDS.values():
-        counts.update({w: SEED_WEIGHT for w in seeds.split()})
-    total = sum(counts.values())
-    return {w: math.log(n / total) for w, n in counts.items()}, math.log(0.1 / total) / 2
+    counts = Counter(w for t in texts for w in _words(t)) + _seeds()
+    return _logs(counts, sum(counts.values()))
+
+
+def word_counts(pages: DataFrame) -> DataFrame:
+    """word, n: how often each word occurs in the html of all pages and among the seeds."""
+    seeds = pages.sparkSession.createDataFrame(sorted(_seeds().items()), "word string, n long")
+    if "html" not in pages.columns:
+        return seeds
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in slices(batches, "html"):
+            for html in batch.column("html").to_pylist():
+                if html:
+                    counts.update(_words(html))
+            if len(counts) > MAX_WORDS:
+                yield rows(counts)
+                counts = Counter()
+        yield rows(counts)
+
+    return pages.select("html").mapInArrow(run, "word string, n long").unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: list[str], urls: list[tuple[str, str, str]]) -> Model:
-    """texts: html to take words from; urls: (host, path, verdict)."""
-    model = Model(*unigrams(texts))
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """host, found: for each row of hosts (host, distinct) the counted words that its labels contain, as (word, n)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                of, inside = [], []
+                for host in batch.column("host").slice(at, 100).to_pylist():
+                    own = {x[i:j] for x in _letters.findall(host) for i in range(len(x)) for j in range(i + 2, min(len(x), i + LONGEST) + 1)}
+                    of += [host] * len(own)
+                    inside += own
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(inside, pa.string())], ["host", "word"])
+
+    candidates = hosts.mapInArrow(run, "host string, word string")
+    found = candidates.join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    return hosts.join(found, "host", "left")
+
+
+def fit(words: dict[str, int], total: int, urls: list[tuple[str, str, str]]) -> Model:
+    """words: counts of the words that the hosts of the urls contain; total: of all counts; urls: (host, path, verdict)."""
+    model = Model(*_logs(words, total), total=total)
     seen = {v: Counter({side + w: SEED_WEIGHT for w in SEEDS[v].split() for side in ("h:", "p:")}) for v in ("block", "allow")}
     urls_of = Counter({"block": 1, "allow": 1})
     for host, path, verdict in urls:
@@ -114,45 +169,54 @@ def fit(texts: list[str], urls: list[tuple[str, str, str]]) -> Model:
     return model
 
 
-def train(pages: DataFrame, rules=RULES, size: int = TRAIN, texts: int = TEXTS) -> Model:
+def train(pages: DataFrame, rules=RULES, size: int = TRAIN) -> tuple[Model, DataFrame]:
+    """The model, and the table of word counts that hosts are cut with."""
+    counts = Shared(pages.sparkSession).write(word_counts(pages))
     host, path = parts(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("verdict", rule_of(F.col("host"), F.col("path"), rules)[1])
     order = F.xxhash64("page_id"), "page_id"
     urls = judged.where("verdict is not null").orderBy(*order).limit(size).select("host", "path", "verdict").collect()
-    some = pages.select("page_id").where("page_id is not null").orderBy(*order).limit(texts)
-    html = [r["html"] for r in pages.join(F.broadcast(some), "page_id").select(F.substring("html", 1, 20_000).alias("html")).toLocalIterator() if r["html"]] if "html" in pages.columns else []
-    return fit(html, [tuple(r) for r in urls])
+    hosts = pages.sparkSession.createDataFrame(sorted({(r["host"],) for r in urls}), "host string")
+    words = {w["word"]: w["n"] for r in host_words(hosts, counts).where("found is not null").toLocalIterator() for w in r["found"]}
+    return fit(words, counts.agg(F.sum("n")).first()[0], [tuple(r) for r in urls]), counts
+
 
+def host_odds(hosts: DataFrame, learnt: tuple[Model, DataFrame]) -> DataFrame:
+    """host, host_odds: the log odds of block that the words of each host give."""
+    model, counts = learnt
+    held = hosts.sparkSession.sparkContext.broadcast(model)
 
-def judged(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
+    def run(batches):
+        model = held.value
+        for batch in batches:
+            hosts, odds = batch.column("host").to_pylist(), []
+            for host, found in zip(hosts, batch.column("found").to_pylist(), strict=True):
+                words, unknown = _logs({x["word"]: x["n"] for x in found or ()}, model.total)
+                odds.append(float(sum(model.tokens.get(t, model.other) for t in tokens(host, "", Model(words, unknown)))))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(odds, pa.float64())], ["host", "host_odds"])
+
+    return host_words(hosts, counts).mapInArrow(run, "host string, host_odds double")
+
+
+def judged(pages: DataFrame, learnt: tuple[Model, DataFrame], rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, block_odds for each row of pages (page_id, url).
 
     Null urls, and urls without "://", have an empty host and path, no rule and the verdict of the prior. Only page_id and
-    url are read, so other columns cannot clash. Repeated rows are judged one by one; nothing is shuffled.
+    url are read, so other columns cannot clash. Repeated rows are judged one by one.
     """
-    held = pages.sparkSession.sparkContext.broadcast(model)
+    held = pages.sparkSession.sparkContext.broadcast(learnt[0])
 
     def run(batches):
-        model, hosts = held.value, {}
-
-        def weight(host: str) -> float:
-            if len(hosts) > MAX_HOSTS:
-                hosts.clear()
-            if host not in hosts:
-                hosts[host] = sum(model.tokens.get(t, model.other) for t in tokens(host, "", model))
-            return hosts[host]
-
+        model = held.value
         for batch in batches:
-            odds = [
-                model.prior + weight(h) + sum(model.tokens.get("p:" + w, model.other) for w in _letters.findall(p.lower()))
-                for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64())], [*batch.schema.names, "block_odds"])
+            odds = [model.prior + sum(model.tokens.get("p:" + w, model.other) for w in _letters.findall(p.lower())) for p in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64())], [*batch.schema.names, "path_odds"])
 
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"page_id {kind}, host string, path string, block_odds double")
+    out = rows.mapInArrow(run, f"page_id {kind}, host string, path string, path_odds double")
+    out = out.join(host_odds(rows.select("host").distinct(), learnt), "host", "left").withColumn("block_odds", F.col("path_odds") + F.col("host_odds"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "block_odds")

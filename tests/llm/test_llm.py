@@ -385,6 +385,19 @@ def test_segmentation_and_method(spark):
     assert got == {1: "block", 2: "allow"}
 
 
+def test_words_of_all_pages_are_counted(spark):
+    filler = "<p>" + "lorem " * 4_000 + "</p>"
+    pages = [(i, "http://x.example.net/a", f"<p>page{i}</p>") for i in range(1_200)] + [(5_000 + i, "http://x.example.net/a", filler + "zorkmid quuxly") for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    counts = {r.word: r.n for r in url_filter.word_counts(df).collect()}
+    assert counts["zorkmid"] == counts["quuxly"] == 3 and counts["lorem"] == 12_000 and counts["page"] == 1_200
+    blocked = spark.createDataFrame([(9_000 + i, f"http://zorkmid{'abcdefghij'[i % 10]}.example.com/de/{i}", None) for i in range(400)], df.schema)
+    model = url_filter.train(df.unionByName(blocked))
+    asked = spark.createDataFrame([(1, "http://quuxlyzorkmid.example.net/b"), (2, "http://quuxlyzzzzmid.example.net/b")], "page_id long, url string")
+    odds = {r.page_id: r.block_odds for r in url_filter.judged(asked, model).collect()}
+    assert odds[1] > odds[2]
+
+
 def test_top_k_against_brute_force(spark, nothing):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 12)))]
