@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import held_out, slices
 
-TRAIN, BUCKETS, MAX_WORDS = 1500, 1024, 300_000
+TRAIN, BUCKETS, MAX_WORDS, PIECE = 1500, 1024, 300_000, 64
 THRESHOLD = 0.3
 _runs = re.compile(r"[^\W\d_]+|\d+|(.)\1*", re.S)
 
 
-def shape(chunk: str) -> str:
-    """Letters by case, digits as 9, other characters as they are, runs of one character cut to two."""
+def shapes(piece: str) -> list[str]:
+    """Letters by case, digits as 9, other characters as they are, runs of one character cut to two: a shape for every six runs."""
     out = []
-    for m in _runs.finditer(chunk[:64]):
+    for m in _runs.finditer(piece):
         s = m.group()
         if m.group(1):
             out.append(s[:2])
@@ -37,26 +38,30 @@ def shape(chunk: str) -> str:
             out.append("9")
         else:
             out.append("A" if s.isupper() and len(s) > 1 else "a" if s.islower() else "Aa" if s[1:].islower() or len(s) == 1 else "aA")
-    return "".join(out[:6]) + ("~" if len(chunk) > 24 else "")
+    end = "~" if len(piece) > 24 else ""
+    return ["".join(out[i : i + 6]) + end for i in range(0, len(out), 6)]
 
 
-def bucket(chunk: str) -> int:
-    return zlib.crc32(shape(chunk).encode("utf-8", "surrogatepass")) % BUCKETS
+def buckets(piece: str) -> list[int]:
+    return [zlib.crc32(s.encode("utf-8", "surrogatepass")) % BUCKETS for s in shapes(piece)]
 
 
 class Shapes:
-    """Buckets of chunks, remembered up to MAX_WORDS."""
+    """Buckets of pieces, remembered up to MAX_WORDS."""
 
     def __init__(self):
-        self.at: dict[str, int] = {}
+        self.at: dict[str, list[int]] = {}
 
     def of(self, chunks: list[str]) -> np.ndarray:
+        """The buckets of all shapes of the chunks; a chunk of more than PIECE characters is cut into pieces."""
         if len(self.at) > MAX_WORDS:
             self.at = {}
         at = self.at
+        if max(map(len, chunks)) > PIECE:
+            chunks = [c[i : i + PIECE] for c in chunks for i in range(0, len(c), PIECE)]
         for c in set(chunks).difference(at):
-            at[c] = bucket(c)
-        return np.fromiter(map(at.__getitem__, chunks), np.int64, len(chunks))
+            at[c] = buckets(c)
+        return np.fromiter(chain.from_iterable(map(at.__getitem__, chunks)), np.int64)
 
 
 def figures(text: str, chunks: list[str]) -> list[float]:
@@ -93,7 +98,8 @@ def _features(texts: list[str], known: Shapes) -> tuple[np.ndarray, np.ndarray]:
     for i, t in enumerate(texts):
         chunks = t.split()
         if chunks:
-            x[i] = np.sqrt(np.bincount(known.of(chunks), minlength=BUCKETS) / len(chunks))
+            at = known.of(chunks)
+            x[i] = np.sqrt(np.bincount(at, minlength=BUCKETS) / len(at))
         f[i] = figures(t, chunks)
     return x, f
 
@@ -130,7 +136,8 @@ def score(texts: list[str | None], model: Model, known: Shapes) -> np.ndarray:
         chunks = t.split()
         z = model.bias + model.figures @ ((figures(t, chunks) - model.mean) / model.scale).clip(-5, 5)
         if chunks:
-            z += model.shapes @ np.sqrt(np.bincount(known.of(chunks), minlength=BUCKETS) / len(chunks))
+            at = known.of(chunks)
+            z += model.shapes @ np.sqrt(np.bincount(at, minlength=BUCKETS) / len(at))
         out[i] = z
     return 1 / (1 + np.exp(-out.clip(-40, 40)))
 

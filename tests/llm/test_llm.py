@@ -205,6 +205,12 @@ def test_quality_separates_held_out(spark, duck):
     assert len(right) > 40 and np.mean(right) >= 0.95
 
 
+def test_shapes_reach_the_end_of_a_chunk():
+    count = lambda text: np.bincount(quality.Shapes().of(text.split()), minlength=quality.BUCKETS).tolist()
+    assert count("x" * 64 + "9" * 64) != count("x" * 128) and count("a1b2c3" + "d4") != count("a1b2c3" + "-+")
+    assert sum(count("x" * 640)) == 10 and sum(count("plain words here")) == 3
+
+
 def test_non_negative_risk_with_pure_unlabelled():
     model = quality.fit(["plain words here"] * 20, ["plain words here"] * 40, 0.9)
     assert np.isfinite(model.shapes).all() and quality.score(["plain words here"], model, quality.Shapes())[0] > 0.5
