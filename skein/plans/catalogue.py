@@ -141,10 +141,11 @@ TRADE = """trade AS (SELECT DISTINCT 'N' || s_nationkey AS subj, 'N' || c_nation
 
 
 def _trade(spark, sf_dir):
-    sold = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    both = sold.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = both.where("s_nationkey <> c_nationkey").select(F.concat(F.lit("N"), "s_nationkey").alias("subj"), F.lit("trades").alias("pred"), F.concat(F.lit("N"), "c_nationkey").alias("obj"))
-    return edges.distinct()
+    """The trade edges between nations, of every lineitem row."""
+    sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey").distinct()
+    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    edges = sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).where("s_nationkey <> c_nationkey")
+    return edges.select(F.concat(F.lit("N"), "s_nationkey").alias("subj"), F.lit("trades").alias("pred"), F.concat(F.lit("N"), "c_nationkey").alias("obj")).distinct()
 
 
 @query(f"""WITH {TRADE} SELECT a.subj, a.obj FROM trade a JOIN trade b ON a.subj = b.obj AND a.obj = b.subj WHERE a.subj < a.obj""")
@@ -576,7 +577,7 @@ SELECT e.id, coalesce(retype, type) AS type, coalesce(rename, canonical) AS cano
   coalesce(rejected, 0) = 1 AS rejected FROM entities e LEFT JOIN p ON p.id = e.id WHERE type = 'ORG'""")
 def overrides_replay(spark, sf_dir):
     k = F.col("c_custkey")
-    corrections = table(spark, sf_dir, "customer").where(k % 3 == 0).select(
+    corrections = table(spark, sf_dir, "customer").select(
         k.alias("seq"), F.when(k % 4 == 0, "retype").when(k % 4 == 1, "rename").when(k % 4 == 2, "reject").otherwise("alias").alias("kind"), F.concat(F.lit("S"), k % 40).alias("target"),
         F.when(k % 4 == 0, "ITEM").when(k % 4 != 2, F.col("c_name")).alias("value"), (F.col("c_acctbal") < 0).alias("rolled_back"),
     )
@@ -674,7 +675,7 @@ def graph_hash(spark, sf_dir):
 
 @query()
 def entity_pages(spark, sf_dir):
-    return X.entity_pages(B.triples(spark, sf_dir).where("pred <> 'bought'"), B.entities(spark, sf_dir))
+    return X.entity_pages(B.triples(spark, sf_dir), B.entities(spark, sf_dir))
 
 
 # --- streams --------------------------------------------------------------------------------------------------------

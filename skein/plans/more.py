@@ -106,7 +106,7 @@ def progress_levels(spark, sf_dir):
 @query(f"""WITH {TRI}, d AS (SELECT subj, pred, obj, max(confidence) AS c FROM triples WHERE pred <> 'bought' GROUP BY 1, 2, 3)
 SELECT subj || ' ' || replace(pred, '_', ' ') || ' ' || obj || CASE WHEN c < 0.95 THEN ' (likely).' ELSE '.' END AS sentence FROM d""")
 def render_relations(spark, sf_dir):
-    rows = B.triples(spark, sf_dir).where("pred <> 'bought'").groupBy("subj", "pred", "obj").agg(F.max("confidence").alias("c"))
+    rows = B.triples(spark, sf_dir).groupBy("subj", "pred", "obj").agg(F.max("confidence").alias("c"))
     return rows.select(F.concat("subj", F.lit(" "), F.replace("pred", F.lit("_"), F.lit(" ")), F.lit(" "), "obj", F.when(F.col("c") < 0.95, " (likely).").otherwise(".")).alias("sentence"))
 
 

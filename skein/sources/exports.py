@@ -50,13 +50,11 @@ def json_ld(entities: DataFrame) -> DataFrame:
     return entities.select(F.to_json(F.struct(F.col("id").alias("@id"), F.col("type").alias("@type"), F.col("canonical").alias("name"))).alias("line"))
 
 
-def entity_pages(relations: DataFrame, entities: DataFrame, per_predicate: int = 5) -> DataFrame:
-    """A Markdown page for each entity with outgoing relations: of each predicate the most certain ones, listed by name."""
-    from pyspark.sql.window import Window
-
+def entity_pages(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """A Markdown page for each entity with outgoing relations: all objects of each predicate, the most certain first."""
     named = R.with_names(relations.select("subj", "pred", "obj", "confidence").groupBy("subj", "pred", "obj").agg(F.max("confidence").alias("confidence")), entities)
-    first = named.withColumn("r", F.row_number().over(Window.partitionBy("subj", "pred").orderBy(F.desc("confidence"), "obj"))).where(F.col("r") <= per_predicate)
-    per = first.groupBy("subj", "subj_name", "pred").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "obj_name"))), lambda x: F.concat(F.lit("- "), x["obj_name"])), "\n").alias("lines"))
+    order = F.struct((-F.col("confidence")).alias("c"), "obj", "obj_name")
+    per = named.groupBy("subj", "subj_name", "pred").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.concat(F.lit("- "), x["obj_name"])), "\n").alias("lines"))
     sections = per.groupBy("subj", "subj_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pred", "lines"))), lambda x: F.concat(F.lit("## "), x["pred"], F.lit("\n"), x["lines"])), "\n").alias("body"))
     return sections.select(F.col("subj").alias("id"), T.slug(F.col("subj_name")).alias("slug"), F.concat(F.lit("# "), "subj_name", F.lit("\n"), "body").alias("page"))
 

@@ -59,3 +59,19 @@ def test_graph_hash_ignores_order_and_repetition(spark):
 def test_entity_pages(spark):
     page = next(r for r in catalogue.QUERIES["entity_pages"](spark, SF).collect() if r.id == "N1")
     assert page.slug == "nation-1" and page.page.startswith("# NATION_1\n## part_of\n- ")
+
+
+def test_queries_without_row_filters(spark, duck):
+    edges = {(f"N{a}", f"N{b}") for a, b in duck.execute("""SELECT DISTINCT s_nationkey, c_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey""").fetchall()}
+    got = {(r.subj, r.obj) for r in catalogue.QUERIES["cycle_pairs"](spark, SF).collect()}
+    assert got == {(a, b) for a, b in edges if a < b and (b, a) in edges} and got
+    three = {f"{a}>{b}>{c}>{a}" for a, b in edges for x, c in edges if x == b and (c, a) in edges and a < min(b, c)}
+    assert {r.path for r in catalogue.QUERIES["cycles_k3"](spark, SF).collect()} == three | {f"{a}>{b}>{a}" for a, b in got}
+    triples = catalogue.B.triples(spark, SF).select("subj", "pred", "obj").distinct()
+    assert catalogue.QUERIES["render_relations"](spark, SF).count() == triples.count()
+    assert sum(r.page.count("\n- ") for r in catalogue.QUERIES["entity_pages"](spark, SF).collect()) == triples.count()
+    aliases = {a for r in catalogue.QUERIES["overrides_replay"](spark, SF).collect() for a in r.aliases.split("|")}
+    n_org = {r.id for r in catalogue.B.entities(spark, SF).where("type = 'ORG'").collect()}
+    want = {n for k, n, bal in duck.execute("SELECT c_custkey, c_name, c_acctbal FROM customer").fetchall() if k % 4 == 3 and bal >= 0 and f"S{k % 40}" in n_org}
+    assert want and want <= aliases
