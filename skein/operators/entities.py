@@ -10,11 +10,17 @@ from ..functions import text as T
 
 
 def levenshtein_pairs(names: DataFrame, most: int = 1) -> DataFrame:
-    """Pairs of distinct names within an edit distance of one. Two such names share a form with one letter left out, so the
-    join is on those forms (of each name: one more than it has letters) instead of on all pairs of a block."""
+    """Pairs of distinct names within an edit distance of ``most``. Two such names share a form with that many letters left
+    out, so the join is on those forms (of a name of n letters: of the order of n to the power ``most``) instead of on all
+    pairs of a block. More than two letters would make too many forms and are refused."""
+    if most not in (1, 2):
+        raise ValueError("most must be 1 or 2")
     distinct = names.select(F.lower("name").alias("name")).where("name is not null").distinct()
-    left_out = F.expr("array_distinct(concat(array(name), transform(sequence(1, greatest(length(name), 1)), i -> concat(substring(name, 1, i - 1), substring(name, i + 1)))))")
-    keyed = distinct.select("name", F.explode(left_out).alias("form"))
+    shorter = "transform(sequence(1, greatest(length({0}), 1)), i -> concat(substring({0}, 1, i - 1), substring({0}, i + 1)))"
+    forms = f"concat(array(name), {shorter.format('name')})"
+    if most == 2:
+        forms = f"concat({forms}, flatten(transform({shorter.format('name')}, f -> {shorter.format('f').replace('i ->', 'j ->').replace('1, i -', '1, j -').replace('i + 1', 'j + 1')})))"
+    keyed = distinct.select("name", F.explode(F.array_distinct(F.expr(forms))).alias("form"))
     pairs = keyed.withColumnRenamed("name", "a").join(keyed.withColumnRenamed("name", "b"), "form").where("a < b").select("a", "b").distinct()
     return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= most)
 

@@ -15,32 +15,26 @@ def mentions(docs: DataFrame) -> DataFrame:
     return rows.where(~T.is_blocked(F.col("surface")))
 
 
-def mention_spans(docs: DataFrame, pattern: str = T.NAME) -> DataFrame:
-    """doc_id, ord, surface, start, end in code points of the matches of a pattern (one group, the whole match): the gaps
-    between matches give the offsets, all in the JVM."""
-    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("m"), F.split("text", pattern).alias("gap"))
-    lengths = F.transform(F.arrays_zip("gap", "m"), lambda x: F.struct(F.length(x["gap"]).alias("g"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("n")))
-    # Running ends by one pass over the array.
-    ends = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda acc, x: F.struct((acc["at"] + x["g"] + x["n"]).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + x["g"] + x["n"])).alias("ends")),
-    )["ends"]
-    rows = pieces.select("doc_id", F.posexplode(F.arrays_zip(F.col("m").alias("surface"), ends.alias("end"))).alias("ord", "s")).select("doc_id", "ord", "s.surface", "s.end")
-    return rows.where("surface is not null").select("doc_id", "ord", "surface", (F.col("end") - F.length("surface")).alias("start"), "end")
+def mention_spans(docs: DataFrame, pattern: str = T.NAME, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ord, surface, start, end in code points of the matches of a pattern (one group, the whole match), and the
+    columns of ``keep``. The gaps between matches give the offsets: a running sum over the pieces of each row of docs."""
+    pieces = docs.select("doc_id", *keep, F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("m"), F.split("text", pattern).alias("gap"))
+    rows = pieces.select("doc_id", *keep, "_row", F.posexplode(F.transform(F.arrays_zip("gap", "m"), lambda x: F.struct(x["m"].alias("surface"), F.length(x["gap"]).alias("g")))).alias("ord", "s"))
+    rows = rows.where("s.surface is not null").select("doc_id", *keep, "_row", "ord", "s.surface", (F.col("s.g") + F.length("s.surface")).alias("n"))
+    end = F.sum("n").over(Window.partitionBy("_row").orderBy("ord")).cast("int")
+    return rows.withColumn("end", end).select("doc_id", *keep, "ord", "surface", (F.col("end") - F.length("surface")).alias("start"), "end")
 
 
 def registry(found: DataFrame) -> DataFrame:
-    """One entity for each normal form: longest surface (ties: smallest), number of aliases, first place, counts."""
+    """One entity for each normal form: longest surface (ties: smallest), number of aliases, first place, counts. One
+    aggregation, so the texts are read and searched once."""
     keyed = found.withColumn("key", T.surface_key(F.col("surface"))).where(F.length("key") >= 2)
-    each = keyed.groupBy("key", "surface").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "ord")).alias("first"))
-    docs = keyed.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"))
     # Struct minima instead of a window: the aggregation is partial on the map side.
-    grouped = each.groupBy("key").agg(
+    grouped = keyed.groupBy("key").agg(
         F.min(F.struct((-F.length("surface")).alias("l"), F.col("surface"))).getField("surface").alias("canonical"),
-        F.count("*").alias("n_aliases"), F.sum("n").alias("n_mentions"), F.min("first").alias("first"),
+        F.countDistinct("surface").alias("n_aliases"), F.count("*").alias("n_mentions"), F.countDistinct("doc_id").alias("n_docs"), F.min(F.struct("doc_id", "ord")).alias("first"),
     )
-    return grouped.join(docs, "key").select("key", "canonical", "n_aliases", "n_mentions", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.ord").alias("first_ord"))
+    return grouped.select("key", "canonical", "n_aliases", "n_mentions", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.ord").alias("first_ord"))
 
 
 def top_entities(docs: DataFrame, n: int = 20) -> DataFrame:
@@ -48,11 +42,11 @@ def top_entities(docs: DataFrame, n: int = 20) -> DataFrame:
     return registry(mentions(docs)).select("key", "canonical", "n_mentions", "n_docs").orderBy(F.desc("n_mentions"), "key").limit(n)
 
 
-def salience(spans: DataFrame, docs: DataFrame) -> DataFrame:
+def salience(docs: DataFrame) -> DataFrame:
     """Per document and name: ln(n+1)*10 + (1 - first/len)*20 + 10, 7 or 3 for the name + 2 for each tenth of the text with a
     mention (none below two mentions), and the percentile among the names of the document."""
+    spans = mention_spans(docs.withColumn("len", F.length("text")), keep=("len",))
     rows = spans.withColumn("key", T.surface_key(F.col("surface"))).where(F.length("key") >= 2)
-    rows = rows.join(docs.select("doc_id", F.length("text").alias("len")), "doc_id")
     each = rows.groupBy("doc_id", "key").agg(
         F.count("*").alias("n"), F.min("start").alias("first"), F.max("len").alias("len"),
         F.countDistinct(F.floor(F.col("start") * 10 / F.col("len"))).alias("tenths"),
@@ -113,10 +107,10 @@ def gate(found: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, idx, start, text of the lines that are not blank; starts follow from the lengths of the lines before."""
-    lines = docs.select("doc_id", F.split("text", "\n").alias("l"))
-    starts = F.transform(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.aggregate(F.slice("l", F.lit(1), i), i, lambda acc, x: acc + F.length(x)))
-    rows = lines.select("doc_id", F.posexplode(F.arrays_zip(F.col("l").alias("text"), starts.alias("start"))).alias("idx", "p"))
-    return rows.select("doc_id", "idx", "p.start", "p.text").where(F.trim("text") != "")
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text")
+    lines = numbered.select("doc_id", "_row", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy("_row").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    return lines.select("doc_id", "idx", F.coalesce(before, F.lit(0)).cast("int").alias("start"), "text").where(F.trim("text") != "")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -127,14 +121,19 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 def segments(paragraph_rows: DataFrame, least: int = 450, most: int = 600) -> DataFrame:
     """Greedy segments of ``least`` to ``most`` words: a segment is closed when it has enough, or when the next paragraph
-    would make it too long. Order-dependent, so one fold over the word counts of a document's paragraphs."""
+    would make it too long. Order-dependent, so a fold over the word counts of a document's paragraphs: it keeps the open
+    segment and appends only closed ones, which are at least ``least`` words or as long as one paragraph."""
     counts = paragraph_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.size(F.split(F.trim("text"), r"\s+")).alias("n")))).alias("p"))
-    start = F.struct(F.lit(0).alias("seg"), F.lit(0).alias("words"), F.array().cast("array<struct<seg:int,n:int>>").alias("out"))
+    closed = "array<struct<n_paragraphs:bigint,n_words:bigint>>"
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("n"), zero.alias("words"), F.array().cast(closed).alias("out"))
+    done = lambda acc: F.struct(acc["n"].alias("n_paragraphs"), acc["words"].alias("n_words"))
 
     def step(acc, x):
         close = (acc["words"] >= least) | ((acc["words"] > 0) & (acc["words"] + x["n"] > most))
-        seg = acc["seg"] + F.when(close, 1).otherwise(0)
-        return F.struct(seg.alias("seg"), (F.when(close, 0).otherwise(acc["words"]) + x["n"]).alias("words"), F.concat(acc["out"], F.array(F.struct(seg.alias("seg"), x["n"].alias("n")))).alias("out"))
+        return F.struct(
+            (F.when(close, zero).otherwise(acc["n"]) + 1).alias("n"), (F.when(close, zero).otherwise(acc["words"]) + x["n"]).alias("words"), F.when(close, F.concat(acc["out"], F.array(done(acc)))).otherwise(acc["out"]).alias("out")
+        )
 
-    rows = counts.select("doc_id", F.explode(F.aggregate("p", start, step)["out"]).alias("s"))
-    return rows.groupBy("doc_id", "s.seg").agg(F.count("*").alias("n_paragraphs"), F.sum("s.n").alias("n_words"))
+    folded = counts.select("doc_id", F.aggregate("p", start, step).alias("f")).select("doc_id", F.concat("f.out", F.array(done(F.col("f")))).alias("out"))
+    return folded.select("doc_id", F.posexplode("out").alias("seg", "s")).select("doc_id", "seg", "s.n_paragraphs", "s.n_words")

@@ -13,10 +13,9 @@ def asof_previous(left: DataFrame, right: DataFrame, by: list[str], at: str, val
     """``value`` of the last right row strictly before each left row: one union and one window, no inequality join."""
     l = left.select(*by, at, F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     r = right.select(*by, at, F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*by).orderBy(at).rangeBetween(Window.unboundedPreceding, -1) if dict(left.dtypes)[at] in ("bigint", "int") else None
     both = l.unionByName(r)
-    if w is None:  # left rows go before right rows of the same time, so equal times are not seen
-        w = Window.partitionBy(*by).orderBy(at, F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
+    # Left rows go before right rows of the same time, so equal times are not seen.
+    w = Window.partitionBy(*by).orderBy(at, F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
     return both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select("_row.*", F.col("_v").alias(f"previous_{value}"))
 
 

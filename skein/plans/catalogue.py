@@ -110,7 +110,7 @@ p AS (SELECT 'C' || c_custkey AS root, 'C' || c_custkey AS cur, ['C' || c_custke
   UNION ALL SELECT root, o, list_append(nodes, o) FROM p JOIN e ON p.cur = e.s WHERE len(nodes) <= 3 AND NOT list_contains(nodes, o) AND cur <> 'R1')
 SELECT root AS from_id, cur AS to_id, CAST(len(nodes) - 1 AS INTEGER) AS length, array_to_string(nodes, '>') AS path FROM p WHERE cur = 'R1' AND len(nodes) > 1""")
 def paths_k3(spark, sf_dir):
-    edges = B.triples(spark, sf_dir).where("pred <> 'bought'")
+    edges = B.triples(spark, sf_dir)
     starts = B.entities(spark, sf_dir).where("type = 'PERSON'").select("id")
     ends = B.entities(spark, sf_dir).where("id = 'R1'").select("id")
     return G.paths(edges, starts, ends, 3)
@@ -137,7 +137,7 @@ def node_degrees(spark, sf_dir):
 
 
 TRADE = """trade AS (SELECT DISTINCT 'N' || s_nationkey AS subj, 'N' || c_nationkey AS obj FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey AND l_quantity >= 50 AND l_discount >= 0.1)"""
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey)"""
 
 
 def _trade(spark, sf_dir):
@@ -279,12 +279,11 @@ t AS (SELECT doc_id, key, n, round(ln(n + 1) * 10 + (1 - f / len) * 20 + CASE WH
 SELECT doc_id, key, n, total, CAST(CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN
   round(100.0 * (row_number() OVER (PARTITION BY doc_id ORDER BY total, key) - 1) / (count(*) OVER (PARTITION BY doc_id) - 1)) ELSE 0 END AS INTEGER) AS percentile FROM t""")
 def salience(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return M.salience(M.mention_spans(docs), docs)
+    return M.salience(table(spark, sf_dir, "documents"))
 
 
 @query(f"""WITH {MEN}, k AS (SELECT DISTINCT doc_id, key FROM keyed WHERE length(key) >= 2),
-r AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 50), q AS (SELECT doc_id, key FROM k WHERE key IN (SELECT key FROM r))
+r AS (SELECT key FROM k GROUP BY key HAVING count(*) >= 2), q AS (SELECT doc_id, key FROM k WHERE key IN (SELECT key FROM r))
 SELECT a.key AS a, b.key AS b, count(*) AS n_docs FROM q a JOIN q b ON a.doc_id = b.doc_id AND a.key < b.key GROUP BY 1, 2 HAVING count(*) >= 2""")
 def cooccurrence_doc(spark, sf_dir):
     return M.cooccurrence(M.mentions(table(spark, sf_dir, "documents")))
@@ -317,7 +316,10 @@ def paragraphs(spark, sf_dir):
     return M.paragraphs(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {LINES}, p AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS r, len(string_split_regex(trim(text), '\s+')) AS n FROM para),
+w AS (SELECT doc_id, r, 0 AS seg, n, n AS words FROM p WHERE r = 1 UNION ALL SELECT p.doc_id, p.r, CASE WHEN words >= 450 OR words + p.n > 600 THEN seg + 1 ELSE seg END, p.n,
+  CASE WHEN words >= 450 OR words + p.n > 600 THEN p.n ELSE words + p.n END FROM w JOIN p ON p.doc_id = w.doc_id AND p.r = w.r + 1)
+SELECT doc_id, CAST(seg AS INTEGER) AS seg, count(*) AS n_paragraphs, CAST(sum(n) AS BIGINT) AS n_words FROM w GROUP BY doc_id, seg""")
 def segments_450_600(spark, sf_dir):
     return M.segments(M.paragraphs(table(spark, sf_dir, "documents")))
 
@@ -566,7 +568,7 @@ def jaccard_classes(spark, sf_dir):
 
 
 CORR = """corr AS (SELECT c_custkey AS seq, CASE c_custkey % 4 WHEN 0 THEN 'retype' WHEN 1 THEN 'rename' WHEN 2 THEN 'reject' ELSE 'alias' END AS kind,
-  'S' || (c_custkey % 40) AS target, CASE c_custkey % 4 WHEN 0 THEN 'ITEM' WHEN 2 THEN NULL ELSE c_name END AS value, c_acctbal < 0 AS rolled_back FROM customer WHERE c_custkey % 3 = 0)"""
+  'S' || (c_custkey % 40) AS target, CASE c_custkey % 4 WHEN 0 THEN 'ITEM' WHEN 2 THEN NULL ELSE c_name END AS value, c_acctbal < 0 AS rolled_back FROM customer)"""
 
 
 @query(f"""WITH {ENT}, {CORR}, live AS (SELECT * FROM corr WHERE NOT rolled_back),
@@ -668,12 +670,17 @@ def export_cypher(spark, sf_dir):
     return X.cypher(B.triples(spark, sf_dir), B.entities(spark, sf_dir), ("part_of",))
 
 
-@query()
+@query(f"""WITH {TRI}, d AS (SELECT DISTINCT sha256(concat_ws(chr(31), subj, pred, obj)) AS h FROM triples),
+b AS (SELECT left(h, 4) AS b, count(*) AS n, left(h, 4) || sha256(string_agg(h, '' ORDER BY h)) AS p FROM d GROUP BY left(h, 4))
+SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(p, '' ORDER BY p)) AS hash FROM b""")
 def graph_hash(spark, sf_dir):
     return X.graph_hash(B.triples(spark, sf_dir))
 
 
-@query()
+@query(rf"""WITH {ENT}, {TRI}, d AS (SELECT subj, pred, obj, max(confidence) AS c FROM triples GROUP BY 1, 2, 3),
+n AS (SELECT subj, coalesce(s.canonical, subj) AS name, pred, obj, coalesce(o.canonical, obj) AS obj_name, c FROM d LEFT JOIN entities s ON s.id = subj LEFT JOIN entities o ON o.id = obj),
+l AS (SELECT subj, name, pred, string_agg('- ' || obj_name, chr(10) ORDER BY c DESC, obj, obj_name) AS lines FROM n GROUP BY 1, 2, 3)
+SELECT subj AS id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, '# ' || name || chr(10) || string_agg('## ' || pred || chr(10) || lines, chr(10) ORDER BY pred) AS page FROM l GROUP BY subj, name""")
 def entity_pages(spark, sf_dir):
     return X.entity_pages(B.triples(spark, sf_dir), B.entities(spark, sf_dir))
 

@@ -103,7 +103,7 @@ def progress_levels(spark, sf_dir):
     return rows.select("id", "entities", "relations", (F.col("entities") * 10 + F.col("relations") * 5).alias("xp"), F.greatest(F.lit(1).cast("long"), F.floor(F.sqrt(F.col("entities") / 5 + F.col("relations") / 10))).alias("level"))
 
 
-@query(f"""WITH {TRI}, d AS (SELECT subj, pred, obj, max(confidence) AS c FROM triples WHERE pred <> 'bought' GROUP BY 1, 2, 3)
+@query(f"""WITH {TRI}, d AS (SELECT subj, pred, obj, max(confidence) AS c FROM triples GROUP BY 1, 2, 3)
 SELECT subj || ' ' || replace(pred, '_', ' ') || ' ' || obj || CASE WHEN c < 0.95 THEN ' (likely).' ELSE '.' END AS sentence FROM d""")
 def render_relations(spark, sf_dir):
     rows = B.triples(spark, sf_dir).groupBy("subj", "pred", "obj").agg(F.max("confidence").alias("c"))

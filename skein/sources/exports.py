@@ -60,6 +60,9 @@ def entity_pages(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def graph_hash(relations: DataFrame) -> DataFrame:
-    """A fingerprint of the set of relations that does not depend on their order or repetition."""
-    ids = relations.select("subj", "pred", "obj").distinct().select(F.xxhash64("subj", "pred", "obj").cast("decimal(38,0)").alias("h"))
-    return ids.agg(F.count("*").alias("n"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("hash"))
+    """n and hash of the set of relations, whatever their order or repetition: SHA-256 of each relation, of the sorted digests
+    that begin with the same four hex digits, and of those 65,536 digests at most, so no task holds the whole graph."""
+    each = relations.select(F.sha2(F.concat_ws("\x1f", "subj", "pred", "obj"), 256).alias("h")).distinct()
+    parts = each.groupBy(F.substring("h", 1, 4).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("p"))
+    whole = F.array_join(F.array_sort(F.collect_list(F.concat("b", "p"))), "")
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(whole, 256).alias("hash"))

@@ -6,8 +6,6 @@ back; a service would start the same stream with a processing-time trigger.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,11 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def work_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder spark.checkpoint.dir, or a local one where that is not set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/{uuid.uuid4().hex}"
+from ..sources.lineage import shared_path
 
 
 def parquet_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
@@ -44,7 +38,7 @@ def window_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour")
 
 
 def run_window_counts(spark: SparkSession, path: str) -> DataFrame:
-    folder = work_dir(spark)
+    folder = shared_path(spark)
     counted = window_counts(parquet_stream(spark, path))
     # Complete mode: the last batch holds every window, also those that the watermark has not closed.
     finish(counted, folder, "complete", lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out"))
@@ -75,7 +69,7 @@ def token_bucket(events: DataFrame, capacity: float, refill_seconds: float) -> D
 
 
 def run_token_bucket(spark: SparkSession, path: str, capacity: float = 3, refill_seconds: float = 21_600) -> DataFrame:
-    folder = work_dir(spark)
+    folder = shared_path(spark)
     finish(token_bucket(parquet_stream(spark, path), capacity, refill_seconds), folder)
     return spark.read.parquet(f"{folder}/out")
 

@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: Queries whose condition nothing meets in the smallest tables.
-EMPTY_AT_THIS_SIZE = {"cycle_pairs", "cycles_k3", "jaccard_pairs"}
+EMPTY_AT_THIS_SIZE = {"jaccard_pairs"}
 
 
 def test_segments(spark, duck):
