@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Texts are handed to the per-batch code in slices of about this many bytes, which bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
@@ -66,6 +67,35 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
         yield batch.slice(start)
 
 
+def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, capitals aside."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sampled(rows: DataFrame, size: int, by: list[str]) -> DataFrame:
+    """At most ``size`` distinct rows for each value of ``by``, those with the smallest hash: a row that repeats counts once.
+
+    Only rows whose hash lies below a share, estimated from the number of distinct hashes, are made distinct and ranked, so
+    little is shuffled whatever the input, and a repeated row is one row before the shuffle.
+    """
+    h, share, rank = fresh(rows.columns, "h", "share", "rank")
+    hashed = rows.withColumn(h, F.xxhash64(*rows.columns))
+    n = hashed.groupBy(*by).agg(F.approx_count_distinct(h).alias(share))
+    # Half as many again, and a hundred, so that neither the estimate nor chance leaves too few.
+    least = F.lit(1.5 * size + 100) / F.col(share)
+    kept = hashed.join(n.withColumnsRenamed({c: f"{c}_of_sample" for c in by}), [F.col(c).eqNullSafe(F.col(f"{c}_of_sample")) for c in by], "left")
+    kept = kept.where(F.pmod(F.col(h), F.lit(1 << 40)) < least * float(1 << 40)).select(*rows.columns, h).dropDuplicates([h])
+    order = Window.partitionBy(*by).orderBy(h)
+    return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= size).select(*rows.columns)
+
+
 def held_out(doc_id, mod: int, remainder: int):
     """True where crc32 of doc_id's decimal text leaves that remainder; a null doc_id counts as not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == remainder, F.lit(False))

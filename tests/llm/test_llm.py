@@ -438,7 +438,8 @@ def test_bounds_hold_and_spare_reads():
     x = (rng.normal(size=(2000, 32)) * 30).astype(np.int64)
     lo, width = x.min(axis=0), np.maximum(1, -(-(x.max(axis=0) - x.min(axis=0) + 1) // 64))
     best = vector_search.Best(np.array([0]), x[:1], 5)
-    reads = best.scan(np.arange(2000), ((x - lo) // width).astype(np.uint8), [v.astype(np.int16).tobytes() for v in x], lo, width)
+    ids = np.arange(2000)
+    reads = best.scan(ids, ids, np.ones(2000, bool), ((x - lo) // width).astype(np.uint8), [v.astype(np.int16).tobytes() for v in x], lo, width)
     assert reads < 400 and best.score[0].tolist() == sorted((x[1:] @ x[0]).tolist(), reverse=True)[:5]
 
 
