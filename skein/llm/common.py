@@ -67,6 +67,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
         yield batch.slice(start)
 
 
+def pieces(text: str, most: int = 1 << 18) -> Iterator[str]:
+    """The text in parts of at most ``most`` characters, cut at blanks where there are any."""
+    at = 0
+    while len(text) - at > most:
+        window = text[at : at + most]
+        cut = max(window.rfind(" "), window.rfind("\n"), window.rfind("\t"))
+        at += cut if cut > 0 else most
+        yield window[:cut] if cut > 0 else window
+    yield text[at:]
+
+
 def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
     """Names like the wanted ones that no column has, capitals aside."""
     taken = {c.lower() for c in columns}

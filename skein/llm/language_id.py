@@ -5,7 +5,9 @@ trained by stochastic gradient descent in numpy. As embedding and softmax are li
 computed once and remembered. A temperature and a rejection threshold are fitted on a part of the sample that training
 does not see: ``rejected`` marks texts whose calibrated probability is lower than all but REJECT of those.
 
-The fit uses a bounded sample: about PER_LANGUAGE documents of each of at most LANGUAGES languages, the most frequent first.
+The fit uses a bounded sample of distinct rows: PER_LANGUAGE documents of each language, fewer where there are so many
+languages that these would be more than SAMPLE, but LEAST at least: no language is left out. Of a document of the sample
+only its counts of at most BUCKETS n-grams reach the driver, whatever its length.
 """
 
 from __future__ import annotations
@@ -18,12 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held_out, pieces, sampled, slices
 
-PER_LANGUAGE, LANGUAGES, BUCKETS, DIM, MAX_WORDS = 800, 256, 1 << 14, 16, 300_000
+PER_LANGUAGE, SAMPLE, LEAST, BUCKETS, DIM = 800, 20_000, 20, 1 << 14, 16
+#: Sums that a worker remembers: so many chunks, and so many numbers.
+MAX_WORDS, MAX_SUMS = 300_000, 8 << 20
 REJECT = 0.01
 _word = re.compile(r"[^\W\d_]+")
-_letter = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode category L is in the text (number forms such as one half are none)."""
+    return any(c.isalpha() for m in _word.finditer(text) for c in m.group())
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,21 +60,29 @@ class Model:
     threshold: float
 
 
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams and the share of each. A word of more than 262,144 letters counts as several."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for piece in pieces(text.lower()):
+        counts += np.bincount(subwords(_word.findall(piece))[1], minlength=BUCKETS)
+    f = np.flatnonzero(counts)
+    return f.astype(np.int32), (counts[f] / max(1, counts.sum())).astype(np.float32)
+
+
 def fit(docs: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: int = 0) -> Model:
-    """A model for (text, lang) pairs; every fifth is kept for calibration."""
-    langs = sorted({y for _, y in docs})
+    """A model for (text, lang) pairs."""
+    return fit_bags([(*bag(text), y) for text, y in docs], epochs, rate, seed)
+
+
+def fit_bags(some: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 6, rate: float = 0.5, seed: int = 0) -> Model:
+    """A model for (buckets, shares, lang); every fifth is kept for calibration."""
+    langs = sorted({y for *_, y in some})
     k = len(langs)
     model = Model(langs, np.zeros((BUCKETS, k)), np.zeros(k), 1.0, 0.0)
-    if k < 2:
+    bags = [(f, n, langs.index(y)) for f, n, y in some if len(f)]
+    if k < 2 or not bags:
         return model
-    at = {y: i for i, y in enumerate(langs)}
     rng = np.random.default_rng(seed)
-    bags = []
-    for text, y in docs:
-        ids = subwords(_word.findall(text.lower()))[1]
-        if len(ids):
-            f, n = np.unique(ids.astype(np.int32), return_counts=True)
-            bags.append((f, (n / n.sum()).astype(np.float32), at[y]))
     order = rng.permutation(len(bags))
     aside, used = [bags[i] for i in order[::5]], [bags[i] for i in np.delete(order, np.s_[::5])]
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
@@ -99,18 +115,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Predictor:
-    """Sums of the model's table over the subwords of chunks, remembered up to MAX_WORDS."""
+    """Sums of the model's table over the subwords of chunks, remembered up to MAX_WORDS of them."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.most = min(MAX_WORDS, MAX_SUMS // (len(model.langs) + 1))
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.sums = np.zeros((1024, len(self.model.langs) + 1))
 
-    def probabilities(self, texts: list[str]) -> np.ndarray:
-        if len(self.at) > MAX_WORDS:
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """For each text the table's sums over its n-grams, by language, and the number of n-grams."""
+        if len(self.at) > self.most:
             self.clear()
         chunks = [t.split() for t in texts]
         at, model = self.at, self.model
@@ -131,29 +149,46 @@ class Predictor:
         total = np.zeros((len(texts), self.sums.shape[1]))
         if len(rows):
             total[n > 0] = np.add.reduceat(self.sums[rows], (np.cumsum(n) - n)[n > 0], axis=0)
-        return _softmax((total[:, :-1] / np.maximum(total[:, -1:], 1) + model.bias) / model.temperature)
+        return total
+
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        parts = [list(pieces(t)) for t in texts]
+        if all(len(p) == 1 for p in parts):
+            total = self.totals(texts)
+        else:  # a long text in pieces, so that no step holds all its words
+            total = np.stack([sum(self.totals([p])[0] for p in ps) for ps in parts])
+        return _softmax((total[:, :-1] / np.maximum(total[:, -1:], 1) + self.model.bias) / self.model.temperature)
+
 
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
+    """A model from the documents with a lang that are not held out; a null doc_id counts as not held out.
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """A model from the documents with a lang that are not held out; a null doc_id counts as not held out."""
+    Repeated rows (equal doc_id, lang and text) count once. An empty table gives a model without languages.
+    """
     usable = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"), 4, 2)).select("doc_id", "lang", "text")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
+    languages = usable.agg(F.countDistinct("lang")).first()[0]
+    if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], float(min(1.0, 1.2 * per_language / r["count"])))])[F.col("lang")]
-    # A hash of doc_id picks the share, so a language gives about 1.2 * per_language rows whatever the input.
-    picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
-    by_lang: dict[str, list] = {}
-    for r in picked.toLocalIterator():
-        by_lang.setdefault(r["lang"], []).append((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]))
-    return fit([(t, y) for y, rows in sorted(by_lang.items()) for _, t in sorted(rows)[: 2 * per_language]])
+    size = min(per_language, max(LEAST, sample // languages))
+
+    def bags(batches):
+        for batch in slices(batches):
+            found = [bag(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.float32()))], ["lang", "f", "n"]
+            )
+
+    rows = sampled(usable, size, ["lang"]).select("lang", "text").mapInArrow(bags, "lang string, f array<int>, n array<float>").toLocalIterator()
+    return fit_bags(sorted(((np.array(r["f"], np.int32), np.array(r["n"], np.float32), r["lang"]) for r in rows), key=lambda x: (x[2], len(x[0]), x[0].tobytes(), x[1].tobytes())))
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for each row of docs (doc_id, text).
 
-    lang_pred is "und" with score 0 where the text is null or has no letter, or no language could be learned. Only doc_id
-    and text are read, so other columns cannot clash. Repeated rows are predicted one by one.
+    lang_pred is "und" with score 0 where the text is null or has no letter, or no language could be learned. Of languages
+    with equal probability the first in alphabetical order is chosen. Whole texts are read, long ones piece by piece. Only
+    doc_id and text are read, so other columns cannot clash. Repeated rows are predicted one by one; an empty table gives
+    an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -162,7 +197,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
         langs = np.array([*held.value.langs, "und"], object)
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            lettered = np.array([t is not None and len(langs) > 1 and _letter(t) is not None for t in texts], bool)
+            lettered = np.array([t is not None and len(langs) > 1 and has_letter(t) for t in texts], bool)
             if len(langs) > 1:
                 p = predictor.probabilities([t or "" for t in texts])
                 best, score = p.argmax(axis=1), np.where(lettered, p.max(axis=1), 0.0)
