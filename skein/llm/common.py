@@ -98,6 +98,9 @@ def sampled(rows: DataFrame, size: int, by: list[str]) -> DataFrame:
     """
     h, share, rank = fresh(rows.columns, "h", "share", "rank")
     hashed = rows.withColumn(h, F.xxhash64(*rows.columns))
+    if not by:
+        distinct = max(1, hashed.agg(F.approx_count_distinct(h)).first()[0])
+        return hashed.where(F.pmod(F.col(h), F.lit(1 << 40)) < (1.5 * size + 100) / distinct * float(1 << 40)).dropDuplicates([h]).orderBy(h).limit(size).select(*rows.columns)
     n = hashed.groupBy(*by).agg(F.approx_count_distinct(h).alias(share))
     # Half as many again, and a hundred, so that neither the estimate nor chance leaves too few.
     least = F.lit(1.5 * size + 100) / F.col(share)

@@ -46,8 +46,9 @@ _digits = re.compile(r"[0-9]+").match
 _digit_run = re.compile(r"[0-9](?:[\x20-]?[0-9])+").match
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
 _rest_of_url = re.compile(r"[^\s<>\"'`]+").match
-_value = re.compile(r"(?:[ \t]*(?:no\.?|number|nr\.?|id|#))?[ \t]*(?:[:=]|is\b)?[ \t]*[\"']?([A-Za-z0-9][A-Za-z0-9_/+.-]*[A-Za-z0-9])", re.I).match
-_iban = re.compile(r"[ \t]*[:=]?[ \t]*([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})", re.I).match
+# Blanks are stepped over for good (*+), so that a long run of them is passed once by each part and not tried at every length.
+_value = re.compile(r"(?:[ \t]*+(?:no\.?|number|nr\.?|id|#))?[ \t]*+(?:[:=]|is\b)?[ \t]*+[\"']?([A-Za-z0-9][A-Za-z0-9_/+.-]*[A-Za-z0-9])", re.I).match
+_iban = re.compile(r"[ \t]*+[:=]?[ \t]*+([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})", re.I).match
 
 
 @lru_cache(1)
@@ -159,8 +160,9 @@ def redact(text: str) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans for each row of docs (doc_id, text).
 
-    A null text counts as empty. Repeated rows are judged one by one. Only doc_id and text are read, so other columns
-    cannot clash. Offsets count code points, the end is exclusive.
+    A null text counts as empty. Whole texts are searched, in time that grows with their length. Repeated rows are judged
+    one by one; an empty table gives an empty result. Only doc_id and text are read, so other columns cannot clash. Offsets
+    count code points, the end is exclusive.
     """
 
     def run(batches):

@@ -4,8 +4,9 @@ A linear model over the shapes of the words and a few figures of the document mi
 trusted positives (label 1) and unlabelled web text stand for the two classes, the class prior is estimated from the
 labelled share, and where the estimated risk of the negative class turns negative its gradient is reversed.
 
-The fit uses a bounded sample (TRAIN positives and twice as many unlabelled documents, smallest hash of doc_id first).
-Scoring reads every whole text where it lies, without a shuffle.
+The fit uses a bounded sample (TRAIN positives and twice as many unlabelled documents, smallest hash first); of each only
+its features reach the driver, BUCKETS + N_FIGURES numbers whatever its length. Scoring reads every whole text where it
+lies, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held_out, sampled, slices
 
 TRAIN, BUCKETS, MAX_WORDS, PIECE = 1500, 1024, 300_000, 64
 THRESHOLD = 0.3
@@ -104,10 +105,13 @@ def _features(texts: list[str], known: Shapes) -> tuple[np.ndarray, np.ndarray]:
     return x, f
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, rounds: int = 300, rate: float = 0.05) -> Model:
+def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     known = Shapes()
-    xp, fp = _features(positive, known)
-    xu, fu = _features(unlabelled, known)
+    return fit_features(*_features(positive, known), *_features(unlabelled, known), prior)
+
+
+def fit_features(xp: np.ndarray, fp: np.ndarray, xu: np.ndarray, fu: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05) -> Model:
+    """A model from the shares of shapes (x) and the figures (f) of positives and of unlabelled documents."""
     both = np.concatenate([fp, fu]) if len(fp) + len(fu) else np.zeros((1, N_FIGURES))
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
     model = Model(np.zeros(BUCKETS), np.zeros(N_FIGURES), float(np.log(prior / (1 - prior))), mean, scale, prior)
@@ -145,25 +149,38 @@ def score(texts: list[str | None], model: Model, known: Shapes) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, size: int = TRAIN) -> Model:
     """A model from documents that are not held out: ``size`` positives and twice as many unlabelled, at most.
 
-    labels(doc_id, quality): null labels are left out; a document with several labels has the smallest. The prior is the
-    share of label 1 among all labels that are not held out (one half where there are none).
+    labels(doc_id, quality): null labels are left out; a document with several labels has the smallest. Repeated rows count
+    once: of a doc_id with several texts, a positive is the one with the smallest hash, and the unlabelled are distinct rows.
+    The class prior is the share of label 1 among all labels that are not held out (one half where there are none). Without
+    positives or without documents the score is the prior.
     """
     usable = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.min(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("label"))
-    order = F.xxhash64("doc_id"), "doc_id"
     counts = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
     prior = (counts["ones"] + 0.5) / (counts["n"] + 1)
-    trusted = usable.where("label = 1").orderBy(*order).limit(size).select("doc_id", F.lit(1).alias("label"))
-    web = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(2 * size).select("doc_id", F.lit(0).alias("label"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(trusted.unionByName(web)), "doc_id").select("doc_id", "label", "text").toLocalIterator()
-    seen = sorted({(r["label"], r["doc_id"], r["text"] or "") for r in rows})
-    return fit([t for y, _, t in seen if y], [t for y, _, t in seen if not y], min(max(prior, 0.01), 0.99))
+    ids = usable.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size).select("doc_id")
+    rows = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    trusted = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(F.lit(1).alias("label"), "text")
+    web = sampled(rows, 2 * size, []).select(F.lit(0).alias("label"), "text")
+
+    def features(batches):
+        known = Shapes()
+        for batch in slices(batches):
+            x, f = _features(batch.column("text").to_pylist(), known)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(np.hstack([x, f])), pa.list_(pa.float64()))], ["label", "x"])
+
+    found: list[list[np.ndarray]] = [[], []]
+    for r in trusted.unionByName(web).mapInArrow(features, "label int, x array<double>").toLocalIterator():
+        found[r["label"]].append(np.array(r["x"]))
+    u, p = (np.array(sorted(rows, key=lambda x: x.tobytes())).reshape(-1, BUCKETS + N_FIGURES) for rows in found)
+    return fit_features(p[:, :BUCKETS], p[:, BUCKETS:], u[:, :BUCKETS], u[:, BUCKETS:], min(max(prior, 0.01), 0.99))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
-    Null and empty texts have a score too, that of a text without words. Repeated rows are scored one by one. Only doc_id
-    and text are read, so other columns cannot clash.
+    Null and empty texts have a score too, that of a text without words. Whole texts are scored, very long ones too. Repeated
+    rows are scored one by one; an empty table gives an empty result. Only doc_id and text are read, so other columns cannot
+    clash.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

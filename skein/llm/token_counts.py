@@ -29,8 +29,9 @@ from .common import byte_characters, slices
 
 #: Code points in one chunk of the prefix scan.
 CHUNK = 512
-#: Compiled transitions and remembered pre-tokens in a worker; beyond that it starts again with empty tables.
-MAX_STATES, MAX_WORDS = 200_000, 300_000
+#: Compiled states and remembered pre-tokens in a worker; beyond that it starts again with empty tables, in the middle of a
+#: word if need be. Pre-tokens of more characters than LONGEST are not remembered.
+MAX_STATES, MAX_WORDS, LONGEST = 200_000, 300_000, 64
 
 # Character classes of the pre-tokenizer.
 END, LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE, C_STMD, C_RV, C_L, C_E = range(11)
@@ -156,15 +157,16 @@ class Counter:
                 self.parts.append((self.tokens[a], self.tokens[b]))
             self.joined[self.tokens[a], self.tokens[b]] = whole
         self.prefixes = {t[:i] for t in self.tokens for i in range(1, len(t) + 1)}
-        self.apart: dict[tuple[int, int], bool] = {}
         self.clear()
 
+        self.words: dict[str, int] = {}
+
     def clear(self) -> None:
         #: A state: the text that may still grow into a token, and (length back, last token there, tokens since) for each place to begin one.
         self.states: list[tuple[bytes, tuple]] = [(b"", ((0, -1, 0),))]
         self.number = {self.states[0]: 0}
-        self.step: dict[int, tuple[int, int]] = {}
-        self.words: dict[str, int] = {}
+        self.step.clear()
+        self.apart: dict[tuple[int, int], bool] = {}
 
     def stays_apart(self, a: int, b: int) -> bool:
         """Whether the tokenizer, given the bytes of tokens a and b in a row, returns just these two.
@@ -192,8 +194,11 @@ class Counter:
                 return True
 
     def move(self, state: int, byte: int) -> tuple[int, int]:
-        """Compiles a transition: (next state, tokens added)."""
+        """Compiles a transition: (next state, tokens added). Full tables are emptied first; the next state is in the new ones."""
         tail, places = self.states[state]
+        full = len(self.states) > MAX_STATES
+        if full:
+            self.clear()
         text = tail + bytes([byte])
         token = added = None
         for back, last, since in places:  # longest first: of the tokens that may end here just one can follow
@@ -207,7 +212,9 @@ class Counter:
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-        out = self.step[state << 8 | byte] = (self.number[key], added)
+        out = (self.number[key], added)
+        if not full:  # the state that it leads from is gone otherwise
+            self.step[state << 8 | byte] = out
         return out
 
     def word(self, word: str) -> int:
@@ -217,13 +224,12 @@ class Counter:
         for b in word.encode("utf-8", "surrogatepass"):
             state, added = step(state << 8 | b) or self.move(state, b)
             total += added
-        self.words[word] = total
         return total
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text; special strings inside a text are one token each, as the library's default has it."""
-        if len(self.states) > MAX_STATES or len(self.words) > MAX_WORDS:
-            self.clear()
+        if len(self.words) > MAX_WORDS:
+            self.words = {}
         out = np.zeros(len(texts), np.int64)
         pieces, owners = [], []
         special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
@@ -254,9 +260,9 @@ class Counter:
         words = list(map(whole.__getitem__, map(slice, cut, cut[1:])))
         counts = list(map(known.get, words))
         if None in counts:
-            for w in set(words).difference(known):
-                self.word(w)
-            counts = list(map(known.__getitem__, words))
+            new = {w: self.word(w) for w in set(words).difference(known)}
+            counts = [new[w] if n is None else n for w, n in zip(words, counts, strict=True)]
+            known.update((w, n) for w, n in new.items() if len(w) <= LONGEST)
         out += np.bincount(np.asarray(owners)[of], counts, len(texts)).astype(np.int64)
         return out
 
@@ -271,8 +277,9 @@ def counter(name: str) -> Counter:
 def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text).
 
-    A null text counts as empty: 0 bytes, 0 tokens. Rows that repeat are counted one by one; nothing is shuffled. Only
-    doc_id and text are read, so other columns of docs cannot clash. name: a byte-level BPE file of the package.
+    A null text counts as empty: 0 bytes, 0 tokens. Whole texts are counted, very long words too, with tables of bounded
+    size. Rows that repeat are counted one by one; nothing is shuffled; an empty table gives an empty result. Only doc_id
+    and text are read, so other columns of docs cannot clash. name: a byte-level BPE file of the package.
     """
 
     def run(batches):

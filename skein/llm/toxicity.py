@@ -6,8 +6,9 @@ marginals of a document gives its score; runs of words with a marginal of a half
 
 The labels are of documents, so the words of the training sample are labelled first: features (word families) whose
 document frequency in toxic documents far exceeds that in others are chosen greedily until the toxic documents are
-explained, and the words of toxic documents that have one are tagged toxic. The sample is bounded (TRAIN documents of
-each label, smallest hash of doc_id first); scoring reads every whole text where it lies, without a shuffle.
+explained, and the words of toxic documents that have one are tagged toxic. The sample is bounded (TRAIN documents and
+TRAIN_BYTES of text for each label, smallest hash of doc_id first); scoring reads every whole text where it lies, without
+a shuffle.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import Shared, held_out, slices
 
-#: Labelled documents of each class that the model is fitted on, at most.
-TRAIN = 800
+#: Labelled documents of each class that the model is fitted on, and bytes of their texts, at most.
+TRAIN, TRAIN_BYTES = 1500, 12 << 20
 BUCKETS = 1 << 16
 #: A sequence ends with a sentence or after this many words.
 LONGEST = 128
@@ -297,21 +298,33 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, size: int = TRAIN) -> Model:
     """A model from the labelled documents that are not held out, at most ``size`` of each label.
 
-    labels(doc_id, toxic): null labels are left out; a document with several labels has the largest.
+    labels(doc_id, toxic): null labels are left out; a document with several labels has the largest. Of a doc_id with
+    several rows the text with the smallest hash counts. A text that does not fit into what is left of TRAIN_BYTES is passed
+    over. Null and empty texts teach nothing; without both labels the score is the share of label 1.
     """
     usable = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("label"))
     order = F.xxhash64("doc_id"), "doc_id"
     sample = usable.where("label = 1").orderBy(*order).limit(size).unionByName(usable.where("label = 0").orderBy(*order).limit(size))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").toLocalIterator()
-    seen = {(r["doc_id"], r["text"]): r["label"] for r in rows if r["text"]}  # at most 2 * size rows
-    return fit([(t, y) for (_, t), y in sorted(seen.items(), key=lambda x: x[0])])
+    texts = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    shared = Shared(docs.sparkSession)
+    held = shared.write(texts.withColumn("size", F.octet_length("text")))
+    left, chosen = [TRAIN_BYTES, TRAIN_BYTES], []
+    for r in held.select("doc_id", "label", "size").orderBy(*order).collect():  # 2 * size rows of three numbers
+        if r["size"] <= left[r["label"]]:
+            left[r["label"]] -= r["size"]
+            chosen.append((r["doc_id"],))
+    ids = docs.sparkSession.createDataFrame(chosen, docs.select("doc_id").schema)
+    seen = {r["doc_id"]: (r["text"], r["label"]) for r in held.join(F.broadcast(ids), "doc_id").toLocalIterator()}
+    shared.drop(held)
+    return fit([seen[k] for k in sorted(seen)])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, n_toxic_words and offsets (start, end in code points) for each row of docs.
 
-    Null, empty and blank texts have no words; their score is that of a document without toxic words. Repeated rows are
-    scored one by one. Only doc_id and text are read, so other columns cannot clash.
+    Null, empty and blank texts have no words; their score is that of a document without toxic words. Whole texts are
+    scored, very long ones too. Repeated rows are scored one by one; an empty table gives an empty result. Only doc_id and
+    text are read, so other columns cannot clash.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -344,7 +357,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, that score below a half; decided where the row lies."""
+    """The rows of docs, all columns, that score below a half; decided where the row lies.
+
+    Null, empty and blank texts are judged as documents without toxic words. Repeated rows are judged one by one and keep
+    their order of columns and values; columns of any name besides text pass through untouched. An empty table gives an
+    empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
