@@ -1,12 +1,14 @@
-"""URL filtering: allow and block rules, and a naive Bayes verdict over segmented host names for the rest.
+"""URL filtering: allow and block rules, and a naive Bayes verdict over segmented names for the rest.
 
 Host and path are split off and the rules applied with built-in functions. A url that no rule fits is scored by its
-tokens: the labels of its host are cut into words by a unigram Viterbi search, the segments of its path are taken as they
-are, and multinomial naive Bayes weighs them. It learns from the urls that rules decide and from seed words.
-
-Word frequencies are counted over the visible text of all pages and stay a table. Hosts are cut with the counts of the
-words that they contain, which a join on their substrings finds: at most LONGEST words for each character of a host. The
-token counts come from a bounded sample of urls (TRAIN), smallest hash of page_id first.
+tokens: the runs of letters of its host and path are cut into words by a unigram Viterbi search, and multinomial naive
+Bayes weighs them. It learns from the urls that rules decide, and from further labelled urls where the caller has any.
+
+Word frequencies are counted over the visible text of all pages and stay a table. A name is cut with the counts of the
+words that it contains, which a join on its substrings finds: of at most PREFIX letters, which is the whole of a shorter
+word and the beginning of a longer one, so that a name costs PREFIX rows a letter and no word is too long to be found.
+Each different name is cut once, whatever the number of urls that have it. The token counts come from a bounded sample
+of the decided urls (TRAIN), smallest hash first.
 """
 
 from __future__ import annotations
@@ -22,16 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import Shared, slices
 
-#: Urls to learn from, letters of the longest word in a host, different words that a task counts before it hands them on.
-TRAIN, LONGEST, MAX_WORDS = 20_000, 24, 200_000
+#: Different urls of either verdict to learn from; letters of a word that the join goes by; words that a task counts before it hands them on.
+TRAIN, PREFIX, MAX_WORDS = 20_000, 24, 200_000
+#: Names that very many urls have are dealt to so many tasks when the odds of names are joined to urls.
+SALT = 16
 #: (verdict, host and path); the longest rule that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Words that speak for either verdict before any url is seen, each as often as SEED_WEIGHT urls (fixed values).
-SEEDS = {
-    "block": "adult bet betting bonus casino cheap click crack dating escort farm free gamble jackpot loan lottery malware money pills phishing poker porn prize replica sex spam viagra warez win xxx",
-    "allow": "academy archive blog book college docs edu encyclopedia forum gov health help history journal library magazine museum news paper research school science study university wiki www",
-}
-SEED_WEIGHT = 200
 _letters = re.compile(r"[^\W\d_]+")
 _tags = re.compile(r"(?s)<(script|style)\b.*?</\1>|<[^>]*>")
 
@@ -56,30 +54,22 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-@dataclass
-class Model:
-    words: dict[str, float]  # log probability of a word, of those that the urls it learns from contain
-    unknown: float  # of any one unknown character
-    tokens: dict[str, float] = field(default_factory=dict)  # log odds of block
-    other: float = 0.0  # of a token that was never seen
-    prior: float = 0.0
-    total: int = 0  # of all counts
-
-
-def segment(name: str, model: Model, longest: int = LONGEST) -> list[str]:
-    """The most probable split of a name into words; runs of unknown characters stay together."""
+def segment(name: str, words: dict[str, float], unknown: float) -> list[str]:
+    """The most probable split of a name into words with these log probabilities; ``unknown`` is that of any one other
+    character, and runs of those stay together. Of equally probable splits the one with the latest cut wins."""
+    longest = max(map(len, words), default=0)
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(name) + 1):
-        options = [(best[end - 1][0] + model.unknown, end - 1)]
+        options = [(best[end - 1][0] + unknown, end - 1)]
         for begin in range(max(0, end - longest), end):
-            p = model.words.get(name[begin:end])
+            p = words.get(name[begin:end])
             if p is not None:
                 options.append((best[begin][0] + p, begin))
         best.append(max(options))
     out, end = [], len(name)
     while end:
         begin = best[end][1]
-        known = name[begin:end] in model.words
+        known = name[begin:end] in words
         if out and not known and not out[-1][1]:
             out[-1] = (name[begin:end] + out[-1][0], False)
         else:
@@ -88,34 +78,20 @@ def segment(name: str, model: Model, longest: int = LONGEST) -> list[str]:
     return [w for w, _ in reversed(out)]
 
 
-def tokens(host: str, path: str, model: Model) -> list[str]:
-    host_words = [w for label in _letters.findall(host) for w in segment(label, model)]
-    return [*("h:" + w for w in host_words), *("p:" + w for w in _letters.findall(path.lower()))]
+def logs(counts: dict[str, int], total: int) -> tuple[dict[str, float], float]:
+    """Log probabilities of words, and of one unknown character, when ``total`` words were counted."""
+    total = max(total, 1)
+    return {w: math.log(n / total) for w, n in counts.items()}, math.log(0.1 / total) / 2
 
 
 def _words(html: str) -> list[str]:
     return [w for w in _letters.findall(_tags.sub(" ", html).lower()) if len(w) > 1]
 
 
-def _seeds() -> Counter:
-    return Counter(w for seeds in SEEDS.values() for w in seeds.split() for _ in range(SEED_WEIGHT))
-
-
-def _logs(counts: dict[str, int], total: int) -> tuple[dict[str, float], float]:
-    return {w: math.log(n / total) for w, n in counts.items()}, math.log(0.1 / total) / 2
-
-
-def unigrams(texts: list[str]) -> tuple[dict[str, float], float]:
-    """Log probabilities of the words of the texts and the seeds, and of an unknown character."""
-    counts = Counter(w for t in texts for w in _words(t)) + _seeds()
-    return _logs(counts, sum(counts.values()))
-
-
 def word_counts(pages: DataFrame) -> DataFrame:
-    """word, n: how often each word occurs in the html of all pages and among the seeds."""
-    seeds = pages.sparkSession.createDataFrame(sorted(_seeds().items()), "word string, n long")
+    """word, n: how often each word of two letters or more occurs in the visible text of all pages, whole texts."""
     if "html" not in pages.columns:
-        return seeds
+        return pages.sparkSession.createDataFrame([], "word string, n long")
 
     def rows(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -131,92 +107,131 @@ def word_counts(pages: DataFrame) -> DataFrame:
                 counts = Counter()
         yield rows(counts)
 
-    return pages.select("html").mapInArrow(run, "word string, n long").unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+    return pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """host, found: for each row of hosts (host, distinct) the counted words that its labels contain, as (word, n)."""
+def names(urls: DataFrame) -> DataFrame:
+    """host, path, side, name: the runs of letters of each url, lower-cased; side h for the host, p for the path."""
 
-    def run(batches):
+    def of(side: str, column: str) -> Column:
+        runs = F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{Nl}\p{No}]+)"), F.lit(1))
+        return F.transform(runs, lambda name: F.struct(F.lit(side).alias("side"), name.alias("name")))
+
+    both = F.concat(of("h", "host"), of("p", "path"))
+    return urls.select("host", "path", F.explode(both).alias("w")).select("host", "path", "w.*")
+
+
+def cut(some: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """name, words: each name of ``some`` (name, distinct) in words."""
+
+    def candidates(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                of, inside = [], []
-                for host in batch.column("host").slice(at, 100).to_pylist():
-                    own = {x[i:j] for x in _letters.findall(host) for i in range(len(x)) for j in range(i + 2, min(len(x), i + LONGEST) + 1)}
-                    of += [host] * len(own)
-                    inside += own
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(inside, pa.string())], ["host", "word"])
-
-    candidates = hosts.mapInArrow(run, "host string, word string")
-    found = candidates.join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("found"))
-    return hosts.join(found, "host", "left")
-
-
-def fit(words: dict[str, int], total: int, urls: list[tuple[str, str, str]]) -> Model:
-    """words: counts of the words that the hosts of the urls contain; total: of all counts; urls: (host, path, verdict)."""
-    model = Model(*_logs(words, total), total=total)
-    seen = {v: Counter({side + w: SEED_WEIGHT for w in SEEDS[v].split() for side in ("h:", "p:")}) for v in ("block", "allow")}
-    urls_of = Counter({"block": 1, "allow": 1})
-    for host, path, verdict in urls:
-        urls_of[verdict] += 1
-        seen[verdict].update(tokens(host, path, model))
-    vocabulary = seen["block"].keys() | seen["allow"].keys()
-    total = {v: sum(c.values()) + len(vocabulary) + 1 for v, c in seen.items()}
-    odds = lambda t: math.log((seen["block"][t] + 1) / total["block"]) - math.log((seen["allow"][t] + 1) / total["allow"])
-    model.tokens = {t: odds(t) for t in vocabulary}
-    model.other = 0.0  # an unseen token says nothing
-    model.prior = math.log(urls_of["block"] / urls_of["allow"])
-    return model
+            of, inside, n = [], [], 0
+            for name in batch.column("name").to_pylist():
+                own = {name[i : i + k] for i in range(len(name)) for k in range(2, min(PREFIX, len(name) - i) + 1)}
+                of += [name] * len(own)
+                inside += own
+                n += len(own) * (len(name) + PREFIX)
+                if n > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(inside, pa.string())], ["name", "begin"])
+                    of, inside, n = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(inside, pa.string())], ["name", "begin"])
+
+    def split(batches):
+        for batch in batches:
+            out = []
+            for name, found in zip(batch.column("name").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                out.append(segment(name, *logs({x["word"]: x["n"] for x in found or ()}, total)))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.list_(pa.string()))], ["name", "words"])
 
+    keyed = counts.withColumn("begin", F.substring("word", 1, PREFIX))
+    hits = some.mapInArrow(candidates, "name string, begin string").join(keyed, "begin").where((F.length("word") <= PREFIX) | F.contains("name", F.col("word")))
+    found = hits.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    return some.join(found, "name", "left").mapInArrow(split, "name string, words array<string>")
+
+
+@dataclass
+class Model:
+    tokens: dict[str, float] = field(default_factory=dict)  # log odds of block
+    prior: float = 0.0
+    total: int = 0  # of all counted words
+
+    def odds(self, side: str, words: list[str]) -> float:
+        """The evidence of a name's words; one that no learnt url had says nothing."""
+        return float(sum(self.tokens.get(f"{side}:{w}", 0.0) for w in words))
+
+
+def fit(seen: dict[str, Counter], urls: Counter, total: int = 0) -> Model:
+    """Naive Bayes with one added to each count: of the tokens of the urls of either verdict, and of these urls."""
+    vocabulary = seen["block"].keys() | seen["allow"].keys()
+    size = {v: sum(c.values()) + len(vocabulary) + 1 for v, c in seen.items()}
+    odds = {t: math.log((seen["block"][t] + 1) / size["block"]) - math.log((seen["allow"][t] + 1) / size["allow"]) for t in vocabulary}
+    return Model(odds, math.log((urls["block"] + 1) / (urls["allow"] + 1)), total)
 
-def train(pages: DataFrame, rules=RULES, size: int = TRAIN) -> tuple[Model, DataFrame]:
-    """The model, and the table of word counts that hosts are cut with."""
-    counts = Shared(pages.sparkSession).write(word_counts(pages))
-    host, path = parts(F.col("url"))
-    judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("verdict", rule_of(F.col("host"), F.col("path"), rules)[1])
-    order = F.xxhash64("page_id"), "page_id"
-    urls = judged.where("verdict is not null").orderBy(*order).limit(size).select("host", "path", "verdict").collect()
-    hosts = pages.sparkSession.createDataFrame(sorted({(r["host"],) for r in urls}), "host string")
-    words = {w["word"]: w["n"] for r in host_words(hosts, counts).where("found is not null").toLocalIterator() for w in r["found"]}
-    return fit(words, counts.agg(F.sum("n")).first()[0], [tuple(r) for r in urls]), counts
 
+def train(pages: DataFrame, rules=RULES, size: int = TRAIN, labelled: DataFrame | None = None) -> tuple[Model, DataFrame]:
+    """The model, and the table of word counts that names are cut with.
 
-def host_odds(hosts: DataFrame, learnt: tuple[Model, DataFrame]) -> DataFrame:
-    """host, host_odds: the log odds of block that the words of each host give."""
+    It learns from different (host, path) whose verdict a rule gives, and from ``labelled`` (url, verdict): ``size`` of each
+    verdict at most, smallest hash first. Without any, every url that no rule fits has even odds.
+    """
+    shared = Shared(pages.sparkSession)
+    counts = shared.write(word_counts(pages))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    host, path = parts(F.col("url"))
+    judged = pages.select(host.alias("host"), path.alias("path")).withColumn("verdict", rule_of(F.col("host"), F.col("path"), rules)[1])
+    if labelled is not None:
+        judged = judged.unionByName(labelled.select(host.alias("host"), path.alias("path"), "verdict"))
+    each = [judged.where(F.col("verdict") == v).distinct().orderBy(F.xxhash64("host", "path"), "host", "path").limit(size) for v in ("block", "allow")]
+    urls = shared.write(each[0].unionByName(each[1]))
+    found = names(urls).join(urls, ["host", "path"])
+    words = cut(found.select("name").distinct(), counts, total)
+    tokens = found.join(words, "name").select("verdict", "side", F.explode("words").alias("w")).groupBy("verdict", "side", "w").count()
+    seen = {v: Counter() for v in ("block", "allow")}
+    for r in tokens.toLocalIterator():  # of 2 * size urls at most
+        seen[r["verdict"]][f"{r['side']}:{r['w']}"] = r["count"]
+    return fit(seen, Counter({r["verdict"]: r["count"] for r in urls.groupBy("verdict").count().collect()}), total), counts
+
+
+def url_odds(urls: DataFrame, learnt: tuple[Model, DataFrame]) -> DataFrame:
+    """host, path, block_odds: the log odds of block for each row of urls (host, path, distinct).
+
+    The odds of names are joined to urls by name and a part of the url's hash, as a third of all urls may share a name.
+    """
     model, counts = learnt
-    held = hosts.sparkSession.sparkContext.broadcast(model)
+    held = urls.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(urls.sparkSession)
+    found = shared.write(names(urls))
 
-    def run(batches):
-        model = held.value
+    def odds(batches):
         for batch in batches:
-            hosts, odds = batch.column("host").to_pylist(), []
-            for host, found in zip(hosts, batch.column("found").to_pylist(), strict=True):
-                words, unknown = _logs({x["word"]: x["n"] for x in found or ()}, model.total)
-                odds.append(float(sum(model.tokens.get(t, model.other) for t in tokens(host, "", Model(words, unknown)))))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(odds, pa.float64())], ["host", "host_odds"])
+            words = batch.column("words").to_pylist()
+            values = [pa.array([held.value.odds(side, w) for w in words], pa.float64()) for side in "hp"]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), *values], ["name", "h", "p"])
 
-    return host_words(hosts, counts).mapInArrow(run, "host string, host_odds double")
+    of_name = cut(found.select("name").distinct(), counts, model.total).mapInArrow(odds, "name string, h double, p double")
+    salted = of_name.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = found.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALT)).cast("int"))
+    # The terms of a url are added in one order, so that rounding does not depend on the shuffle.
+    terms = rows.join(salted, ["name", "salt"]).select("host", "path", F.struct("side", "name", F.when(F.col("side") == "h", F.col("h")).otherwise(F.col("p")).alias("x")).alias("t"))
+    summed = terms.groupBy("host", "path").agg(F.aggregate(F.array_sort(F.collect_list("t")), F.lit(0.0), lambda acc, t: acc + t["x"]).alias("evidence"))
+    return urls.join(summed, ["host", "path"], "left").select("host", "path", (F.lit(model.prior) + F.coalesce("evidence", F.lit(0.0))).alias("block_odds"))
 
 
 def judged(pages: DataFrame, learnt: tuple[Model, DataFrame], rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, block_odds for each row of pages (page_id, url).
 
-    Null urls, and urls without "://", have an empty host and path, no rule and the verdict of the prior. Only page_id and
-    url are read, so other columns cannot clash. Repeated rows are judged one by one.
+    block_odds is the method's log odds where no rule fits, else null; even odds allow. Null urls, and urls without "://",
+    have an empty host and path, no rule and the verdict of the prior. Only page_id and url (and html, in training) are
+    read, so other columns cannot clash. Repeated rows are judged one by one, their url once. Very long urls and pages are
+    read whole. An empty table gives an empty result.
     """
-    held = pages.sparkSession.sparkContext.broadcast(learnt[0])
-
-    def run(batches):
-        model = held.value
-        for batch in batches:
-            odds = [model.prior + sum(model.tokens.get("p:" + w, model.other) for w in _letters.findall(p.lower())) for p in batch.column("path").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64())], [*batch.schema.names, "path_odds"])
-
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    kind = pages.schema["page_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"page_id {kind}, host string, path string, path_odds double")
-    out = out.join(host_odds(rows.select("host").distinct(), learnt), "host", "left").withColumn("block_odds", F.col("path_odds") + F.col("host_odds"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    by_method = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "block_odds")
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("verdict", verdict)
+    asked = rows.where("rule is null").select("host", "path").distinct()
+    odds = url_odds(asked, learnt).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    open_rows = rows.where("rule is null").withColumn("salt", (F.rand(7) * SALT).cast("int"))
+    by_method = open_rows.join(odds, ["host", "path", "salt"]).drop("salt").withColumn("verdict", F.when(F.col("block_odds") > 0, "block").otherwise("allow"))
+    by_rule = rows.where("rule is not null").withColumn("block_odds", F.lit(None).cast("double"))
+    return by_rule.unionByName(by_method).select("page_id", "host", "path", "rule", "verdict", "block_odds")

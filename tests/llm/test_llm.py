@@ -380,28 +380,96 @@ def test_url_parts_and_rules(spark):
     assert url_filter.judged(empty, url_filter.train(empty)).count() == 0
 
 
-def test_segmentation_and_method(spark):
-    words, unknown = url_filter.unigrams(["<p>the ring casino</p><script>xx</script>"])
-    model = url_filter.Model(words, unknown)
-    assert url_filter.segment("casinowin", model) == ["casino", "win"] and url_filter.segment("thering", model) == ["the", "ring"]
-    assert "xx" not in words and url_filter.segment("qqqq", model) == ["qqqq"]
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    more = spark.createDataFrame([(1, "http://casinobonus.example.net/en/7"), (2, "http://therea.example.net/en/7")], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in url_filter.judged(more, url_filter.train(pages)).collect()}
-    assert got == {1: "block", 2: "allow"}
+def brute_verdicts(pages, train_pages, rules=url_filter.RULES):
+    """The verdicts of (page_id, url) by plain Python, trained on (page_id, url, html)."""
+    counts = {}
+    for _, _, html in train_pages:
+        text = re.sub(r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ", html or "").lower()
+        for w in re.findall(r"[^\W\d_]+", text):
+            if len(w) > 1:
+                counts[w] = counts.get(w, 0) + 1
+    total = max(1, sum(counts.values()))
+
+    def of(url):
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = re.sub("[A-Z]", lambda m: m.group().lower(), host)
+        fits = [(len(r), r, v) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return host, path, max(fits)[1:] if fits else (None, None)
+
+    def best(name):  # every split, by memory of the ends
+        ways = {0: (0.0, [])}
+        for end in range(1, len(name) + 1):
+            options = []
+            for begin in range(end):
+                w = name[begin:end]
+                if w in counts and len(w) > 1:
+                    options.append((ways[begin][0] + np.log(counts[w] / total), [*ways[begin][1], w]))
+            p, words = ways[end - 1]
+            options.append((p + np.log(0.1 / total) / 2, [*words, "?" + name[end - 1]]))
+            ways[end] = max(options, key=lambda x: x[0])
+        out = []
+        for w in ways[len(name)][1]:
+            if w[0] == "?" and out and out[-1][0] == "?":
+                out[-1] += w[1:]
+            else:
+                out.append(w)
+        return [w.lstrip("?") for w in out]
+
+    tokens = lambda host, path: [f"{s}:{w}" for s, t in (("h", host), ("p", path)) for name in re.findall(r"[^\W\d_]+", t.lower()) for w in best(name)]
+    seen, n = {"block": {}, "allow": {}}, {"block": 0, "allow": 0}
+    for host, path, verdict in {(h, p, v) for h, p, (_, v) in (of(u) for _, u, _ in train_pages) if v}:
+        n[verdict] += 1
+        for t in tokens(host, path):
+            seen[verdict][t] = seen[verdict].get(t, 0) + 1
+    vocabulary = seen["block"].keys() | seen["allow"].keys()
+    size = {v: sum(c.values()) + len(vocabulary) + 1 for v, c in seen.items()}
+    out = []
+    for page_id, url in pages:
+        host, path, (rule, verdict) = of(url)
+        odds = np.log((n["block"] + 1) / (n["allow"] + 1)) + sum(np.log((seen["block"].get(t, 0) + 1) / size["block"]) - np.log((seen["allow"].get(t, 0) + 1) / size["allow"]) for t in tokens(host, path) if t in vocabulary)
+        out.append((page_id, host, path, rule, verdict, odds))
+    return out
+
+
+def test_url_filter_against_brute_force(spark, duck):
+    pages = duck.execute("SELECT page_id, url, html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    got = {r.page_id: r for r in queries.QUERIES["op7_url_filter"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(pages)
+    for page_id, host, path, rule, verdict, odds in brute_verdicts([p[:2] for p in pages], pages):
+        r = got[page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        if rule:
+            assert r.verdict == verdict and r.block_odds is None
+        else:
+            assert abs(r.block_odds - odds) < 1e-6 and (abs(odds) < 1e-9 or r.verdict == ("block" if odds > 0 else "allow"))
+
+
+def test_segmentation():
+    words, unknown = url_filter.logs({"casino": 5, "win": 5, "the": 9, "ring": 4, "x" * 40: 3}, 1_000)
+    assert url_filter.segment("casinowin", words, unknown) == ["casino", "win"] and url_filter.segment("thering", words, unknown) == ["the", "ring"]
+    assert url_filter.segment("qqqq", words, unknown) == ["qqqq"] and url_filter.segment("the" + "x" * 40, words, unknown) == ["the", "x" * 40]
+    assert "xx" not in url_filter._words("<p>the ring</p><script>xx</script>")
 
 
 def test_words_of_all_pages_are_counted(spark):
-    filler = "<p>" + "lorem " * 4_000 + "</p>"
-    pages = [(i, "http://x.example.net/a", f"<p>page{i}</p>") for i in range(1_200)] + [(5_000 + i, "http://x.example.net/a", filler + "zorkmid quuxly") for i in range(3)]
+    filler, long = "<p>" + "lorem " * 4_000 + "</p>", "zorkmid" * 6
+    pages = [(i, "http://x.example.net/a", f"<p>page{i}</p>") for i in range(1_200)] + [(5_000 + i, "http://x.example.net/a", f"{filler}zorkmid quuxly {long}") for i in range(3)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     counts = {r.word: r.n for r in url_filter.word_counts(df).collect()}
-    assert counts["zorkmid"] == counts["quuxly"] == 3 and counts["lorem"] == 12_000 and counts["page"] == 1_200
+    assert counts["zorkmid"] == counts["quuxly"] == counts[long] == 3 and counts["lorem"] == 12_000 and counts["page"] == 1_200
+    some = spark.createDataFrame([(long + "quuxly",), ("quuxlyzzzzmid",), ("lorempage",)], "name string")
+    got = {r.name: r.words for r in url_filter.cut(some, url_filter.word_counts(df), sum(counts.values())).collect()}
+    assert got == {long + "quuxly": [long, "quuxly"], "quuxlyzzzzmid": ["quuxly", "zzzzmid"], "lorempage": ["lorem", "page"]}
     blocked = spark.createDataFrame([(9_000 + i, f"http://zorkmid{'abcdefghij'[i % 10]}.example.com/de/{i}", None) for i in range(400)], df.schema)
     model = url_filter.train(df.unionByName(blocked))
-    asked = spark.createDataFrame([(1, "http://quuxlyzorkmid.example.net/b"), (2, "http://quuxlyzzzzmid.example.net/b")], "page_id long, url string")
-    odds = {r.page_id: r.block_odds for r in url_filter.judged(asked, model).collect()}
-    assert odds[1] > odds[2]
+    asked = spark.createDataFrame([(1, "http://quuxlyzorkmid.example.net/b"), (2, "http://quuxlyzzzzmid.example.net/b"), (None, "http://quuxlyzorkmid.example.net/b"), (3, None), (4, "http://" + "ab1" * 3_000)], "page_id long, url string").withColumns({k: F.lit("x") for k in ("host", "salt", "name", "verdict", "words")})
+    rows_ = url_filter.judged(asked.unionByName(asked), model).collect()
+    odds = {r.page_id: r.block_odds for r in rows_}
+    assert len(rows_) == 10 and odds[1] > odds[2] and odds[None] == odds[1]
+    extra = spark.createDataFrame([(f"http://good{i}.example.net/a", "allow") for i in range(20)], "url string, verdict string")
+    assert url_filter.train(df, labelled=extra)[0].tokens["h:good"] < 0
 
 
 def test_top_k_against_brute_force(spark, nothing):
