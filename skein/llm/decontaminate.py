@@ -4,25 +4,26 @@ The patterns are the word windows of the benchmark items, the alphabet is words.
 a shift table over blocks of two words says how far the search may jump, the block that ends a window selects a bucket,
 the block that begins it selects the candidates inside, and a direct comparison confirms an occurrence.
 
-Documents are never shuffled: every task scans its own texts against the compiled windows. The benchmark is handed out
-in blocks of at most BLOCK_WORDS words, one scan of the documents for each, so what a worker holds has a bound whatever
-the size of the benchmark.
+Documents are never shuffled: every task scans its own texts against the compiled windows. Equal items are searched for
+once, and long ones cut into overlapping pieces, so that the benchmark can be handed out in blocks of about BLOCK_WORDS
+words, whatever it holds: one block, one scan of the documents. With several blocks only the documents that were hit are
+brought together, by the hash of their text.
 """
 
 from __future__ import annotations
 
-import hashlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Shared, fresh, slices
 
 WINDOW = 13
-#: Words of benchmark text in one broadcast block (about 100 MB of compiled tables).
-BLOCK_WORDS = 400_000
+#: Words of benchmark text in one broadcast block (about 130 MB of compiled tables), and of an item in one piece.
+BLOCK_WORDS, PIECE_WORDS = 400_000, 20_000
 #: A-Z become a-z; every other ASCII byte that is neither a digit nor a letter becomes a space; bytes of 128 or more stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -32,31 +33,31 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def windows(item: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ...]]:
-    """All windows of an item; a shorter item is one window, an item without words has none."""
-    if len(item) <= window:
-        return [tuple(item)] if item else []
-    return [tuple(item[i : i + window]) for i in range(len(item) - window + 1)]
-
-
 class WuManber:
-    """Search for word sequences that all have the same length."""
+    """Search for the windows of one length in ``items``, lists of words: all of them, not copied."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[int]], length: int):
+    def __init__(self, items: list[list[bytes]], length: int):
         self.length, self.block = length, min(2, length)
         self.default = length - self.block + 1
         self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[bytes, list]] = {}
-        for pattern, items in patterns.items():
-            for end in range(self.block, length + 1):
-                key = b" ".join(pattern[end - self.block : end])
-                self.shift[key] = min(self.shift.get(key, self.default), length - end)
-            first = b" ".join(pattern[: self.block])
-            self.buckets.setdefault(key, {}).setdefault(first, []).append((list(pattern), items))
+        #: Last and first block of a window -> where such windows begin in ``words``.
+        self.buckets: dict[bytes, list[int]] = {}
+        self.words: list[bytes] = []
+        self.first: list[int] = []  # of each item
+        known: dict[bytes, bytes] = {}
+        for item in items:
+            base = len(self.words)
+            self.first.append(base)
+            self.words += [known.setdefault(w, w) for w in item]
+            keys = [b" ".join(item[e - self.block : e]) for e in range(self.block, len(item) + 1)]
+            for e, key in enumerate(keys, self.block):  # the block that ends here: words to the end of the nearest window
+                self.shift[key] = min(self.shift.get(key, self.default), max(0, length - e))
+            for start in range(len(item) - length + 1):
+                self.buckets.setdefault(keys[start + length - self.block] + b"\n" + keys[start], []).append(base + start)
 
     def search(self, text: list[bytes]) -> Iterator[tuple[int, list[int]]]:
-        """The start of each occurrence, ascending, with the items that own the window."""
-        m, default, shift, pair = self.length, self.default, self.shift.get, self.block == 2
+        """The start of each occurrence, ascending, with the numbers of the items that have the window there."""
+        m, default, shift, pair, words = self.length, self.default, self.shift.get, self.block == 2, self.words
         at, n = m - 1, len(text)
         while at < n:
             key = text[at - 1] + b" " + text[at] if pair else text[at]
@@ -66,36 +67,39 @@ class WuManber:
                 continue
             start = at - m + 1
             head = text[start] + b" " + text[start + 1] if pair else text[start]
-            for pattern, items in self.buckets[key].get(head, ()):
-                if text[start : at + 1] == pattern:
-                    yield start, items
+            places = self.buckets.get(key + b"\n" + head)
+            if places:
+                here = text[start : at + 1]
+                hit = [bisect_right(self.first, p) - 1 for p in places if words[p : p + m] == here]
+                if hit:
+                    yield start, hit
             at += 1
 
 
 class Windows:
     """The windows of some items, compiled; ``find`` gives the hit intervals and the items seen in one text."""
 
-    def __init__(self, items: Iterable[tuple[str, str]], window: int = WINDOW):
-        self.ids: list[str] = []
-        by_length: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
-        for item_id, text in items:
-            self.ids.append(item_id)
-            for w in windows(words(text), window):
-                owners = by_length.setdefault(len(w), {}).setdefault(w, [])
-                if not owners or owners[-1] != len(self.ids) - 1:
-                    owners.append(len(self.ids) - 1)
-        self.machines = [WuManber(p, n) for n, p in sorted(by_length.items())]
+    def __init__(self, items: Iterable[tuple[list[str], str]], window: int = WINDOW):
+        by_length: dict[int, list[tuple[list[bytes], list[str]]]] = {}
+        for ids, text in items:
+            w = words(text)
+            if w:
+                by_length.setdefault(min(len(w), window), []).append((w, ids))
+        self.machines = [(WuManber([w for w, _ in some], n), [ids for _, ids in some]) for n, some in sorted(by_length.items())]
 
     def find(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         spans, seen = [], set()
-        for machine in self.machines:
+        for machine, ids in self.machines:
+            which: set[int] = set()
             for start, items in machine.search(text):
                 if spans and spans[-1][0] <= start <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], max(spans[-1][1], start + machine.length))
                 else:
                     spans.append((start, start + machine.length))
-                seen.update(items)
-        return merged(spans), {self.ids[i] for i in seen}
+                which.update(items)
+            for i in which:
+                seen.update(ids[i])
+        return merged(spans), seen
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -112,7 +116,30 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 FOUND = "n_words long, hits array<struct<first:long,after:long>>, items array<string>"
 
 
-def _scan(docs: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:
+def handed_out(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[list[tuple[list[str], str]]]:
+    """The items as (item_ids, text) in blocks of about ``block_words`` words: equal texts are one, a text of more than
+    PIECE_WORDS words is cut into pieces that overlap by all but one word of a window, so that they have its windows."""
+
+    def cut(batches):
+        for batch in slices(batches):
+            ids, texts, n = [], [], []
+            for i, text in zip(batch.column("ids").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                w = words(text)
+                size = max(PIECE_WORDS, window)
+                for at in range(0, max(1, len(w) - window + 1) if w else 0, size - window + 1):
+                    part = w[at : at + size]
+                    ids.append(i)
+                    texts.append(b" ".join(part).decode("utf-8", "surrogatepass"))
+                    n.append(len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.string())), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["ids", "text", "n"])
+
+    items = benchmark.where("text is not null").groupBy("text").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null"))).alias("ids"))
+    parts = Shared(benchmark.sparkSession).write(items.mapInArrow(cut, "ids array<string>, text string, n long"))
+    blocks = max(1, -(-parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // block_words))
+    return [[(r["ids"], r["text"]) for r in parts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toLocalIterator()] for k in range(blocks)]
+
+
+def _scan(docs: DataFrame, block: list[tuple[list[str], str]], window: int) -> DataFrame:
     """Replaces the text of docs by FOUND."""
     held = docs.sparkSession.sparkContext.broadcast(block)
     ahead = [c for c in docs.columns if c != "text"]
@@ -139,28 +166,28 @@ def _scan(docs: DataFrame, block: list[tuple[str, str]], window: int) -> DataFra
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_words, hits (merged intervals of word positions) and items.
 
-    Null or empty text: no words, no hits. Items with null text have no windows; a null item_id reads "null". Rows that
-    repeat a doc_id are judged one by one. Only doc_id and text are read, so other columns of docs cannot clash.
+    Whole texts are searched, very long ones too. Null or empty text: no words, no hits. Items with null text have no
+    windows; a null item_id reads "null"; items that repeat count once for each item_id. Rows that repeat a doc_id are
+    judged one by one. Empty tables of either kind give no rows or no hits. Only doc_id and text are read, so other columns
+    of docs cannot clash.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count("*").alias("n")).first()
-    blocks = max(1, -(-size["chars"] // (4 * block_words)), -(-size["n"] // block_words))
+    first, *more = handed_out(benchmark, window, block_words)
     rows = docs.select("doc_id", "text")
-    if blocks == 1:
-        return _scan(rows, [tuple(r) for r in items.collect()], window)
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    parts = []
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        parts.append(_scan(rows, [tuple(r) for r in block.collect()], window))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    # Spans of one row that overlap are counted once: each joins the union of those before it.
-    gathered = union.groupBy("_row", "doc_id", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    if not more:
+        return _scan(rows, first, window)
+    # What a text holds does not depend on its row, so the blocks' findings meet by the text's hash and length.
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("size", F.octet_length("text"))
+    found = _scan(rows, first, window)
+    others = None
+    for block in more:
+        part = _scan(rows.where("size > 0").select("h", "size", "text"), block, window).where(F.size("items") > 0).select("h", "size", "hits", "items")
+        others = part if others is None else others.unionByName(part)
+    none = F.array().cast("array<struct<first:long,after:long>>"), F.array().cast("array<string>")
+    others = others.groupBy("h", "size").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("more_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("more_items"))
+    joined = found.join(others, ["h", "size"], "left").select(
+        "doc_id", "n_words", F.array_sort(F.concat("hits", F.coalesce("more_hits", none[0]))).alias("s"), F.array_sort(F.array_union("items", F.coalesce("more_items", none[1]))).alias("items")
     )
-    return gathered.select(
+    return joined.select(
         "doc_id", "n_words",
         F.expr("""aggregate(s, cast(array() as array<struct<first:bigint,after:bigint>>), (acc, x) ->
             case when size(acc) > 0 and x.first <= element_at(acc, -1).after
@@ -179,19 +206,24 @@ def judged(found: DataFrame) -> DataFrame:
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated; decided where the row lies, without a shuffle."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count("*").alias("n")).first()
-    blocks = max(1, -(-size["chars"] // (4 * BLOCK_WORDS)), -(-size["n"] // BLOCK_WORDS))
-    if blocks > 1:
-        keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-        bad = judged(contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark)).where("contaminated")
-        return keyed.join(bad.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(docs.columns)
-    held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated; decided where the row lies, without a shuffle.
+
+    Null and empty texts, and rows met with an empty benchmark, stay. Rows that repeat are judged one by one, and whole
+    texts, very long ones too. Columns of any name besides text pass through untouched. An empty table gives an empty
+    result. If the benchmark takes several blocks, the hashes of contaminated texts decide in a join.
+    """
+    first, *more = handed_out(benchmark, window, block_words)
+    if more:
+        h, size = fresh(docs.columns, "h", "size")
+        key = F.xxhash64("text"), F.octet_length("text")
+        texts = docs.select(F.struct(key[0].alias("h"), key[1].alias("size")).alias("doc_id"), "text")
+        bad = judged(contamination(texts, benchmark, window, block_words)).where("contaminated").select(F.col("doc_id.h").alias(h), F.col("doc_id.size").alias(size)).distinct()
+        return docs.withColumn(h, key[0]).withColumn(size, key[1]).join(bad, [h, size], "left_anti").select(docs.columns)
+    held = docs.sparkSession.sparkContext.broadcast(first)
 
     def keep(batches):
-        compiled = Windows(held.value)
+        compiled = Windows(held.value, window)
         for batch in slices(batches):
             clean = []
             for text in batch.column("text"):
@@ -201,7 +233,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
-
-
-def sha_of_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import Shared, byte_characters, slices
 
 CAPACITY = 1024
-#: Pieces of one length are numbered in so many parts, in order of the parts.
-PARTS = 4096
+#: Pieces of one length are numbered in parts of about so many documents, in order of the parts.
+PART_ROWS = 50_000
 #: Tokenized runs of text remembered in a worker, and the longest of them: long ones rarely come back.
 MAX_RUNS, LONGEST_RUN = 300_000, 12
 
@@ -205,12 +205,15 @@ def pack(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 2, capa
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each row of docs (doc_id, text).
 
     A null text counts as empty and still gives its end id. Rows that repeat, and rows without a doc_id, are packed one by
-    one. Only documents longer than ``capacity`` are cut, and only their first piece is shorter than that. Only doc_id
+    one. Whole texts are tokenized, very long ones too. Only documents longer than ``capacity`` are cut, and only their first piece is shorter than that. Only doc_id
     and text are read, so other columns of docs cannot clash. An empty table gives no pieces.
     """
     spark = docs.sparkSession
     shared = Shared(spark)
-    rows = shared.write(tokenized(docs, name, end_id, capacity).withColumn("part", F.pmod(F.xxhash64("doc_id", "n", "crcs"), F.lit(PARTS)).cast("int")))
+    # Dealt by row and not by content, as rows may repeat; the written table fixes it.
+    rows = shared.write(tokenized(docs, name, end_id, capacity).withColumn("dealt", F.xxhash64(F.monotonically_increasing_id())))
+    parts = max(16, rows.count() // PART_ROWS)
+    rows = rows.withColumn("part", F.pmod("dealt", F.lit(parts)).cast("int")).drop("dealt")
     # Pieces of full length fill a bin each; one shorter piece a document may be left, the first.
     short = F.when(F.col("n") % capacity > 0, (F.col("n") % capacity).cast("int"))
     counted = rows.groupBy("part", short.alias("short")).agg(F.count("*").alias("rows"), F.sum(F.floor(F.col("n") / capacity)).alias("full"))
@@ -219,13 +222,12 @@ def pack(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 2, capa
     plan = best_two_fit({r["short"]: r["rows"] for r in totals}, capacity)
     held, bins = spark.sparkContext.broadcast(lookup(plan, capacity)), sum(t for _, t in plan)
 
-    # How many pieces of a length lie in the parts before: sums over at most PARTS rows for each length.
+    # How many pieces of a length lie in the parts before: sums over a row for each part and length.
     before = "sum({0}) over (partition by short order by part rows between unbounded preceding and 1 preceding)"
     lengths = counted.where("short is not null").select("part", "short", F.expr(f"coalesce({before.format('rows')}, 0)").alias("before"))
-    parts = counted.groupBy("part").agg(F.sum("full").alias("full"))
-    step = parts.select("*", F.lit(None).cast("int").alias("short")).selectExpr("part", f"coalesce({before.format('full')}, 0) as full_before")
+    step = counted.groupBy("part").agg(F.sum("full").alias("full")).select("*", F.lit(None).cast("int").alias("short")).selectExpr("part", f"coalesce({before.format('full')}, 0) as full_before")
     # Numbers inside a part: by length for the short pieces, over all documents for the full ones. The shuffle deals by part.
-    inside = rows.withColumn("short", short).repartition("part").selectExpr(
+    inside = rows.withColumn("short", short).repartition(parts, "part").selectExpr(
         "*",
         "row_number() over (partition by part, short order by doc_id, n, crcs) - 1 as nth",
         f"coalesce(sum(floor(n / {capacity})) over (partition by part order by short, doc_id, n, crcs rows between unbounded preceding and 1 preceding), 0) as full_nth",

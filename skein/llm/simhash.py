@@ -5,9 +5,11 @@ then for any thresholds t_i with sum(t_i) = T - m + 1 some partition i differs i
 need not be probed). Dynamic programming picks the t_i from estimated candidate counts. Every fingerprint is indexed by
 its bits in each probed partition and probes all keys within t_i bits; the pairs that meet are verified by bit_count.
 
-Equal texts share a fingerprint and are collapsed before any search, so a group of copies costs one row. A bucket with
-more than HOT fingerprints is split again by the other bits. Links become components by alternating large and small
-stars, each round written to the shared folder.
+Equal texts share a fingerprint and are collapsed before any search, so a group of copies costs one row. Components need
+not all links, so a dense group is not searched pair by pair: fingerprints in buckets of more than HOT are first tied to
+their neighbours at one bit, which an equality join finds, and in those buckets, split again by the other bits, only
+fingerprints of different such groups are compared, those of a bucket's largest group with the rest. Links become
+components by alternating large and small stars, each round written to the shared folder.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, slices
+from .common import Shared, fresh, slices
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints used to estimate candidate counts (a bound on the sample, not on the search).
@@ -163,32 +165,73 @@ def _variants(fp, part: int, mask: int, bits: list[int], t: int) -> list:
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, shared: Shared | None = None) -> DataFrame:
-    """All pairs a < b of distinct fingerprints within ``distance`` bits."""
+    """Pairs a, b of fingerprints (fp, distinct) whose components are those of all pairs within ``distance`` bits.
+
+    In buckets of at most HOT fingerprints these are all the pairs that meet there. In others: ties at one bit, and ties
+    between the groups that these make, each named by its smallest fingerprint.
+    """
     shared = shared or Shared(fps.sparkSession)
     parts = plan(fps, distance)
     fp = F.col("fp")
     index = fps.select("fp", F.explode(F.array(*[v for i, (mask, bits, _) in enumerate(parts) for v in _variants(fp, i, mask, bits, 0)])).alias("k")).select("fp", "k.*")
     probe = fps.select("fp", F.explode(F.array(*[v for i, (mask, bits, t) in enumerate(parts) for v in _variants(fp, i, mask, bits, t)])).alias("k")).select("fp", "k.*")
-    hot = shared.write(index.groupBy("part", "key").count().where(F.col("count") > HOT).select("part", "key", F.lit(True).alias("hot")))
-
-    def split(rows: DataFrame) -> DataFrame:
-        """In a hot bucket the other bits, in distance + 1 equal groups of which one must be equal, extend the key."""
+    hot = shared.write(index.groupBy("part", "key").count().where(F.col("count") > HOT).select("part", "key"))
+    on = ["part", "key"]
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    if not hot.limit(1).count():
+        return _named(index, "a").join(_named(probe, "b"), on).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    cold = _named(index.join(hot, on, "left_anti"), "a").join(_named(probe, "b"), on).where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
+    members = shared.write(index.join(hot, on, "left_semi").select("fp").distinct())
+    flips = F.explode(F.array(*[fp.bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)])).alias("b")
+    hops = shared.write(members.select(F.col("fp").alias("a"), flips).where("a < b").join(members.withColumnRenamed("fp", "b"), "b", "left_semi").select("a", "b"))
+    roots = shared.write(components(hops, shared).withColumnsRenamed({"node": "fp"}))
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        inside = rows.join(hot, on, "left_semi").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         again = F.lit(None).cast("array<struct<sub:int,more:bigint>>")
         for i, (_, bits, _) in enumerate(parts):
-            rest = [b for b in range(64) if b not in bits]
-            subs = [rest[j :: distance + 1] for j in range(distance + 1)]
-            keys = F.array(*[F.struct(F.lit(j).alias("sub"), fp.bitwiseAND(F.lit(_signed(sum(1 << b for b in s)))).alias("more")) for j, s in enumerate(subs)])
-            again = F.when(F.col("part") == i, keys).otherwise(again)
-        whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("more")))
-        return rows.join(hot, ["part", "key"], "left").select("fp", "part", "key", F.explode(F.when(F.col("hot"), again).otherwise(whole)).alias("s")).select("fp", "part", "key", "s.*")
-
-    if hot.limit(1).count():
-        index, probe, on = split(index), split(probe), ["part", "key", "sub", "more"]
-    else:
-        on = ["part", "key"]
-    a, b = index.withColumnRenamed("fp", "a"), probe.withColumnRenamed("fp", "b")
-    pairs = a.join(b, on).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
-    return pairs.select("a", "b").distinct()
+            again = F.when(F.col("part") == i, F.array(*_equal_groups([b for b in range(64) if b not in bits], distance + 1, distance))).otherwise(again)
+        return inside.withColumn("s", F.explode(again)).select("fp", "root", F.struct("part", "key", "s.sub", "s.more").alias("bucket"))
+
+    left, right = shared.write(rooted(index)), shared.write(rooted(probe))
+    crowded = shared.write(_groups(left).where(f"n > {HOT} and roots > 1").select("bucket"))
+    ties = [_between(left.join(crowded, "bucket", "left_anti"), right, near)]
+    if crowded.limit(1).count():  # those once more, by any five of eight groups of all bits
+        finer = F.explode(F.array(*_equal_groups(list(range(64)), distance + 5, distance))).alias("s")
+        left, right = (r.join(crowded, "bucket", "left_semi").select("fp", "root", "bucket", finer).select("fp", "root", F.struct("bucket", "s.sub", "s.more").alias("bucket")) for r in (left, right))
+        ties.append(_between(left, right, near))
+    out = cold.unionByName(hops)
+    for t in ties:
+        out = out.unionByName(t)
+    return out
+
+
+def _named(rows: DataFrame, name: str) -> DataFrame:
+    return rows.withColumnRenamed("fp", name)
+
+
+def _equal_groups(bits: list[int], n: int, distance: int) -> list:
+    """Keys of fp, one for each choice of n - distance of n groups of the bits: of two fingerprints that differ in at most
+    ``distance`` bits one is equal."""
+    groups = [bits[j::n] for j in range(n)]
+    masks = [_signed(sum(1 << b for g in some for b in groups[g])) for some in itertools.combinations(range(n), n - distance)]
+    return [F.struct(F.lit(i).alias("sub"), F.col("fp").bitwiseAND(F.lit(m)).alias("more")) for i, m in enumerate(masks)]
+
+
+def _groups(index: DataFrame) -> DataFrame:
+    """bucket, n (fingerprints), roots (different ones) and main (the most frequent root)."""
+    each = index.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    return each.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).getField("root").alias("main"))
+
+
+def _between(index: DataFrame, probe: DataFrame, near) -> DataFrame:
+    """Pairs of different roots that have fingerprints within the distance in one bucket. Those of the bucket's main root
+    are not compared with each other."""
+    main = _groups(index).select("bucket", "main")
+    a = index.join(main, "bucket").select("bucket", F.col("fp").alias("a"), F.col("root").alias("ra"), (F.col("root") == F.col("main")).alias("of_main"))
+    b = probe.join(main, "bucket").select("bucket", F.col("fp").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("b_of_main"))
+    met = a.where("not of_main").join(b, "bucket").unionByName(a.where("of_main").join(b.where("not b_of_main"), "bucket"))
+    return met.where((F.col("ra") != F.col("rb")) & near).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
 
 
 def components(edges: DataFrame, shared: Shared) -> DataFrame:
@@ -223,7 +266,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     component_id: the smallest doc_id of the component; rows with a null doc_id never give it, and it is null where all
     are null. root names the component by its smallest fingerprint. Null, empty and blank texts share fingerprint zero.
-    Repeated rows keep their own line. An empty table gives an empty result.
+    Whole texts are read, very long ones too. Repeated rows keep their own line. An empty table gives an empty result. Only
+    doc_id and text are read, so other columns cannot clash.
     """
     shared = Shared(docs.sparkSession)
     rows = shared.write(fingerprints(docs))
@@ -236,9 +280,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One row of each component, all columns: that with the smallest doc_id (null last), then the smallest text hash."""
+    """One row of each component, all columns: that with the smallest doc_id (null last), then the smallest text hash.
+
+    Of rows with equal doc_id and text one stays, whichever; columns of any name besides doc_id and text pass through
+    untouched. An empty table gives an empty result.
+    """
+    h, id_, of = fresh(docs.columns, "h", "id", "of")
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
-    kept = near_duplicates(docs, distance).groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h")).distinct()
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    kept = near_duplicates(docs, distance).groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias(id_), F.col("k.h").alias(of)).distinct()
+    rows = docs.withColumn(h, F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(of)), "left_semi")
+    return rows.dropDuplicates(["doc_id", h]).select(docs.columns)

@@ -123,11 +123,21 @@ def test_links_find_every_pair(spark, monkeypatch):
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = {b for b in base} | {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(12)}
     signed = [simhash._signed(f) for f in fps]
-    want = {tuple(sorted((a, b))) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    ball = rng.getrandbits(64)  # a dense group, tied at one bit, and another near it that is not
+    fps |= {ball ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(12)} | {ball ^ (0x15 << 40) ^ (1 << a) ^ (1 << b) for a in range(0, 12, 2) for b in range(1, 12, 2)}
+    signed = [simhash._signed(f) for f in fps]
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    for hot in (simhash.HOT, 2):  # without and with split buckets
+    want = brute_components({f: f & (2**64 - 1) for f in signed})
+    for hot in (simhash.HOT, 30, 2):  # without split buckets, with them, and with buckets split twice
         monkeypatch.setattr(simhash, "HOT", hot)
-        assert {(r.a, r.b) for r in simhash.links(df).collect()} == want
+        shared = Shared(spark)
+        found = simhash.links(df, shared=shared)
+        pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()}
+        if hot > 30:
+            assert pairs == {(a, b) for a in signed for b in signed if a < b and near(a, b)}
+        roots = {r.node: r.root for r in simhash.components(found, shared).collect()}
+        assert {f: roots.get(f, f) for f in signed} == want
 
 
 def test_allocation_obeys_the_generalised_pigeonhole():
