@@ -19,7 +19,10 @@ MODALITY_CUES = {
     "PLAN": ("planned", "intended", "decided", "promised", "will"),
 }
 #: Honorifics that a name may begin with (fixed values).
-TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "lord", "lady", "king", "queen", "prince", "princess", "captain")
+TITLES = (
+    "mr mrs ms miss dr doctor prof professor sir madam madame lord lady king queen prince princess captain commander general colonel major sergeant lieutenant "
+    "father mother brother sister coach detective officer nurse principal judge justice senator governor mayor president headmaster headmistress master mistress"
+).split()
 
 
 def collapse_spaces(text: Column) -> Column:

@@ -63,3 +63,40 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
             edge(table(spark, sf_dir, "nation"), _id("N", "n_nationkey"), "part_of", _id("R", "n_regionkey"), one, dep, F.col("n_nationkey"), zero),
         ],
     )
+
+
+def named(letter: str, key: Column) -> Column:
+    """A name in letters for a number: 12 becomes Xxbc."""
+    return F.concat(F.lit(letter), F.translate(key.cast("string"), "0123456789", "abcdefghij"))
+
+
+#: The sentences of a story by the order's key modulo six; c customer, s supplier, p part, n nation, y year.
+STORIES = (
+    "{c} married {s} in {n}. {c} lives in {n}.",
+    "{c} bought {p} from {s}. {s} did not visit {n}.",
+    '"{p} is lost," said {c}. {s} travelled to {n}.',
+    "Dr. {c} gave {p} to {s} in {y}. He lived in {n}.",
+    "{c} is the father of {s}. {s} was tired. {p} was destroyed by {c}.",
+    "{c} and {s} fought {p} near {n}. {s} died in {n} in {y}.",
+)
+
+
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: an English text of two or three sentences for each order, told of its customer, nation, first supplier
+    and first part. The supplied documents are invented words without grammar; these have relations to be found."""
+    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+    rows = table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    who = {"c": named("Cu", F.col("o_custkey")), "s": named("Su", F.col("s")), "p": named("Pa", F.col("p")), "n": named("Na", F.col("c_nationkey")), "y": F.year("o_orderdate").cast("string")}
+
+    def told(story: str) -> Column:
+        parts, rest = [], story
+        while "{" in rest:
+            before, _, rest = rest.partition("{")
+            name, _, rest = rest.partition("}")
+            parts += [F.lit(before), who[name]]
+        return F.concat(*parts, F.lit(rest))
+
+    text = F.lit(None).cast("string")
+    for t, story in enumerate(STORIES):
+        text = F.when(F.col("o_orderkey") % len(STORIES) == t, told(story)).otherwise(text)
+    return rows.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))

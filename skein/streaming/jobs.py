@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: file ingest, windowed counts, a keyed token bucket, decaying salience.
+"""Structured Streaming jobs: file ingest, windowed counts, a keyed token bucket, the decaying salience of names.
 
 Each ``run_*`` drives its stream with the availableNow trigger until the input is used up, writes to a folder and reads it
 back; a service would start the same stream with a processing-time trigger.
@@ -74,6 +74,51 @@ def run_token_bucket(spark: SparkSession, path: str, capacity: float = 3, refill
     return spark.read.parquet(f"{folder}/out")
 
 
+#: What is left of a name's salience after each sentence, and below what it is forgotten.
+DECAY, FORGOTTEN = 0.8, 0.3
+
+
+def salience_stack(mentions: DataFrame) -> DataFrame:
+    """doc_id, name, sent, salience of a stream of mentions (doc_id, name, sent, weight), in the state after each micro-batch.
+
+    A name's salience grows by the weight of each mention and falls to DECAY of itself with every sentence; below FORGOTTEN it
+    is zero again. The state of a (document, name) is two numbers. Of one micro-batch the mentions of a key are summed by
+    sentence first, so a frequent name costs a row a sentence; mentions of earlier sentences that come later count where the
+    state is, without decay.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        salience, at = state.get if state.exists else (0.0, None)
+        by_sentence: dict[int, float] = {}
+        for rows in batches:
+            for sent, weight in rows.groupby("sent")["weight"].sum().items():
+                by_sentence[sent] = by_sentence.get(sent, 0.0) + weight
+        for sent in sorted(by_sentence):
+            if at is not None:
+                salience *= DECAY ** max(0, sent - at)
+                salience = 0.0 if salience < FORGOTTEN else salience
+            at = sent if at is None else max(at, sent)
+            salience += by_sentence[sent]
+        state.update((float(salience), int(at)))
+        yield pd.DataFrame({"doc_id": [key[0]], "name": [key[1]], "sent": [at], "salience": [salience]})
+
+    return mentions.groupBy("doc_id", "name").applyInPandasWithState(
+        step, "doc_id long, name string, sent long, salience double", "salience double, at long", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def run_salience(spark: SparkSession, path: str) -> DataFrame:
+    """The last state of each user's event types, a day being a sentence: the weight of a purchase is 3, of a click 2, else 1."""
+    folder = shared_path(spark)
+    events = parquet_stream(spark, path)
+    weight = F.when(F.col("event_type") == "purchase", 3.0).when(F.col("event_type") == "click", 2.0).otherwise(1.0)
+    day = F.unix_date(F.col("ts").cast("timestamp").cast("date")).cast("long")
+    rows = events.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("name"), day.alias("sent"), weight.alias("weight"))
+    finish(salience_stack(rows), folder, "update", lambda batch, k: batch.withColumn("k", F.lit(k)).write.mode("append").parquet(f"{folder}/out"))
+    states = spark.read.parquet(f"{folder}/out")
+    return states.groupBy("doc_id", "name").agg(F.max_by(F.struct("sent", "salience"), "k").alias("s")).select("doc_id", "name", "s.sent", F.round("s.salience", 6).alias("salience"))
+
+
 def ingest(spark: SparkSession, inbox: str, table_path: str, extract: Callable[[DataFrame], DataFrame]) -> None:
     """New .txt and .md files of ``inbox`` go through ``extract`` and are appended to ``table_path``.
 

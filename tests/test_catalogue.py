@@ -2,7 +2,7 @@
 
 import pytest
 
-from skein.plans import catalogue, more  # noqa: F401
+from skein.plans import catalogue, knowledge, more, narrative, rendering  # noqa: F401
 
 from .conftest import SF, rows
 
