@@ -119,5 +119,5 @@ def csv_rows(relations: DataFrame, entities: DataFrame) -> DataFrame:
     named = R.with_names(relations, entities)
     return named.select(
         F.col("subj_name").alias("subject"), F.col("pred").alias("predicate"), F.col("obj_name").alias("object"), F.format_string("%.3f", "confidence").alias("confidence"), first("time").alias("time"), first("place").alias("place"),
-        F.coalesce(F.try_element_at(F.filter(F.transform("evidence", T.normalize_evidence), lambda x: x != ""), F.lit(1)), F.lit("")).alias("evidence"),
+        F.coalesce(F.try_element_at(F.filter(F.transform("evidence", lambda x: T.normalize_evidence(x)), lambda x: x != ""), F.lit(1)), F.lit("")).alias("evidence"),
     )

@@ -21,7 +21,7 @@ LOCAL = """ent AS (SELECT 'P' || p_partkey AS id, p_name AS canonical, lower(p_n
   UNION ALL SELECT DISTINCT 'B' || p_brand, p_brand, lower(p_brand), NULL, 0 FROM part),
 ed AS (SELECT name AS a, alias AS b FROM ent WHERE alias IS NOT NULL UNION SELECT alias, name FROM ent WHERE alias IS NOT NULL),
 reach AS (SELECT DISTINCT name AS a, name AS b FROM ent UNION SELECT r.a, e.b FROM reach r JOIN ed e ON r.b = e.a),
-least_of AS (SELECT a AS name, min(f.id) AS global_id FROM reach JOIN ent f ON f.name = reach.b GROUP BY 1), glob AS (SELECT ent.*, global_id FROM ent JOIN least_of USING (name))"""
+least_of AS (SELECT a AS name, min(f.id) AS global_id FROM reach JOIN ent f ON f.name = reach.b GROUP BY 1), gl AS (SELECT ent.*, global_id FROM ent JOIN least_of USING (name))"""
 
 
 def _local(spark, sf_dir):
@@ -32,25 +32,25 @@ def _local(spark, sf_dir):
     return items.unionByName(brands)
 
 
-@query(f"WITH RECURSIVE {LOCAL} SELECT id, global_id FROM glob")
+@query(f"WITH RECURSIVE {LOCAL} SELECT id, global_id FROM gl")
 def merged_entities(spark, sf_dir):
     return Y.merged(_local(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {LOCAL} SELECT global_id, first(canonical ORDER BY length(canonical) DESC, canonical) AS canonical, count(*) AS n_local,
-  CAST(len(list_distinct(list(canonical) || list(alias) FILTER (alias IS NOT NULL))) - 1 AS INTEGER) AS n_aliases FROM glob GROUP BY 1""")
+  CAST(len(list_distinct(list(canonical) || coalesce(list(alias) FILTER (alias IS NOT NULL), []))) - 1 AS INTEGER) AS n_aliases FROM gl GROUP BY 1""")
 def global_entities(spark, sf_dir):
     local = _local(spark, sf_dir)
     return Y.global_entities(local, Y.merged(local)).select("global_id", "canonical", "n_local", F.size("aliases").alias("n_aliases"))
 
 
-@query(f"WITH RECURSIVE {LOCAL} SELECT global_id, doc_id, id AS local_id, canonical AS local_canonical FROM glob")
+@query(f"WITH RECURSIVE {LOCAL} SELECT global_id, doc_id, id AS local_id, canonical AS local_canonical FROM gl")
 def merge_provenance(spark, sf_dir):
     local = _local(spark, sf_dir)
     return Y.provenance(local, Y.merged(local))
 
 
-@query(f"""WITH RECURSIVE {LOCAL}, {TRI} SELECT coalesce(a.global_id, subj) AS subj, pred, coalesce(b.global_id, obj) AS obj, count(*) AS n FROM triples LEFT JOIN glob a ON a.id = subj LEFT JOIN glob b ON b.id = obj WHERE pred = 'supplies' GROUP BY 1, 2, 3""")
+@query(f"""WITH RECURSIVE {LOCAL}, {TRI} SELECT coalesce(a.global_id, subj) AS subj, pred, coalesce(b.global_id, obj) AS obj, count(*) AS n FROM triples LEFT JOIN gl a ON a.id = subj LEFT JOIN gl b ON b.id = obj WHERE pred = 'supplies' GROUP BY 1, 2, 3""")
 def rewired_relations(spark, sf_dir):
     rows = Y.rewired(B.triples(spark, sf_dir).where("pred = 'supplies'"), Y.merged(_local(spark, sf_dir)))
     return rows.groupBy("subj", "pred", "obj").agg(F.count("*").alias("n"))
@@ -253,9 +253,9 @@ def _seen(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), (at * 1).alias("at"), F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("context"), F.col("event_type").alias("descriptor"))
 
 
-PROFILE = """ev AS (SELECT user_id AS id, epoch_us(ts) AS at, 'e' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS context, event_type AS descriptor, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, 'e' || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS r FROM events),
-prof AS (SELECT id, count(*) AS n, min(at) AS first_seen, max(at) AS last_seen, array_to_string(list_sort(list(DISTINCT descriptor)), ',') AS descriptors, round(least(0.95, 0.5 + 0.05 * count(*)), 6) AS confidence,
-  coalesce(string_agg(context, ',' ORDER BY at, context) FILTER (r <= 20), '') AS contexts FROM ev GROUP BY 1)"""
+PROFILE = """ev AS (SELECT user_id AS id, epoch_us(ts) AS tm, 'e' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS context, event_type AS descriptor, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, 'e' || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS r FROM events),
+prof AS (SELECT id, count(*) AS n, min(tm) AS first_seen, max(tm) AS last_seen, array_to_string(list_sort(list(DISTINCT descriptor)), ',') AS descriptors, round(least(0.95, 0.5 + 0.05 * count(*)), 6) AS confidence,
+  coalesce(string_agg(context, ',' ORDER BY tm, context) FILTER (r <= 20), '') AS contexts FROM ev GROUP BY 1)"""
 
 
 @query(f"WITH {PROFILE} SELECT * FROM prof")
@@ -280,7 +280,7 @@ def find_by_descriptor(spark, sf_dir):
     return O.by_descriptor(O.profiles(_seen(spark, sf_dir)), ["purchase", "view"])
 
 
-@query("""WITH l AS (SELECT user_id AS id, epoch(ts)::BIGINT AS at, event_type AS method, CAST(event_id AS VARCHAR) AS surface, least(value / 500, 1) AS confidence, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT, CAST(event_id AS VARCHAR)) AS gap FROM events),
+@query("""WITH l AS (SELECT user_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS tm, event_type AS method, CAST(event_id AS VARCHAR) AS surface, least(value / 500, 1) AS confidence, CAST(floor(epoch(ts)) AS BIGINT) - lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), CAST(event_id AS VARCHAR)) AS gap FROM events),
 c AS (SELECT id, count(*) AS length, count(DISTINCT method) AS methods, round(coalesce(avg(gap), 0), 6) AS average_gap, coalesce(max(gap), 0) AS largest_gap, avg(confidence) AS sure FROM l GROUP BY 1)
 SELECT id, length, methods, average_gap, largest_gap, round(least(1, 0.4 * sure + 0.2 * least(length / 5, 1) + 0.2 * least(methods / 3, 1) + 0.2 * greatest(0, 1 - average_gap / 1000)), 6) AS score FROM c""")
 def coref_chains(spark, sf_dir):
