@@ -157,9 +157,9 @@ class Counter:
                 self.parts.append((self.tokens[a], self.tokens[b]))
             self.joined[self.tokens[a], self.tokens[b]] = whole
         self.prefixes = {t[:i] for t in self.tokens for i in range(1, len(t) + 1)}
-        self.clear()
-
+        self.step: dict[int, tuple[int, int]] = {}
         self.words: dict[str, int] = {}
+        self.clear()
 
     def clear(self) -> None:
         #: A state: the text that may still grow into a token, and (length back, last token there, tokens since) for each place to begin one.

@@ -212,11 +212,11 @@ def tagged(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.nd
 
 
 def fit(docs: list[tuple[str, int]], rounds: int = 60, seed: int = 0) -> Model:
-    """A model for (text, label) pairs; without both labels its score is the share of label 1."""
+    """A model for (text, label) pairs; without both labels its score is the share of label 1, a quarter without any."""
     model = Model(np.zeros(BUCKETS), -4.0, np.zeros((2, 2)), np.zeros(4))
     labels = np.array([y for _, y in docs], float)
     if not len(docs) or labels.min() == labels.max():
-        share = (labels.sum() + 0.5) / (len(labels) + 1)
+        share = (labels.sum() + 0.25) / (len(labels) + 1)
         model.curve[0] = np.log(share / (1 - share))
         return model
     chunks = [(t or "").lower().split() for t, _ in docs]
@@ -300,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = TRAIN) -> Model:
 
     labels(doc_id, toxic): null labels are left out; a document with several labels has the largest. Of a doc_id with
     several rows the text with the smallest hash counts. A text that does not fit into what is left of TRAIN_BYTES is passed
-    over. Null and empty texts teach nothing; without both labels the score is the share of label 1.
+    over. Null and empty texts teach nothing; without both labels the score is the share of label 1, a quarter without any.
     """
     usable = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("label"))
     order = F.xxhash64("doc_id"), "doc_id"
