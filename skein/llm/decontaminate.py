@@ -136,7 +136,7 @@ def handed_out(benchmark: DataFrame, window: int = WINDOW, block_words: int = BL
     items = benchmark.where("text is not null").groupBy("text").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null"))).alias("ids"))
     parts = Shared(benchmark.sparkSession).write(items.mapInArrow(cut, "ids array<string>, text string, n long"))
     blocks = max(1, -(-parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // block_words))
-    return [[(r["ids"], r["text"]) for r in parts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toLocalIterator()] for k in range(blocks)]
+    return [[(r["ids"], r["text"]) for r in parts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()] for k in range(blocks)]
 
 
 def _scan(docs: DataFrame, block: list[tuple[list[str], str]], window: int) -> DataFrame:
