@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.lineage import written
 
 
 def levenshtein_pairs(names: DataFrame, most: int = 1) -> DataFrame:
@@ -35,7 +35,7 @@ def containment_pairs(names: DataFrame) -> DataFrame:
 def jaccard_pairs(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
     """Pairs of distinct texts whose word-shingle sets have at least that Jaccard similarity.
 
-    Prefix filtering: shingles are ordered by rarity, and two sets that similar must share one of their first
+    Prefix filtering: shingles are in one order, frequent ones last, and two sets that similar must share one of their first
     (1 - least) * size + 1. Only those are joined; the candidates are verified on the whole sets. Equal shingle sets are
     collapsed first to their smallest doc_id; ``jaccard_classes`` has their members, so that every link follows from both.
     """
@@ -70,15 +70,22 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", _words().alias("w")).where(F.size("w") > 0).select("doc_id", F.sort_array(F.array_distinct(grams)).alias("s"))
 
 
+#: A shingle of more different texts than this is frequent: it comes last in the order that prefixes are taken by.
+FREQUENT = 64
+
+
 def _near_sets(sets: DataFrame, least: float) -> DataFrame:
-    sets = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"))
-    # The outer form, as a filter on the array that explode implies would be pushed below and evaluate the shingles anew.
-    each = sets.select("doc_id", F.size("s").alias("n"), F.explode_outer("s").alias("g"))
-    df = each.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = each.join(df.where("df > 1"), "g", "left").select("doc_id", "n", "g", F.coalesce("df", F.lit(1)).alias("df"))
-    order = Window.partitionBy("doc_id").orderBy("df", "g")
-    prefix = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("df > 1")
-    a, b = prefix.select("g", F.col("doc_id").alias("a"), F.col("n").alias("na")), prefix.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    """a, b, similarity of different shingle sets. The order of shingles is their hash, with frequent ones last, so that a
+    prefix is a slice of the row's own array; only the frequent shingles, few, are looked up."""
+    size = F.size("s").alias("n")
+    sets = written(sets.groupBy(F.xxhash64("s").alias("h"), F.hash("s").alias("h2"), size).agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s")).select("doc_id", "n", "s"))
+    frequent = sets.select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") > FREQUENT).select("g")
+    has = sets.select("doc_id", F.explode_outer("s").alias("g")).join(frequent, "g", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list("g")).alias("fs"))
+    none = F.array().cast("array<long>")
+    order = F.concat(F.array_except("s", F.coalesce("fs", none)), F.coalesce("fs", none))
+    prefix = F.slice(order, F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
+    pre = written(sets.join(has, "doc_id", "left").select("doc_id", "n", F.explode(prefix).alias("g")))
+    a, b = pre.select("g", F.col("doc_id").alias("a"), F.col("n").alias("na")), pre.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     candidates = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("a", "b").distinct()
     full = sets.select("doc_id", "s")
     both = candidates.join(full.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
