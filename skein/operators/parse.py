@@ -27,7 +27,8 @@ DETERMINERS = ("the", "a", "an", "this", "that")
 ROLES = {"father": "parent_of", "mother": "parent_of", "son": "child_of", "daughter": "child_of", "brother": "sibling_of", "sister": "sibling_of", "king": "rules", "queen": "rules", "friend": "friends_with"}
 #: Confidence of the rules (fixed values).
 CONFIDENCE = {"svo": 0.65, "conj": 0.60, "prep": 0.60, "passive": 0.60, "role": 0.70, "state": 0.70}
-TOKEN = r"([A-Z][a-z]+(?: [A-Z][a-z]+)*|[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9])"
+#: A run of capitalised words that does not begin with a function word; other words, numbers and marks one by one.
+TOKEN = rf"((?!(?:{'|'.join(w.capitalize() for w in T.BLOCKED)})\b)[A-Z][a-z]+(?: [A-Z][a-z]+)*|[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9])"
 
 
 def _in(values) -> str:
