@@ -175,6 +175,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, shared: Shared | None = None
     fp = F.col("fp")
     index = fps.select("fp", F.explode(F.array(*[v for i, (mask, bits, _) in enumerate(parts) for v in _variants(fp, i, mask, bits, 0)])).alias("k")).select("fp", "k.*")
     probe = fps.select("fp", F.explode(F.array(*[v for i, (mask, bits, t) in enumerate(parts) for v in _variants(fp, i, mask, bits, t)])).alias("k")).select("fp", "k.*")
+    # Written once, as the counts, the cold and the hot buckets read them.
+    index, probe = shared.write(index), shared.write(probe)
     hot = shared.write(index.groupBy("part", "key").count().where(F.col("count") > HOT).select("part", "key"))
     on = ["part", "key"]
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
