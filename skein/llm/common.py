@@ -90,24 +90,27 @@ def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
-def sampled(rows: DataFrame, size: int, by: list[str]) -> DataFrame:
-    """At most ``size`` distinct rows for each value of ``by``, those with the smallest hash: a row that repeats counts once.
+def sampled(rows: DataFrame, size: int, by: str | None = None) -> DataFrame:
+    """At most ``size`` distinct rows, for each value of ``by`` if given, those with the smallest hash: a row that repeats counts
+    once.
 
     Only rows whose hash lies below a share, estimated from the number of distinct hashes, are made distinct and ranked, so
-    little is shuffled whatever the input, and a repeated row is one row before the shuffle.
+    little is shuffled whatever the input, and a repeated row is one row before the shuffle. The shares come to the driver, one
+    for each value of ``by``: it is for columns of few values.
     """
-    h, share, rank = fresh(rows.columns, "h", "share", "rank")
+    h, rank = fresh(rows.columns, "h", "rank")
     hashed = rows.withColumn(h, F.xxhash64(*rows.columns))
-    if not by:
-        distinct = max(1, hashed.agg(F.approx_count_distinct(h)).first()[0])
-        return hashed.where(F.pmod(F.col(h), F.lit(1 << 40)) < (1.5 * size + 100) / distinct * float(1 << 40)).dropDuplicates([h]).orderBy(h).limit(size).select(*rows.columns)
-    n = hashed.groupBy(*by).agg(F.approx_count_distinct(h).alias(share))
     # Half as many again, and a hundred, so that neither the estimate nor chance leaves too few.
-    least = F.lit(1.5 * size + 100) / F.col(share)
-    kept = hashed.join(n.withColumnsRenamed({c: f"{c}_of_sample" for c in by}), [F.col(c).eqNullSafe(F.col(f"{c}_of_sample")) for c in by], "left")
-    kept = kept.where(F.pmod(F.col(h), F.lit(1 << 40)) < least * float(1 << 40)).select(*rows.columns, h).dropDuplicates([h])
-    order = Window.partitionBy(*by).orderBy(h)
-    return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= size).select(*rows.columns)
+    share = lambda n: F.lit(min(1.0, (1.5 * size + 100) / max(1, n)) * float(1 << 40))
+    place, n = F.pmod(F.col(h), F.lit(1 << 40)), F.approx_count_distinct(h)
+    if by is None:
+        few = hashed.where(place < share(hashed.agg(n).first()[0]))
+        return few.dropDuplicates([h]).orderBy(h).limit(size).select(*rows.columns)
+    counts = hashed.where(F.col(by).isNotNull()).groupBy(by).agg(n).collect()
+    if not counts:
+        return rows.limit(0)
+    few = hashed.where(place < F.create_map(*[x for v, k in counts for x in (F.lit(v), share(k))])[F.col(by)]).dropDuplicates([h])
+    return few.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(h))).where(F.col(rank) <= size).select(*rows.columns)
 
 
 def held_out(doc_id, mod: int, remainder: int):

@@ -178,7 +178,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
                 [batch.column("lang"), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.float32()))], ["lang", "f", "n"]
             )
 
-    rows = sampled(usable, size, ["lang"]).select("lang", "text").mapInArrow(bags, "lang string, f array<int>, n array<float>").toLocalIterator()
+    rows = sampled(usable, size, "lang").select("lang", "text").mapInArrow(bags, "lang string, f array<int>, n array<float>").toLocalIterator()
     return fit_bags(sorted(((np.array(r["f"], np.int32), np.array(r["n"], np.float32), r["lang"]) for r in rows), key=lambda x: (x[2], len(x[0]), x[0].tobytes(), x[1].tobytes())))
 
 

@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = TRAIN) -> Model:
     ids = usable.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size).select("doc_id")
     rows = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     trusted = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(F.lit(1).alias("label"), "text")
-    web = sampled(rows, 2 * size, []).select(F.lit(0).alias("label"), "text")
+    web = sampled(rows, 2 * size).select(F.lit(0).alias("label"), "text")
 
     def features(batches):
         known = Shapes()
