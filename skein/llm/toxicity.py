@@ -93,33 +93,30 @@ def expected_pairs(score, fwd, bwd, inner, pair) -> np.ndarray:
 
 
 def tag_families(docs: list[list[str]], toxic: list[bool]) -> set[str]:
-    """The features whose words are tagged in toxic documents.
+    """The features whose words are tagged in toxic documents; docs: the chunks of each, in lower case.
 
     Each step takes the feature with the most weight of toxic documents, less three times its rate in the others; words
     that have a chosen feature leave the count, and a document's weight halves each time it is explained.
     """
     holders: dict[str, dict[int, int]] = defaultdict(dict)  # feature -> toxic document -> words that have it
-    words_of = [Counter(d).keys() for d in docs]
     has: dict[str, list[str]] = {}
-    clean_df: Counter[str] = Counter()
     owners: dict[str, list[int]] = defaultdict(list)
-    for i, ws in enumerate(words_of):
-        seen: set[str] = set()
-        for w in ws:
+    for i in np.flatnonzero(toxic).tolist():
+        for w in sorted({_edges.sub("", c) for c in docs[i]}):
             fs = has.get(w)
             if fs is None:
                 fs = has[w] = [f for f in families(w) if f[0] != ">"]
-            if toxic[i]:
-                owners[w].append(i)
-                for f in fs:
-                    holders[f][i] = holders[f].get(i, 0) + 1
-            else:
-                seen.update(fs)
-        clean_df.update(seen)
+            owners[w].append(i)
+            for f in fs:
+                holders[f][i] = holders[f].get(i, 0) + 1
     n_toxic, n_clean = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    del words_of
     least = max(3.0, 0.01 * n_toxic)
     ratio = n_toxic / n_clean
+    holders = {f: h for f, h in holders.items() if len(h) >= least}
+    # Of the other documents only the features that are still in question are counted, and no word is kept.
+    clean_df: Counter[str] = Counter()
+    for i in np.flatnonzero(~np.array(toxic, bool)).tolist():
+        clean_df.update({f for w in {_edges.sub("", c) for c in docs[i]} for f in families(w) if f in holders})
     weight = np.ones(len(docs))
     holders = {f: h for f, h in holders.items() if len(h) - 3 * ratio * clean_df[f] >= least and len(h) >= 0.8 * (len(h) + ratio * clean_df[f])}
     has = {w: [f for f in fs if f in holders] for w, fs in has.items() if w in owners}
@@ -220,7 +217,7 @@ def fit(docs: list[tuple[str, int]], rounds: int = 60, seed: int = 0) -> Model:
         model.curve[0] = np.log(share / (1 - share))
         return model
     chunks = [(t or "").lower().split() for t, _ in docs]
-    chosen = tag_families([[_edges.sub("", c) for c in d] for d in chunks], [y == 1 for y in labels])
+    chosen = tag_families(chunks, [y == 1 for y in labels])
     # Training sequences: those that hold a word of a chosen family, and as many others of either label.
     vocabulary: dict[str, int] = {}
     marked: list[bool] = []
