@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, pii, prefix_trie, quality, runs, simhash, token_counts, toxicity, url_filter, vector_search
+from . import context_tree, decontaminate, language_id, packing, pii, prefix_trie, quality, runs, simhash, token_counts, toxicity, url_filter, vector_search
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf_dir, "documents"))
 
 
+def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return context_tree.scored(docs, context_tree.train(docs))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -68,7 +73,7 @@ QUERIES = {
     for f in (
         op1_decontaminate, op2_simhash, op3_toxicity, op4_pii, op5_best_fit_packing,
         op6_quality, op7_url_filter, op8_exact_top_k, op9_language_id, op10_token_counts,
-        op11_periodic_runs, op13_prefix_trie,
+        op11_periodic_runs, op12_context_tree, op13_prefix_trie,
     )
 }
 
