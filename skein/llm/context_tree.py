@@ -245,14 +245,12 @@ def coded_words(vocabulary: DataFrame, scores: DataFrame, k: int, shared: Shared
             )
 
     first = shared.write(vocabulary.select("word", total.alias("n")).mapInArrow(run, "word binary, n long, lp array<double>, missing array<long>"))
-    if first.where(F.size("missing") > 0).limit(1).count() == 0:
-        return first.drop("missing")
-    # Pieces of words that the broadcast table lacks, each added up by the word's place in the written table.
-    numbered = shared.write(first.withColumn("row", F.monotonically_increasing_id()))
-    asked = numbered.select("row", F.explode("missing").alias("key")).groupBy("row", "key").count()
-    more = asked.join(scores.select("key", F.col("lp").alias("more")), "key").groupBy("row").agg(*(F.sum(F.col("count") * F.col("more")[j]).alias(f"m{j}") for j in range(k)))
-    joined = numbered.join(more, "row", "left")
-    return shared.write(joined.select("word", "n", F.array(*(F.col("lp")[j] + F.coalesce(f"m{j}", F.lit(0.0)) for j in range(k))).alias("lp")))
+    # Words with pieces that the broadcast table lacks: these are added up by the word's place in a table of such words.
+    short = shared.write(first.where(F.size("missing") > 0).withColumn("place", F.monotonically_increasing_id()))
+    asked = short.select("place", F.explode("missing").alias("key")).groupBy("place", "key").count()
+    more = asked.join(scores.select("key", F.col("lp").alias("more")), "key").groupBy("place").agg(*(F.sum(F.col("count") * F.col("more")[j]).alias(f"m{j}") for j in range(k)))
+    whole = short.join(more, "place").select("word", "n", F.array(*(F.col("lp")[j] + F.col(f"m{j}") for j in range(k))).alias("lp"))
+    return shared.write(first.where(F.size("missing") == 0).drop("missing").unionByName(whole))
 
 
 @dataclass
