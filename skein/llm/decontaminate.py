@@ -6,8 +6,9 @@ the block that begins it selects the candidates inside, and a direct comparison
 
 Documents are never shuffled: every task scans its own texts against the compiled windows. Equal items are searched for
 once, and long ones cut into overlapping pieces, so that the benchmark can be handed out in blocks of about BLOCK_WORDS
-words, whatever it holds: one block, one scan of the documents. With several blocks only the documents that were hit are
-brought together, by the hash of their text.
+words, whatever it holds: one block, one scan of the documents. The driver holds one block at a time: the findings of each
+are written before the next is read. With several blocks only the documents that were hit are brought together, by the
+hash of their text.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,9 +118,10 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 FOUND = "n_words long, hits array<struct<first:long,after:long>>, items array<string>"
 
 
-def handed_out(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[list[tuple[list[str], str]]]:
-    """The items as (item_ids, text) in blocks of about ``block_words`` words: equal texts are one, a text of more than
-    PIECE_WORDS words is cut into pieces that overlap by all but one word of a window, so that they have its windows."""
+def handed_out(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[int, Iterator[list[tuple[list[str], str]]]]:
+    """The number of blocks of about ``block_words`` words, and the blocks, each read when it is asked for, of items as (item_ids,
+    text): equal texts are one, a text of more than PIECE_WORDS words is cut into pieces that overlap by all but one word of a
+    window, so that they have its windows."""
 
     def cut(batches):
         for batch in slices(batches):
@@ -136,12 +139,11 @@ def handed_out(benchmark: DataFrame, window: int = WINDOW, block_words: int = BL
     items = benchmark.where("text is not null").groupBy("text").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null"))).alias("ids"))
     parts = Shared(benchmark.sparkSession).write(items.mapInArrow(cut, "ids array<string>, text string, n long"))
     blocks = max(1, -(-parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // block_words))
-    return [[(r["ids"], r["text"]) for r in parts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()] for k in range(blocks)]
+    return blocks, ([(r["ids"], r["text"]) for r in parts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()] for k in range(blocks))
 
 
-def _scan(docs: DataFrame, block: list[tuple[list[str], str]], window: int) -> DataFrame:
-    """Replaces the text of docs by FOUND."""
-    held = docs.sparkSession.sparkContext.broadcast(block)
+def _scan(docs: DataFrame, held: Broadcast, window: int) -> DataFrame:
+    """Replaces the text of docs by FOUND, for the items of a block."""
     ahead = [c for c in docs.columns if c != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in ahead] + [FOUND])
 
@@ -171,30 +173,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     judged one by one. Empty tables of either kind give no rows or no hits. Only doc_id and text are read, so other columns
     of docs cannot clash.
     """
-    first, *more = handed_out(benchmark, window, block_words)
-    rows = docs.select("doc_id", "text")
-    if not more:
-        return _scan(rows, first, window)
+    n_blocks, blocks = handed_out(benchmark, window, block_words)
+    rows, broadcast = docs.select("doc_id", "text"), docs.sparkSession.sparkContext.broadcast
+    if n_blocks == 1:
+        return _scan(rows, broadcast(next(blocks)), window)
     # What a text holds does not depend on its row, so the blocks' findings meet by the text's hash and length.
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("size", F.octet_length("text"))
-    found = _scan(rows, first, window)
-    others = None
-    for block in more:
-        part = _scan(rows.where("size > 0").select("h", "size", "text"), block, window).where(F.size("items") > 0).select("h", "size", "hits", "items")
-        others = part if others is None else others.unionByName(part)
+    shared = Shared(docs.sparkSession)
+    found = others = None
+    for block in blocks:
+        held = broadcast(block)
+        if found is None:
+            found = shared.write(_scan(rows, held, window))
+        else:
+            part = shared.write(_scan(rows.where("size > 0").select("h", "size", "text"), held, window).where(F.size("items") > 0).select("h", "size", "hits", "items"))
+            others = part if others is None else others.unionByName(part)
+        held.destroy()
     none = F.array().cast("array<struct<first:long,after:long>>"), F.array().cast("array<string>")
     others = others.groupBy("h", "size").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("more_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("more_items"))
-    joined = found.join(others, ["h", "size"], "left").select(
-        "doc_id", "n_words", F.array_sort(F.concat("hits", F.coalesce("more_hits", none[0]))).alias("s"), F.array_sort(F.array_union("items", F.coalesce("more_items", none[1]))).alias("items")
+    both = found.join(others, ["h", "size"], "left").select(
+        "doc_id", "n_words", F.concat("hits", F.coalesce("more_hits", none[0])).alias("hits"), F.array_sort(F.array_union("items", F.coalesce("more_items", none[1]))).alias("items")
     )
-    return joined.select(
-        "doc_id", "n_words",
-        F.expr("""aggregate(s, cast(array() as array<struct<first:bigint,after:bigint>>), (acc, x) ->
-            case when size(acc) > 0 and x.first <= element_at(acc, -1).after
-                 then concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'after', greatest(element_at(acc, -1).after, x.after))))
-                 else concat(acc, array(x)) end)""").alias("hits"),
-        "items",
-    )
+
+    def joined(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("hits")
+            kind = batch.schema.field(at).type
+            spans = [[{"first": a, "after": b} for a, b in merged((x["first"], x["after"]) for x in some)] for some in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "hits", pa.array(spans, kind))
+
+    return both.mapInArrow(joined, both.schema)
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -213,14 +221,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     texts, very long ones too. Columns of any name besides text pass through untouched. An empty table gives an empty
     result. If the benchmark takes several blocks, the hashes of contaminated texts decide in a join.
     """
-    first, *more = handed_out(benchmark, window, block_words)
-    if more:
+    n_blocks, blocks = handed_out(benchmark, window, block_words)
+    if n_blocks > 1:
         h, size = fresh(docs.columns, "h", "size")
         key = F.xxhash64("text"), F.octet_length("text")
         texts = docs.select(F.struct(key[0].alias("h"), key[1].alias("size")).alias("doc_id"), "text")
         bad = judged(contamination(texts, benchmark, window, block_words)).where("contaminated").select(F.col("doc_id.h").alias(h), F.col("doc_id.size").alias(size)).distinct()
         return docs.withColumn(h, key[0]).withColumn(size, key[1]).join(bad, [h, size], "left_anti").select(docs.columns)
-    held = docs.sparkSession.sparkContext.broadcast(first)
+    held = docs.sparkSession.sparkContext.broadcast(next(blocks))
 
     def keep(batches):
         compiled = Windows(held.value, window)

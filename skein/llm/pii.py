@@ -46,9 +46,10 @@ _digits = re.compile(r"[0-9]+").match
 _digit_run = re.compile(r"[0-9](?:[\x20-]?[0-9])+").match
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
 _rest_of_url = re.compile(r"[^\s<>\"'`]+").match
+# ASCII alone: without re.A, capitals aside, A-Z would also match the Kelvin sign and the dotted capital I.
 # Blanks are stepped over for good (*+), so that a long run of them is passed once by each part and not tried at every length.
-_value = re.compile(r"(?:[ \t]*+(?:no\.?|number|nr\.?|id|#))?[ \t]*+(?:[:=]|is\b)?[ \t]*+[\"']?([A-Za-z0-9][A-Za-z0-9_/+.-]*[A-Za-z0-9])", re.I).match
-_iban = re.compile(r"[ \t]*+[:=]?[ \t]*+([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})", re.I).match
+_value = re.compile(r"(?:[ \t]*+(?:no\.?|number|nr\.?|id|#))?[ \t]*+(?:[:=]|is\b)?[ \t]*+[\"']?([A-Za-z0-9][A-Za-z0-9_/+.-]*[A-Za-z0-9])", re.I | re.A).match
+_iban = re.compile(r"[ \t]*+[:=]?[ \t]*+([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})", re.I | re.A).match
 
 
 @lru_cache(1)
@@ -183,8 +184,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs, all columns and rows, with the spans of text masked. A null text stays null. n_chars, where there is one of a
-    number type, follows the new text."""
+    """docs, all columns and rows, with the spans of text masked. A null text stays null, an empty one empty. n_chars, where
+    there is one of a number type, follows the new text.
+
+    Whole texts are masked, very long ones alone, in time that grows with their length. Repeated rows are masked one by one;
+    an empty table gives an empty result. Columns of any other name pass through untouched.
+    """
 
     def run(batches):
         for batch in slices(batches):

@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ from .common import Shared, slices
 
 #: Different urls of either verdict to learn from; letters of a word that the join goes by; words that a task counts before it hands them on.
 TRAIN, PREFIX, MAX_WORDS = 20_000, 24, 200_000
+#: Letters of a name whose substrings are made at once (24 for each letter).
+LETTERS = 8192
+#: Places in the table of which hashes of words' beginnings there are (a byte each where it is used, a bit where it is sent).
+PLACES = 1 << 23
 #: Names that very many urls have are dealt to so many tasks when the odds of names are joined to urls.
 SALT = 16
 #: (verdict, host and path); the longest rule that fits wins.
@@ -57,25 +63,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def segment(name: str, words: dict[str, float], unknown: float) -> list[str]:
     """The most probable split of a name into words with these log probabilities; ``unknown`` is that of any one other
     character, and runs of those stay together. Of equally probable splits the one with the latest cut wins."""
-    longest = max(map(len, words), default=0)
-    best: list[tuple[float, int]] = [(0.0, 0)]
+    lengths = sorted(set(map(len, words)))
+    best, cut = [0.0] * (len(name) + 1), [0] * (len(name) + 1)
     for end in range(1, len(name) + 1):
-        options = [(best[end - 1][0] + unknown, end - 1)]
-        for begin in range(max(0, end - longest), end):
-            p = words.get(name[begin:end])
-            if p is not None:
-                options.append((best[begin][0] + p, begin))
-        best.append(max(options))
-    out, end = [], len(name)
+        top, at = best[end - 1] + unknown, end - 1
+        for n in lengths:
+            if n > end:
+                break
+            p = words.get(name[end - n : end])
+            if p is not None and (q := (best[end - n] + p, end - n)) > (top, at):
+                top, at = q
+        best[end], cut[end] = top, at
+    out, end, strange = [], len(name), 0  # strange: where a run of unknown characters ends
     while end:
-        begin = best[end][1]
-        known = name[begin:end] in words
-        if out and not known and not out[-1][1]:
-            out[-1] = (name[begin:end] + out[-1][0], False)
-        else:
-            out.append((name[begin:end], known))
+        begin = cut[end]
+        known = end - begin > 1 or name[begin:end] in words
+        if known and strange:
+            out.append(name[end:strange])
+        if known:
+            out.append(name[begin:end])
+        strange = 0 if known else strange or end
         end = begin
-    return [w for w, _ in reversed(out)]
+    if strange:
+        out.append(name[:strange])
+    return out[::-1]
 
 
 def logs(counts: dict[str, int], total: int) -> tuple[dict[str, float], float]:
@@ -121,33 +132,58 @@ def names(urls: DataFrame) -> DataFrame:
     return urls.select("host", "path", F.explode(both).alias("w")).select("host", "path", "w.*")
 
 
+def begun(keyed: DataFrame) -> np.ndarray:
+    """Which of PLACES hashes the words' beginnings have, in bits: of fixed size, whatever the number of words."""
+    h = keyed.select(F.pmod(F.crc32("begin"), F.lit(PLACES)).alias("h"))
+    rows = h.groupBy(F.expr("cast(h >> 3 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(h & 7 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(PLACES // 8, np.uint8)
+    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return bits
+
+
 def cut(some: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """name, words: each name of ``some`` (name, distinct) in words."""
+    """name, words: each name of ``some`` (name, distinct) in words.
+
+    Names are numbered in a written table, and the number stands beside their substrings. A long name's substrings are handed
+    on piece by piece, so that a task holds LETTERS of them whatever its length; most that no word begins with stay behind, as
+    a table of hashes tells. Words that are longer than PREFIX letters are
+    compared with the name where the found ones come together.
+    """
+    shared = Shared(some.sparkSession)
+    numbered = shared.write(some.withColumn("id", F.monotonically_increasing_id()))
+    keyed = counts.withColumn("begin", F.substring("word", 1, PREFIX))
+    held = some.sparkSession.sparkContext.broadcast(begun(keyed))
 
     def candidates(batches):
-        for batch in batches:
-            of, inside, n = [], [], 0
-            for name in batch.column("name").to_pylist():
-                own = {name[i : i + k] for i in range(len(name)) for k in range(2, min(PREFIX, len(name) - i) + 1)}
-                of += [name] * len(own)
-                inside += own
-                n += len(own) * (len(name) + PREFIX)
-                if n > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(inside, pa.string())], ["name", "begin"])
-                    of, inside, n = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(inside, pa.string())], ["name", "begin"])
+        there, crc = np.unpackbits(held.value, bitorder="little").tobytes(), zlib.crc32
+        for batch in slices(batches, "name"):
+            for at, name in zip(batch.column("id").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                for first in range(0, len(name), LETTERS):
+                    inside = {name[i : i + k] for i in range(first, min(len(name), first + LETTERS)) for k in range(2, min(PREFIX, len(name) - i) + 1)}
+                    inside = [w for w in inside if there[crc(w.encode("utf-8", "surrogatepass")) % PLACES]]
+                    yield pa.RecordBatch.from_arrays([pa.array([at] * len(inside), pa.int64()), pa.array(inside, pa.string())], ["id", "begin"])
+
+    def gathered(batches):  # one batch of substrings for many short names
+        held, n = [], 0
+        for batch in candidates(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n > 24 * LETTERS:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def split(batches):
-        for batch in batches:
+        for batch in slices(batches, "name"):
             out = []
             for name, found in zip(batch.column("name").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                out.append(segment(name, *logs({x["word"]: x["n"] for x in found or ()}, total)))
+                out.append(segment(name, *logs({x["word"]: x["n"] for x in found or () if len(x["word"]) <= PREFIX or x["word"] in name}, total)))
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.list_(pa.string()))], ["name", "words"])
 
-    keyed = counts.withColumn("begin", F.substring("word", 1, PREFIX))
-    hits = some.mapInArrow(candidates, "name string, begin string").join(keyed, "begin").where((F.length("word") <= PREFIX) | F.contains("name", F.col("word")))
-    found = hits.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("found"))
-    return some.join(found, "name", "left").mapInArrow(split, "name string, words array<string>")
+    hits = numbered.mapInArrow(gathered, "id long, begin string").join(keyed, "begin")
+    found = hits.groupBy("id").agg(F.collect_set(F.struct("word", "n")).alias("found"))
+    return numbered.join(found, "id", "left").select("name", "found").mapInArrow(split, "name string, words array<string>")
 
 
 @dataclass
@@ -173,7 +209,7 @@ def train(pages: DataFrame, rules=RULES, size: int = TRAIN, labelled: DataFrame
     """The model, and the table of word counts that names are cut with.
 
     It learns from different (host, path) whose verdict a rule gives, and from ``labelled`` (url, verdict): ``size`` of each
-    verdict at most, smallest hash first. Without any, every url that no rule fits has even odds.
+    verdict at most, smallest hash first. Without any, as with an empty table, every url that no rule fits has even odds.
     """
     shared = Shared(pages.sparkSession)
     counts = shared.write(word_counts(pages))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, language_id, packing, pii, quality, simhash, token_counts, toxicity, vector_search
+from skein.llm import decontaminate, language_id, packing, pii, quality, simhash, token_counts, toxicity, url_filter, vector_search
 
 from .test_llm import DOC, brute_contamination, library
 
@@ -221,10 +221,63 @@ def test_long_and_repeated_items_are_handed_out_in_bounded_blocks(spark, monkeyp
     long = " ".join(rng.choice(words) for _ in range(500))
     items = [(f"{i}", "same item of few words") for i in range(20)] + [("long", long), ("short", "w1 w2"), ("e", " ")]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    blocks = decontaminate.handed_out(bench, block_words=200)
+    blocks = list(decontaminate.handed_out(bench, block_words=200)[1])
     assert len(blocks) >= 3 and all(len(t.split()) <= 30 for b in blocks for _, t in b)
     docs = [(1, "intro " + " ".join(long.split()[100:160]) + " end"), (2, "the same item of few words, w1 w2"), (3, None), (4, " ".join(rng.choice(words) for _ in range(300)))]
     for block_words in (200, decontaminate.BLOCK_WORDS):
         for r in decontaminate.contamination(spark.createDataFrame(docs, DOC), bench, block_words=block_words).collect():
             n, hit, seen = brute_contamination(dict(docs)[r.doc_id], items)
             assert (r.n_words, sum(h.after - h.first for h in r.hits), sorted(r["items"])) == (n, hit, seen)
+
+
+# --- long names, strange characters ----------------------------------------------------------------------------------
+
+
+def test_urls_of_every_shape(spark):
+    html = "<p>the ring casino win the win and " + "y" * 30 + "</p>"
+    shapes = [None, "", "no scheme", "http://", "http://a", "https://x.example.com/" + "q" * 12_000, "https://thering.example/" + "casinowin" * 3000, "http://EİK.Com/ß?x#y"]
+    rows = [(i, u, html) for i, u in enumerate(shapes)] + [(1, "", html), (None, "http://a", None), (50, "http://b.com/fr/x", html), (51, "http://b.com/de/x", html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "path", "name", "id", "begin", "word", "n", "salt", "side")})
+    got = url_filter.judged(pages, url_filter.train(pages)).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got} <= {"allow", "block"}
+    by = {r.page_id: r for r in got}
+    assert by[5].path == "/" + "q" * 12_000 and by[0].host == by[2].host == "" and by[50].rule == "com/fr/" and by[51].verdict == "block"
+    empty = pages.limit(0)
+    assert url_filter.judged(empty, url_filter.train(empty)).count() == 0
+
+
+def test_names_of_a_million_letters(spark):
+    word = "abcdefghijklmnopqrstuvwxyz" * 2  # longer than what the join goes by
+    df = spark.createDataFrame([("ring " * 9 + word,)], "html string")
+    name = ("ring" + "\u00e9" + word) * 17_000
+    began = time.perf_counter()
+    got = url_filter.cut(spark.createDataFrame([(name,), ("ringring",)], "name string"), url_filter.word_counts(df), 10).collect()
+    cut = {r.name: r.words for r in got}
+    assert cut["ringring"] == ["ring", "ring"] and cut[name] == ["ring", "\u00e9", word] * 17_000
+    assert time.perf_counter() - began < 60
+
+
+def test_any_character_after_a_cue(spark):
+    for cue in pii.CUES:
+        for at in range(0, 0x110000, 64 if cue == "iban" else 1024):
+            text = "".join(f"{cue} DE89{chr(c)}3704004405320130 " for c in range(at, at + 64, 7) if not 0xD800 <= c < 0xE000)
+            for kind, a, b in pii.spans(text):
+                assert text[a:b].isascii(), (cue, kind, text[a:b])
+    some = [f"{cue} DE89{c}704004405320130" for cue in pii.CUES for c in "\u212a\u0130\u0131\u017f\u0660"]
+    df = spark.createDataFrame(list(enumerate(some)), DOC)
+    assert pii.personal_data(df).count() == pii.redacted(df).count() == len(some)
+    assert ("iban", 5, 27) in pii.spans("iban DE89370400440532013000")
+
+
+def test_blocks_with_many_hits_in_one_text(spark):
+    random.seed(8)
+    item = lambda: " ".join(f"w{random.randint(0, 40)}" for _ in range(random.randint(1, 30)))
+    items = [(str(i), item()) for i in range(60)]
+    docs = [(i, " ".join(random.choice(items)[1] if random.random() < 0.4 else item() for _ in range(60))) for i in range(4)] + [(9, None), (10, "")]
+    df, bench = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id string, text string")
+    one = {r.doc_id: r for r in decontaminate.contamination(df, bench).collect()}
+    many = {r.doc_id: r for r in decontaminate.contamination(df, bench, block_words=100).collect()}
+    assert decontaminate.handed_out(bench, block_words=100)[0] > 3 and one == many
+    for i, text in docs:
+        n, hit, seen = brute_contamination(text, items)
+        assert (n, hit, seen) == (many[i].n_words, sum(x.after - x.first for x in many[i].hits), sorted(many[i]["items"]))
