@@ -13,12 +13,13 @@ from ..sources.lineage import written
 SAME_TYPE = {"GPE": "PLACE", "LOC": "PLACE", "LOCATION": "PLACE", "ORGANIZATION": "ORG", "ORGANISATION": "ORG"}
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, root: the smallest id that each end of the edges (a, b) reaches. Every node takes the smallest root among its own, its
-    neighbours' and that root's; each round is written, and the rounds grow with the logarithm of the longest path."""
+    neighbours' and that root's, until nothing changes; each round is written, and the rounds grow with the logarithm of the
+    longest path."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(roots.withColumnsRenamed({"id": "b", "root": "r"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
         low = roots.join(near, "id").select("id", "root", F.least("root", "r").alias("r"))
         # The roots themselves learn what their members found, and members take their root's new root.
@@ -29,38 +30,57 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = new.where("root <> new").limit(1).count()
         roots = new.select("id", F.col("new").alias("root"))
         if not changed:
-            break
-    return roots
+            return roots
 
 
 def merge_candidates(entities: DataFrame) -> DataFrame:
     """a, b, score, method: pairs of entities (id, type, canonical, aliases) of one type that may be the same.
 
-    Equal canonical names 0.95, a name that is the other's alias 0.93, all words of one among the other's 0.85, more than 0.7 of
-    all words in common: that share. Pairs meet on a name, an alias or the rarest word, never all with all; of the entities with
-    one name all are paired with the smallest id alone.
+    Equal canonical names 0.95; a name that is the other's alias 0.93; a name that goes on with "the" as the only one to do so
+    (Gandalf, Gandalf the Grey) 0.93, method epithet; all words of one among the other's 0.85; more than 0.7 of all words in
+    common: that share. Of the entities with one name all are paired with the smallest id alone, so names meet, not rows: on
+    a name or an alias; on the rarest word of the shorter among all words of the longer, which finds every contained name; and
+    on the rarest words of both, as many as two names of such a share cannot but have in common. Candidates of a frequent
+    word are dealt to tasks by the larger side of the join, which AQE splits.
     """
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in SAME_TYPE.items() for x in kv])[F.col("type")], "type")
     rows = entities.select("id", kind.alias("kind"), T.surface_key(F.col("canonical")).alias("name"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), T.surface_key).alias("aliases"))
-    first = rows.groupBy("kind", "name").agg(F.min("id").alias("a"), F.first("aliases").alias("any"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"))
-    same = rows.join(first.select("kind", "name", "a"), ["kind", "name"]).where("id <> a").select("a", F.col("id").alias("b"), F.lit(0.95).alias("score"), F.lit("canonical").alias("method"))
-    by_alias = first.select("kind", F.col("a").alias("b"), F.explode("aliases").alias("name")).join(first.select("kind", "name", "a"), ["kind", "name"]).where("a <> b")
+    first = written(rows.groupBy("kind", "name").agg(F.min("id").alias("a")))
+    same = rows.join(first, ["kind", "name"]).where("id <> a").select("a", F.col("id").alias("b"), F.lit(0.95).alias("score"), F.lit("canonical").alias("method"))
+    called = rows.select("kind", "name", F.explode("aliases").alias("alias")).distinct().join(first.withColumnRenamed("a", "b"), ["kind", "name"])
+    by_alias = called.select("kind", F.col("alias").alias("name"), "b").join(first, ["kind", "name"]).where("a <> b")
     by_alias = by_alias.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0.93).alias("score"), F.lit("alias").alias("method"))
-    words = first.select("kind", "a", F.array_distinct(F.split("name", " ")).alias("w"))
-    each = words.select("kind", "a", "w", F.explode("w").alias("t"))
+    longer = first.select("kind", F.col("a").alias("b"), F.regexp_extract("name", r"^(.+?) the .", 1).alias("name")).where("name <> ''")
+    epithet = longer.join(first, ["kind", "name"]).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1")
+    epithet = epithet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0.93).alias("score"), F.lit("epithet").alias("method"))
+    near = similar_names(first.select("kind", F.col("a").alias("id"), F.array_distinct(F.split("name", " ")).alias("w")))
+    return same.unionByName(by_alias).unionByName(epithet).unionByName(near).groupBy("a", "b").agg(F.max(F.struct("score", "method")).alias("m")).select("a", "b", F.round("m.score", 6).alias("score"), "m.method")
+
+
+def similar_names(names: DataFrame, least: float = 0.7) -> DataFrame:
+    """a, b, score, method of the pairs of names (kind, id, w: different words) of one kind of which one holds all words of the
+    other (substring, 0.85) or that share more than ``least`` of all their words (words, that share)."""
+    each = names.select("kind", "id", "w", F.explode("w").alias("t"))
     df = each.groupBy("kind", "t").agg(F.count("*").alias("df"))
-    # One word names meet every name that has the word; longer ones meet on their two rarest words.
-    ranked = each.join(df, ["kind", "t"]).withColumn("r", F.row_number().over(Window.partitionBy("kind", "a").orderBy("df", "t"))).where("r <= 2")
-    left, right = ranked.select("kind", "t", "a", F.col("w").alias("wa")), ranked.select("kind", "t", F.col("a").alias("b"), F.col("w").alias("wb"))
-    met = left.join(right, ["kind", "t"]).where("a < b").select("a", "b", "wa", "wb").dropDuplicates(["a", "b"])
+    ordered = each.join(df, ["kind", "t"]).groupBy("kind", "id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("w"))
+    ordered = written(ordered.select("kind", "id", F.transform("w", lambda x: x["t"]).alias("w")))
+    small, all_words = ordered.select("kind", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("w")[0].alias("t")), ordered.select("kind", F.col("id").alias("b"), F.col("w").alias("wb"), F.explode("w").alias("t"))
+    held = small.join(all_words, ["kind", "t"]).where("a <> b and size(wa) <= size(wb)").where(F.size(F.array_except("wa", "wb")) == 0)
+    held = held.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0.85).alias("score"), F.lit("substring").alias("method"))
+    # Two sets that share more than the least share have one of their size - ceil(share * size) + 1 rarest words in common.
+    prefix = F.slice("w", F.lit(1), F.size("w") - F.ceil(F.lit(least) * F.size("w")).cast("int") + 1)
+    rare = ordered.select("kind", "id", "w", F.explode(prefix).alias("t"))
+    met = rare.select("kind", "t", F.col("id").alias("a"), F.col("w").alias("wa")).join(rare.select("kind", "t", F.col("id").alias("b"), F.col("w").alias("wb")), ["kind", "t"]).where("a < b")
+    met = met.where((F.size("wa") >= least * F.size("wb")) & (F.size("wb") >= least * F.size("wa")))
     common = F.size(F.array_intersect("wa", "wb"))
-    union, small = F.size("wa") + F.size("wb") - common, F.least(F.size("wa"), F.size("wb"))
-    near = met.select("a", "b", F.when(common == small, 0.85).otherwise(common / union).alias("score"), F.when(common == small, "substring").otherwise("words").alias("method")).where("method = 'substring' or score > 0.7")
-    return same.unionByName(by_alias).unionByName(near).groupBy("a", "b").agg(F.max(F.struct("score", "method")).alias("m")).select("a", "b", F.round("m.score", 6).alias("score"), "m.method")
+    share = common / (F.size("wa") + F.size("wb") - common)
+    near = met.select("a", "b", share.alias("score"), F.lit("words").alias("method"), common.alias("common"), F.least(F.size("wa"), F.size("wb")).alias("size")).where(F.col("score") > least)
+    return held.unionByName(near.where("common < size").drop("common", "size")).distinct()
 
 
 def merged(entities: DataFrame, least: float = 0.93) -> DataFrame:
-    """id, global_id: entities of pairs that score ``least`` or more have the smallest id that they reach."""
+    """id, global_id: entities of pairs that score ``least`` or more have the smallest id that they reach. Names that merely hold
+    another's words score less: only an epithet makes them one."""
     roots = components(merge_candidates(entities).where(F.col("score") >= least).select("a", "b"))
     return entities.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("global_id"))
 

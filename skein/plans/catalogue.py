@@ -576,14 +576,14 @@ p AS (SELECT target AS id, arg_max(value, seq) FILTER (kind = 'retype') AS retyp
   coalesce(list(DISTINCT value) FILTER (kind = 'alias'), []) AS added FROM live GROUP BY 1)
 SELECT e.id, coalesce(retype, type) AS type, coalesce(rename, canonical) AS canonical,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(added, []), CASE WHEN rename IS NOT NULL AND rename <> canonical THEN [canonical] ELSE [] END))), '|') AS aliases,
-  coalesce(rejected, 0) = 1 AS rejected FROM entities e LEFT JOIN p ON p.id = e.id WHERE type = 'ORG'""")
+  coalesce(rejected, 0) = 1 AS rejected FROM entities e LEFT JOIN p ON p.id = e.id""")
 def overrides_replay(spark, sf_dir):
     k = F.col("c_custkey")
     corrections = table(spark, sf_dir, "customer").select(
         k.alias("seq"), F.when(k % 4 == 0, "retype").when(k % 4 == 1, "rename").when(k % 4 == 2, "reject").otherwise("alias").alias("kind"), F.concat(F.lit("S"), k % 40).alias("target"),
         F.when(k % 4 == 0, "ITEM").when(k % 4 != 2, F.col("c_name")).alias("value"), (F.col("c_acctbal") < 0).alias("rolled_back"),
     )
-    return E.apply_overrides(B.entities(spark, sf_dir).where("type = 'ORG'"), corrections)
+    return E.apply_overrides(B.entities(spark, sf_dir), corrections)
 
 
 @query(f"""WITH {TRI}, m AS (SELECT 'P' || p_partkey AS source, 'P' || (p_partkey % 50) AS target FROM part WHERE p_partkey >= 50)

@@ -87,14 +87,14 @@ def described_entities(spark, sf_dir):
     return Z.raised(found, related).select("doc_id", "name", "tier")
 
 
-SCHOOL = """rel AS (SELECT 'S' || l_suppkey AS subj, CASE l_linenumber WHEN 1 THEN 'teaches_at' WHEN 2 THEN 'child_of' WHEN 3 THEN 'parent_of' ELSE 'knows' END AS pred, 'S' || (l_partkey % 40) AS obj FROM lineitem WHERE l_suppkey % 3 = 0 OR l_linenumber = 1)"""
+SCHOOL = """rel AS (SELECT 'S' || l_suppkey AS subj, CASE WHEN l_linenumber = 1 THEN 'teaches_at' WHEN l_suppkey % 3 <> 0 THEN 'knows' WHEN l_linenumber = 2 THEN 'child_of' WHEN l_linenumber = 3 THEN 'parent_of' ELSE 'knows' END AS pred, 'S' || (l_partkey % 40) AS obj FROM lineitem)"""
 
 
 @query(f"WITH {SCHOOL} SELECT subj, pred, obj FROM rel r WHERE pred <> 'teaches_at' OR NOT EXISTS (SELECT 1 FROM rel c WHERE (c.pred = 'child_of' AND c.subj = r.subj) OR (c.pred = 'parent_of' AND c.obj = r.subj))")
 def suppress_young_teachers(spark, sf_dir):
     n = F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").where((F.col("l_suppkey") % 3 == 0) | (n == 1))
-    return Z.without_young_teachers(rows.select(F.concat(F.lit("S"), "l_suppkey").alias("subj"), F.when(n == 1, "teaches_at").when(n == 2, "child_of").when(n == 3, "parent_of").otherwise("knows").alias("pred"), F.concat(F.lit("S"), F.col("l_partkey") % 40).alias("obj")))
+    rows = table(spark, sf_dir, "lineitem")
+    return Z.without_young_teachers(rows.select(F.concat(F.lit("S"), "l_suppkey").alias("subj"), F.when(n == 1, "teaches_at").when(F.col("l_suppkey") % 3 != 0, "knows").when(n == 2, "child_of").when(n == 3, "parent_of").otherwise("knows").alias("pred"), F.concat(F.lit("S"), F.col("l_partkey") % 40).alias("obj")))
 
 
 @query("""WITH r AS (SELECT l_orderkey % 100 AS doc_id, 'knows' AS pred, 'P' || (l_partkey % 30) AS obj, 'L' || l_orderkey || ':' || l_linenumber AS subj, l_partkey + l_linenumber AS start FROM lineitem),
@@ -116,9 +116,9 @@ def connection_page(spark, sf_dir):
     return Z.connection(table(spark, sf_dir, "customer").select("c_name"), "c_name", "Customer#000000040", 25)
 
 
-@query(f"WITH {TRI}, i AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'known' END AS id FROM triples WHERE pred IN ('lives_in', 'located_in')) SELECT coalesce(id, sha1(subj || '|' || pred || '|' || obj)) AS id, subj, obj FROM i")
+@query(f"WITH {TRI}, i AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'known' END AS id FROM triples) SELECT coalesce(id, sha1(subj || '|' || pred || '|' || obj)) AS id, subj, obj FROM i")
 def relation_ids(spark, sf_dir):
-    rows = B.triples(spark, sf_dir).where("pred in ('lives_in', 'located_in')").withColumn("id", F.when(F.col("doc_id") % 2 == 0, "known"))
+    rows = B.triples(spark, sf_dir).withColumn("id", F.when(F.col("doc_id") % 2 == 0, "known"))
     return Z.with_ids(rows).select("id", "subj", "obj")
 
 

@@ -18,8 +18,10 @@ from .catalogue import BLOCKED, ENT, MEN, PAIRS, SPANS, TRI, _pairs, query
 # --- entities over many documents -----------------------------------------------------------------------------------
 
 LOCAL = """ent AS (SELECT 'P' || p_partkey AS id, p_name AS canonical, lower(p_name) AS name, CASE WHEN p_partkey % 50 = 0 THEN lower(p_brand) END AS alias, p_size AS doc_id FROM part
-  UNION ALL SELECT DISTINCT 'B' || p_brand, p_brand, lower(p_brand), NULL, 0 FROM part),
-ed AS (SELECT name AS a, alias AS b FROM ent WHERE alias IS NOT NULL UNION SELECT alias, name FROM ent WHERE alias IS NOT NULL),
+  UNION ALL SELECT DISTINCT 'B' || p_brand, p_brand, lower(p_brand), NULL, 0 FROM part
+  UNION ALL SELECT DISTINCT 'E' || p_brand || e, p_brand || ' the ' || e, lower(p_brand || ' the ' || e), NULL, 0 FROM part, LATERAL (SELECT unnest(CASE WHEN p_brand LIKE '%1' THEN ['Elder', 'Younger'] ELSE ['Elder'] END) AS e)),
+ep AS (SELECT s.name AS a, min(l.name) AS b FROM (SELECT DISTINCT name FROM ent) s JOIN (SELECT DISTINCT name FROM ent WHERE contains(name, ' the ')) l ON starts_with(l.name, s.name || ' the ') GROUP BY 1 HAVING count(*) = 1),
+ed AS (SELECT name AS a, alias AS b FROM ent WHERE alias IS NOT NULL UNION SELECT alias, name FROM ent WHERE alias IS NOT NULL UNION SELECT a, b FROM ep UNION SELECT b, a FROM ep),
 reach AS (SELECT DISTINCT name AS a, name AS b FROM ent UNION SELECT r.a, e.b FROM reach r JOIN ed e ON r.b = e.a),
 least_of AS (SELECT a AS name, min(f.id) AS global_id FROM reach JOIN ent f ON f.name = reach.b GROUP BY 1), gl AS (SELECT ent.*, global_id FROM ent JOIN least_of USING (name))"""
 
@@ -29,7 +31,9 @@ def _local(spark, sf_dir):
     none = F.array().cast("array<string>")
     items = part.select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.lit("ITEM").alias("type"), F.col("p_name").alias("canonical"), F.when(F.col("p_partkey") % 50 == 0, F.array(F.lower("p_brand"))).otherwise(none).alias("aliases"), F.col("p_size").alias("doc_id"))
     brands = part.select("p_brand").distinct().select(F.concat(F.lit("B"), "p_brand").alias("id"), F.lit("ITEM").alias("type"), F.col("p_brand").alias("canonical"), none.alias("aliases"), F.lit(0).alias("doc_id"))
-    return items.unionByName(brands)
+    told = table(spark, sf_dir, "part").select("p_brand", F.explode(F.when(F.col("p_brand").like("%1"), F.array(F.lit("Elder"), F.lit("Younger"))).otherwise(F.array(F.lit("Elder")))).alias("e")).distinct()
+    told = told.select(F.concat(F.lit("E"), "p_brand", "e").alias("id"), F.lit("ITEM").alias("type"), F.concat("p_brand", F.lit(" the "), "e").alias("canonical"), none.alias("aliases"), F.lit(0).alias("doc_id"))
+    return items.unionByName(brands).unionByName(told)
 
 
 @query(f"WITH RECURSIVE {LOCAL} SELECT id, global_id FROM gl")
@@ -50,9 +54,9 @@ def merge_provenance(spark, sf_dir):
     return Y.provenance(local, Y.merged(local))
 
 
-@query(f"""WITH RECURSIVE {LOCAL}, {TRI} SELECT coalesce(a.global_id, subj) AS subj, pred, coalesce(b.global_id, obj) AS obj, count(*) AS n FROM triples LEFT JOIN gl a ON a.id = subj LEFT JOIN gl b ON b.id = obj WHERE pred = 'supplies' GROUP BY 1, 2, 3""")
+@query(f"""WITH RECURSIVE {LOCAL}, {TRI} SELECT coalesce(a.global_id, subj) AS subj, pred, coalesce(b.global_id, obj) AS obj, count(*) AS n FROM triples LEFT JOIN gl a ON a.id = subj LEFT JOIN gl b ON b.id = obj GROUP BY 1, 2, 3""")
 def rewired_relations(spark, sf_dir):
-    rows = Y.rewired(B.triples(spark, sf_dir).where("pred = 'supplies'"), Y.merged(_local(spark, sf_dir)))
+    rows = Y.rewired(B.triples(spark, sf_dir), Y.merged(_local(spark, sf_dir)))
     return rows.groupBy("subj", "pred", "obj").agg(F.count("*").alias("n"))
 
 
@@ -288,14 +292,14 @@ def coref_chains(spark, sf_dir):
     return O.chains(rows)
 
 
-@query(f"""WITH {TRI}, per AS (SELECT 'P' || l_partkey AS id, l_orderkey AS d, l_linenumber AS p, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+@query(f"""WITH {ENT}, {TRI}, per AS (SELECT 'P' || l_partkey AS id, l_orderkey AS d, l_linenumber AS p, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
 t AS (SELECT id, string_agg(d || ':' || p, ',' ORDER BY n DESC, d, p) FILTER (r <= 3) AS top, sum(n) AS m, count(DISTINCT d) AS docs FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, d, p) AS r FROM per) GROUP BY 1),
 o AS (SELECT id, sum(o) AS n_out, sum(i) AS n_in FROM (SELECT subj AS id, 1 AS o, 0 AS i FROM triples UNION ALL SELECT obj, 0, 1 FROM triples) GROUP BY 1)
-SELECT 'P' || p_partkey AS id, p_name AS canonical, CAST(coalesce(m, 0) AS BIGINT) AS n_mentions, coalesce(docs, 0) AS n_documents, CAST(coalesce(n_out, 0) AS BIGINT) AS n_out, CAST(coalesce(n_in, 0) AS BIGINT) AS n_in, coalesce(top, '') AS top_places
-FROM part LEFT JOIN t ON t.id = 'P' || p_partkey LEFT JOIN o ON o.id = 'P' || p_partkey""")
+SELECT e.id, canonical, CAST(coalesce(m, 0) AS BIGINT) AS n_mentions, coalesce(docs, 0) AS n_documents, CAST(coalesce(n_out, 0) AS BIGINT) AS n_out, CAST(coalesce(n_in, 0) AS BIGINT) AS n_in, coalesce(top, '') AS top_places
+FROM entities e LEFT JOIN t ON t.id = e.id LEFT JOIN o ON o.id = e.id""")
 def entity_fact_profile(spark, sf_dir):
     seen = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("id"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("paragraph"))
-    return O.fact_profile(B.entities(spark, sf_dir).where("type = 'ITEM'").select("id", "canonical"), seen, B.triples(spark, sf_dir))
+    return O.fact_profile(B.entities(spark, sf_dir).select("id", "canonical"), seen, B.triples(spark, sf_dir))
 
 
 # --- learning -------------------------------------------------------------------------------------------------------
@@ -384,12 +388,12 @@ def pattern_coverage(spark, sf_dir):
     return L.coverage(made, part.where("p_size < 10").select(F.col("p_type").alias("phrase")))
 
 
-@query("""WITH n AS (SELECT 'S' || s_suppkey AS name, 'ORG' AS type, 1 AS c FROM supplier UNION ALL SELECT 'S' || l_suppkey, NULL, 1 FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'Part' || (l_partkey % 10), 'ITEM', 1 FROM lineitem WHERE l_linenumber = 1)
+@query("""WITH n AS (SELECT 'S' || s_suppkey AS name, 'ORG' AS type, 1 AS c FROM supplier UNION ALL SELECT 'S' || l_suppkey, NULL, 1 FROM lineitem UNION ALL SELECT 'Part' || (l_partkey % 10), 'ITEM', 1 FROM lineitem)
 SELECT min(name) AS name, coalesce(max(type), 'MISC') AS type, count(*) AS mention_count FROM n GROUP BY lower(name)""")
 def note_tags(spark, sf_dir):
     known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("name"), F.lit("ORG").alias("type"), F.lit(1).alias("mention_count"))
     text = F.concat(F.lit("sold by [[Entity: S"), "l_suppkey", F.lit("]] as [[NewEntity: Part"), F.col("l_partkey") % 10, F.lit("|type=item]]."))
-    notes = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("note_id"), text.alias("text"))
+    notes = table(spark, sf_dir, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("note_id"), text.alias("text"))
     return L.tagged_entities(known, notes)
 
 
@@ -434,19 +438,19 @@ def alias_versions(spark, sf_dir):
     return Y.without_aliases(known, part.where("p_size = 1").select(F.col("p_brand").alias("id"), F.upper("p_name").alias("alias")))
 
 
-CORRECTIONS = """rel AS (SELECT 'S' || s_suppkey AS subj, 'located_in' AS pred, 'N' || s_nationkey AS obj, 0.9 AS confidence FROM supplier),
+CORRECTIONS = f"""{TRI}, rel AS (SELECT subj, pred, obj, confidence FROM triples),
 cor AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 3 = 0 THEN 'remove' ELSE 'add' END AS kind, 'S' || (c_custkey % 60) AS subj, 'located_in' AS pred, 'N' || c_nationkey AS obj, c_acctbal < 0 AS back FROM customer),
 lst AS (SELECT subj, pred, obj, arg_max(kind, seq) AS kind FROM cor WHERE NOT back GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH {ENT}, {CORRECTIONS} SELECT * FROM rel r WHERE NOT EXISTS (SELECT 1 FROM lst l WHERE l.kind = 'remove' AND l.subj = r.subj AND l.obj = r.obj)
-UNION ALL SELECT subj, pred, obj, 1.0 FROM lst l WHERE kind = 'add' AND subj IN (SELECT id FROM entities) AND obj IN (SELECT id FROM entities) AND NOT EXISTS (SELECT 1 FROM rel r WHERE l.subj = r.subj AND l.obj = r.obj)""")
+@query(f"""WITH {ENT}, {CORRECTIONS} SELECT * FROM rel r WHERE NOT EXISTS (SELECT 1 FROM lst l WHERE l.kind = 'remove' AND l.subj = r.subj AND l.pred = r.pred AND l.obj = r.obj)
+UNION ALL SELECT subj, pred, obj, 1.0 FROM lst l WHERE kind = 'add' AND subj IN (SELECT id FROM entities) AND obj IN (SELECT id FROM entities) AND NOT EXISTS (SELECT 1 FROM rel r WHERE l.subj = r.subj AND l.pred = r.pred AND l.obj = r.obj)""")
 def corrected_relations(spark, sf_dir):
     corrections = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("seq"), F.when(F.col("c_custkey") % 3 == 0, "remove").otherwise("add").alias("kind"), F.concat(F.lit("S"), F.col("c_custkey") % 60).alias("subj"), F.lit("located_in").alias("pred"),
         F.concat(F.lit("N"), "c_nationkey").alias("obj"), (F.col("c_acctbal") < 0).alias("rolled_back"),
     )
-    relations = B.triples(spark, sf_dir).where("pred = 'located_in'").select("subj", "pred", "obj", "confidence")
+    relations = B.triples(spark, sf_dir).select("subj", "pred", "obj", "confidence")
     return Y.corrected_relations(relations, corrections, B.entities(spark, sf_dir))
 
 

@@ -15,7 +15,7 @@ from ..operators import relations as R
 from ..operators import sentences as S
 from ..sources import tables as B
 from ..sources.tables import table
-from .catalogue import query
+from .catalogue import TRI, query
 
 _LETTERS = "'0123456789', 'abcdefghij'"
 STORY = f"""story AS MATERIALIZED (SELECT o_orderkey AS doc_id, o_orderkey % 6 AS t, 'Cu' || translate(CAST(o_custkey AS VARCHAR), {_LETTERS}) AS c, 'Su' || translate(CAST(s AS VARCHAR), {_LETTERS}) AS s,
@@ -176,8 +176,8 @@ def extract_pipeline(spark, sf_dir):
     return N.pipeline(B.stories(spark, sf_dir)).select("subj", "pred", "obj", "confidence", "extractor", "n_evidence", "n_merged")
 
 
-@query("""WITH TRIPLES AS (SELECT 'S' || l_suppkey AS subj, 'supplies' AS pred, 'P' || l_partkey AS obj, round(1 - l_tax, 2) AS confidence, CASE l_returnflag WHEN 'A' THEN 'dep' WHEN 'R' THEN 'regex' END AS extractor FROM lineitem)
-SELECT modality, count(*) AS n, round(avg(c), 6) AS composite FROM (SELECT CASE WHEN extractor = 'regex' THEN 'BELIEF' ELSE 'FACT' END AS modality, round(confidence * 0.85, 6) AS c FROM TRIPLES) GROUP BY 1""")
+@query(f"""WITH {TRI}
+SELECT modality, count(*) AS n, round(avg(c), 6) AS composite FROM (SELECT CASE WHEN extractor = 'regex' THEN 'BELIEF' ELSE 'FACT' END AS modality, round(confidence * 0.85, 6) AS c FROM triples) GROUP BY 1""")
 def adapted_relations(spark, sf_dir):
-    rows = N.adapted(B.triples(spark, sf_dir).where("pred = 'supplies'"))
+    rows = N.adapted(B.triples(spark, sf_dir))
     return rows.groupBy("modality").agg(F.count("*").alias("n"), F.round(F.avg("composite"), 6).alias("composite"))

@@ -83,15 +83,15 @@ def ir_summary(spark, sf_dir):
 
 
 @query(f"""WITH {ENT}, {TRI} SELECT coalesce(s.canonical, subj) AS subject, pred AS relation, coalesce(o.canonical, obj) AS object, CASE WHEN confidence >= 0.9 THEN 'certain' WHEN confidence >= 0.7 THEN 'likely' ELSE 'possible' END AS certainty, doc_id || ':' || sent AS source
-FROM triples LEFT JOIN entities s ON s.id = subj LEFT JOIN entities o ON o.id = obj WHERE pred <> 'bought'""")
+FROM triples LEFT JOIN entities s ON s.id = subj LEFT JOIN entities o ON o.id = obj""")
 def meaning_records(spark, sf_dir):
-    return X.meaning(B.triples(spark, sf_dir).where("pred <> 'bought'"), B.entities(spark, sf_dir))
+    return X.meaning(B.triples(spark, sf_dir), B.entities(spark, sf_dir))
 
 
 @query(f"""WITH {ENT}, {TRI} SELECT '{{"kind":"entity","id":"' || id || '","type":"' || type || '","canonical":"' || canonical || '"}}' AS line FROM entities
-UNION ALL SELECT '{{"kind":"relation","subj":"' || subj || '","pred":"' || pred || '","obj":"' || obj || '","confidence":' || confidence || '}}' FROM triples WHERE pred IN ('located_in', 'part_of')""")
+UNION ALL SELECT '{{"kind":"relation","subj":"' || subj || '","pred":"' || pred || '","obj":"' || obj || '","confidence":' || confidence || '}}' FROM triples""")
 def export_json(spark, sf_dir):
-    return X.json_lines(B.triples(spark, sf_dir).where("pred in ('located_in', 'part_of')"), B.entities(spark, sf_dir))
+    return X.json_lines(B.triples(spark, sf_dir), B.entities(spark, sf_dir))
 
 
 @query(f"""WITH {ENT}, {TRI} SELECT '{{"@id":"' || id || '","@type":"' || type || '","name":"' || canonical || '"}}' AS line FROM entities

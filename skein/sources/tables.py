@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,7 +85,8 @@ STORIES = (
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: an English text of two or three sentences for each order, told of its customer, nation, first supplier
-    and first part. The supplied documents are invented words without grammar; these have relations to be found."""
+    and first part. The supplied documents are invented words without grammar; these have relations to be found. They are
+    written: what reads a text piece by piece numbers its rows, and numbers over a shuffle change when a task runs again."""
     first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
     rows = table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     who = {"c": named("Cu", F.col("o_custkey")), "s": named("Su", F.col("s")), "p": named("Pa", F.col("p")), "n": named("Na", F.col("c_nationkey")), "y": F.year("o_orderdate").cast("string")}
@@ -99,4 +102,4 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit(None).cast("string")
     for t, story in enumerate(STORIES):
         text = F.when(F.col("o_orderkey") % len(STORIES) == t, told(story)).otherwise(text)
-    return rows.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return written(rows.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))

@@ -1,5 +1,6 @@
 """Sentences, relations, quotations, names, times, references and stores on small texts."""
 
+import random
 import re
 
 import pytest
@@ -235,3 +236,30 @@ def test_empty_texts_everywhere(spark):
     assert narrative.pipeline(docs).count() == 1 and narrative.pipeline(none).count() == 0
     assert quotes.quotes(docs).count() == 0 and stores.temporal_events(docs).count() == 0
     assert graph.neighborhood(spark.createDataFrame([], "subj string, pred string, obj string"), "x").count() == 1
+
+
+def test_contained_names_merge(spark):
+    rows = [("e1", "PERSON", "Gandalf", []), ("e2", "PERSON", "Gandalf the Grey", []), ("e3", "PERSON", "Saruman", []), ("e4", "ORG", "Gandalf the Great", []), ("e5", "PERSON", "John", []), ("e6", "PERSON", "John the Elder", []), ("e7", "PERSON", "John the Younger", [])]
+    ids = registry.merged(spark.createDataFrame(rows, "id string, type string, canonical string, aliases array<string>"))
+    assert {r.id: r.global_id for r in ids.collect()} == {"e1": "e1", "e2": "e1"} | {f"e{i}": f"e{i}" for i in range(3, 8)}
+
+
+def test_similar_names_equal_brute_force(spark):
+    rng = random.Random(6)
+    names = [sorted({rng.choice("abcdefghijklmnopqrstuv") * rng.choice([1, 1, 2]) for _ in range(rng.randint(1, 12))}) for _ in range(500)]
+    got = {(r.a, r.b): (round(r.score, 6), r.method) for r in registry.similar_names(spark.createDataFrame([("X", i, w) for i, w in enumerate(names)], "kind string, id int, w array<string>")).collect()}
+    want = {}
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            b = names[j]
+            common = len(set(a) & set(b))
+            if common == min(len(a), len(b)):
+                want[i, j] = (0.85, "substring")
+            elif common / (len(a) + len(b) - common) > 0.7:
+                want[i, j] = (round(common / (len(a) + len(b) - common), 6), "words")
+    assert got == want and len(want) > 100
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{(i * 7919) % 3001:04d}", f"n{((i + 1) * 7919) % 3001:04d}") for i in range(3000)], "a string, b string")
+    assert {r.root for r in registry.components(edges).collect()} == {"n0000"}
