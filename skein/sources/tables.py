@@ -7,6 +7,7 @@ that the relations come from.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,23 +84,49 @@ STORIES = (
 )
 
 
-def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text: an English text of two or three sentences for each order, told of its customer, nation, first supplier
-    and first part. The supplied documents are invented words without grammar; these have relations to be found. They are
-    written: what reads a text piece by piece numbers its rows, and numbers over a shuffle change when a task runs again."""
+def _cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders with their customer, first supplier and first part (s, p)."""
     first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
-    rows = table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    who = {"c": named("Cu", F.col("o_custkey")), "s": named("Su", F.col("s")), "p": named("Pa", F.col("p")), "n": named("Na", F.col("c_nationkey")), "y": F.year("o_orderdate").cast("string")}
+    return table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
 
-    def told(story: str) -> Column:
-        parts, rest = [], story
+
+def told(patterns: Sequence[str], which: Column) -> Column:
+    """The pattern of number ``which`` with the names of an order (see ``_cast``) in place of the letters in braces."""
+    k = F.col("o_orderkey")
+    who = {
+        "c": named("Cu", F.col("o_custkey")), "s": named("Su", F.col("s")), "p": named("Pa", F.col("p")), "n": named("Na", F.col("c_nationkey")), "y": F.year("o_orderdate").cast("string"),
+        "q": named("Qo", k % 97), "m": named("Mo", k % 31), "r": named("Re", k % 53),
+    }
+    text = F.lit(None).cast("string")
+    for t, pattern in enumerate(patterns):
+        parts, rest = [], pattern
         while "{" in rest:
             before, _, rest = rest.partition("{")
             name, _, rest = rest.partition("}")
             parts += [F.lit(before), who[name]]
-        return F.concat(*parts, F.lit(rest))
+        text = F.when(which == t, F.concat(*parts, F.lit(rest))).otherwise(text)
+    return text
 
-    text = F.lit(None).cast("string")
-    for t, story in enumerate(STORIES):
-        text = F.when(F.col("o_orderkey") % len(STORIES) == t, told(story)).otherwise(text)
+
+#: What a sentence of ``grammar_texts`` is made of: how it begins, its subject, its predicate, its end.
+LEADS = ("", "In {y}, ", "Then ")
+SUBJECTS = ("{c}", "{c} and {s}", "{c}, {s} and {q}", "{c}, who ruled {n},", "{c}, son of {s},", "{c} of {n}", "{c}, the brother of {s}, who was not loved by {q},")
+PREDICATES = (" visited {p}", " did not visit {p}", " was killed by the {p}", " visited {p} and married {m}", " travelled to {p}", " gave {p} to {m}", " met {p} and {m}")
+ENDS = ("", " in 1999", ", and {r} met {q}", " near {r}")
+
+
+def grammar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: a sentence for each order, of one of 588 shapes that the order's key chooses."""
+    k = F.col("o_orderkey")
+    pick = lambda n: F.floor(k / n).cast("long")
+    parts = [told(LEADS, pick(196) % 3), told(SUBJECTS, k % 7), told(PREDICATES, pick(7) % 7), told(ENDS, pick(49) % 4)]
+    return _cast(spark, sf_dir).select(k.alias("doc_id"), F.concat(*parts, F.lit(".")).alias("text"))
+
+
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: an English text of two or three sentences for each order, told of its customer, nation, first supplier
+    and first part. The supplied documents are invented words without grammar; these have relations to be found. They are
+    written: what reads a text piece by piece numbers its rows, and numbers over a shuffle change when a task runs again."""
+    rows = _cast(spark, sf_dir)
+    text = told(STORIES, F.col("o_orderkey") % len(STORIES))
     return written(rows.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
