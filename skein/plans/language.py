@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aliases as A
+from ..operators import coreference as C
 from ..operators import grammar as G
 from ..sources import tables as B
 from .catalogue import query
@@ -31,3 +33,64 @@ SELECT doc_id, subj, pred, obj, rule, negated, round(0.7 - CASE WHEN negated THE
 def clause_relations(spark, sf_dir):
     sentences = B.grammar_texts(spark, sf_dir).withColumn("idx", F.lit(0))
     return G.clause_relations(sentences).drop("idx")
+
+
+# What each sentence of a dialogue mentions, in order: place in the sentence, name or null, type, gender, number, pronoun.
+_M = lambda at, name, kind="NULL", gender="NULL", number="one", pronoun="NULL": f"{{{{'pos': {at}, 'name': {name}, 'type': {kind}, 'gender': {gender}, 'number': '{number}', 'pronoun': {pronoun}}}}}"
+_P = lambda at, word, gender, number="one": _M(at, "NULL", "NULL", f"'{gender}'", number, f"'{word}'")
+DIALOGUES = f"""dlg AS (SELECT o_orderkey // 6 AS doc_id, CAST(o_orderkey % 6 AS INTEGER) AS sent, (o_orderkey % 6 + o_orderkey // 6) % 6 AS t, {_NAME("Cu", "o_orderkey // 6 % 89")} AS c, {_NAME("Su", "o_orderkey // 6 % 83")} AS s, {_NAME("Pa", "o_orderkey // 6 % 79")} AS p,
+  {_NAME("Na", "o_orderkey // 6 % 25")} AS n, {_NAME("Re", "o_orderkey // 6 % 53")} AS r, {_NAME("Qo", "o_orderkey // 6 % 97")} AS q, {_NAME("Mo", "o_orderkey // 6 % 31")} AS m FROM orders),
+men0 AS (SELECT doc_id, sent, unnest(CASE t WHEN 0 THEN [{_M(0, "c", "'PERSON'", "'m'")}, {_M(1, "s", "'PERSON'", "'f'")}, {_M(2, "n", "'PLACE'")}]
+  WHEN 1 THEN [{_P(0, "she", "f")}, {_M(1, "p", "'ITEM'")}] WHEN 2 THEN [{_P(0, "he", "m")}, {_P(1, "it", "n")}]
+  WHEN 3 THEN [{_M(0, "r || ' and ' || q", "NULL", "NULL", "many")}, {_M(0, "r", "'PERSON'")}, {_M(0, "q", "'PERSON'")}, {_M(1, "m", "'PLACE'")}]
+  WHEN 4 THEN [{_P(0, "they", "any", "many")}, {_P(1, "him", "m")}] ELSE [{_P(0, "she", "f")}, {_M(1, "c", "'PERSON'")}] END) AS x FROM dlg),
+men AS (SELECT doc_id, sent, x.pos AS pos, x.name AS name, x.type AS type, x.number AS number, x.pronoun AS pronoun, CASE WHEN x.name IS NULL THEN x.gender ELSE max(x.gender) OVER (PARTITION BY doc_id, x.name) END AS gender FROM men0)""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""WITH {DIALOGUES}, pro AS (SELECT * FROM men WHERE pronoun IS NOT NULL), cand AS (SELECT p.doc_id, p.sent, p.pos, p.pronoun, n.name, max(n.sent * 1000 + n.pos) AS last,
+    round(sum(CASE WHEN n.pos = 0 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END * pow(0.5, p.sent - n.sent)) * CASE WHEN p.gender IN ('m', 'f') AND bool_or(n.gender IS NULL) THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score
+  FROM pro p JOIN men n ON n.doc_id = p.doc_id AND n.pronoun IS NULL AND n.sent BETWEEN p.sent - 5 AND p.sent AND (n.sent < p.sent OR n.pos < p.pos) AND NOT (p.pronoun = 'him' AND n.sent = p.sent AND n.pos = 0)
+   AND CASE p.gender WHEN 'n' THEN n.number = 'one' AND n.type <> 'PERSON' AND n.gender IS NULL WHEN 'any' THEN n.number = 'many' ELSE n.number = 'one' AND n.type = 'PERSON' AND coalesce(n.gender, p.gender) = p.gender END
+  GROUP BY p.doc_id, p.sent, p.pos, p.pronoun, p.gender, n.name),
+best AS (SELECT doc_id, sent, pos, first(name ORDER BY score DESC, last DESC, name) AS antecedent, max(score) AS score, CAST(count(*) AS INTEGER) AS n FROM cand GROUP BY 1, 2, 3)
+SELECT doc_id, sent, pos AS "at", pronoun, antecedent, score, coalesce(n, 0) AS n_candidates FROM pro LEFT JOIN best USING (doc_id, sent, pos)""")
+def scored_coreference(spark, sf_dir):
+    found = C.mentions(B.dialogues(spark, sf_dir))
+    kind = F.create_map(*[F.lit(x) for kv in {"Cu": "PERSON", "Su": "PERSON", "Re": "PERSON", "Qo": "PERSON", "Na": "PLACE", "Mo": "PLACE", "Pa": "ITEM"}.items() for x in kv])
+    types = found.where("number = 'one' and pronoun is null").select("name").distinct().select("name", kind[F.substring("name", 1, 2)].alias("type"))
+    return C.resolved(C.described(found, types))
+
+
+# --- aliases --------------------------------------------------------------------------------------------------------
+
+_TOK = r"'[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7E]'"
+#: The aliases: of every document its first one to four words, known by its number.
+ALIASES = f"""tok AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), {_TOK}) AS w FROM documents),
+als AS MATERIALIZED (SELECT array_to_string(w[1 : 1 + doc_id % 4], ' ') AS key, min('D' || doc_id) AS id FROM tok WHERE len(w) > 0 GROUP BY 1),
+ln AS (SELECT key, id, len(string_split(key, ' ')) AS n FROM als),
+pos AS (SELECT t.doc_id, i AS at_, s.n, array_to_string(t.w[i + 1 : i + s.n], ' ') AS key FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM tok) t JOIN (SELECT DISTINCT n FROM ln) s ON i + s.n <= len(t.w)),
+can AS MATERIALIZED (SELECT doc_id, at_, n, key, id FROM pos JOIN ln USING (key, n))"""
+
+
+def _aliases(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents")
+    words = F.regexp_extract_all("text", F.lit(f"({A.TOKEN})"), F.lit(1))
+    return docs.select(F.array_join(F.slice(words, F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")), " ").alias("alias"), F.concat(F.lit("D"), "doc_id").alias("id"))
+
+
+@query(f"WITH {ALIASES} SELECT doc_id, id, count(*) AS n, CAST(min(at_) AS INTEGER) AS first FROM can GROUP BY 1, 2")
+def alias_candidates(spark, sf_dir):
+    found = A.candidates(B.table(spark, sf_dir, "documents"), A.keyed(_aliases(spark, sf_dir)))
+    return found.groupBy("doc_id", "id").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+
+
+@query(f"""WITH RECURSIVE {ALIASES}, isl AS (SELECT *, sum(CASE WHEN at_ < before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY at_, n) AS island FROM
+    (SELECT *, max(at_ + n) OVER (PARTITION BY doc_id ORDER BY at_, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM can)),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY length(key) DESC, at_, key) AS r FROM isl),
+f AS (SELECT doc_id, island, 1 AS r, [{{'a': at_, 'n': n, 'id': id}}] AS acc FROM rk WHERE r = 1
+  UNION ALL SELECT f.doc_id, f.island, f.r + 1, CASE WHEN len(list_filter(acc, lambda y: y.a < rk.at_ + rk.n AND rk.at_ < y.a + y.n)) > 0 THEN acc ELSE list_append(acc, {{'a': rk.at_, 'n': rk.n, 'id': rk.id}}) END
+  FROM f JOIN rk ON rk.doc_id = f.doc_id AND rk.island = f.island AND rk.r = f.r + 1),
+e AS (SELECT doc_id, island, unnest(arg_max(acc, r)) AS x FROM f GROUP BY 1, 2)
+SELECT doc_id, CAST(x.a AS INTEGER) AS place, CAST(x.n AS INTEGER) AS n, x.id AS id FROM e""")
+def alias_mentions(spark, sf_dir):
+    return A.alias_mentions(B.table(spark, sf_dir, "documents"), _aliases(spark, sf_dir)).select("doc_id", F.col("at").alias("place"), "n", "id")

@@ -123,6 +123,19 @@ def grammar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cast(spark, sf_dir).select(k.alias("doc_id"), F.concat(*parts, F.lit(".")).alias("text"))
 
 
+#: The sentences of a dialogue; each dialogue begins with another one.
+DIALOGUE = ("Mr. {c} met Mrs. {s} in {n}.", "She liked {p}.", "He bought it.", "{r} and {q} visited {m}.", "They thanked him.", "Then she left with {c}.")
+
+
+def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, idx, text: a sentence for each order; six orders are a dialogue, with the same names in all its sentences."""
+    k = F.col("o_orderkey")
+    doc = F.floor(k / len(DIALOGUE)).cast("long")
+    rows = table(spark, sf_dir, "orders").select(k.alias("_k"), doc.alias("o_orderkey"), (doc % 89).alias("o_custkey"), (doc % 83).alias("s"), (doc % 79).alias("p"), (doc % 25).alias("c_nationkey"), "o_orderdate")
+    idx = (F.col("_k") % len(DIALOGUE)).cast("int")
+    return rows.select(F.col("o_orderkey").alias("doc_id"), idx.alias("idx"), told(DIALOGUE, (idx + F.col("o_orderkey")) % len(DIALOGUE)).alias("text"))
+
+
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: an English text of two or three sentences for each order, told of its customer, nation, first supplier
     and first part. The supplied documents are invented words without grammar; these have relations to be found. They are
