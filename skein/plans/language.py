@@ -6,9 +6,11 @@ Texts are put together from parts that the tables choose, so the SQL states from
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import aliases as A
 from ..operators import coreference as C
+from ..operators import dependency as D
 from ..operators import grammar as G
 from ..sources import tables as B
 from .catalogue import query
@@ -94,3 +96,37 @@ e AS (SELECT doc_id, island, unnest(arg_max(acc, r)) AS x FROM f GROUP BY 1, 2)
 SELECT doc_id, CAST(x.a AS INTEGER) AS place, CAST(x.n AS INTEGER) AS n, x.id AS id FROM e""")
 def alias_mentions(spark, sf_dir):
     return A.alias_mentions(B.table(spark, sf_dir, "documents"), _aliases(spark, sf_dir)).select("doc_id", F.col("at").alias("place"), "n", "id")
+
+
+# --- dependency paths -----------------------------------------------------------------------------------------------
+
+#: Patterns of paths and what they say.
+PATHS = [("^[^:]+:↑nsubj:[^:]+:↓dobj:[^:]+$", "acts_on"), ("↑nsubj.*↓prep", "acts_at"), ("↓nsubj", "done_by")]
+TREES = """tok AS (SELECT l_orderkey AS doc_id, i, 'w' || l_suppkey % 50 AS lemma, CASE l_returnflag WHEN 'A' THEN 'nsubj' WHEN 'R' THEN 'dobj' ELSE 'prep' END AS dep,
+  CASE l_linestatus WHEN 'O' THEN 'VERB' ELSE 'ADP' END AS pos, CASE WHEN i = 0 THEN 0 ELSE l_partkey % i END AS head
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 AS INTEGER) AS i FROM lineitem))"""
+
+
+@query(f"""WITH RECURSIVE {TREES}, n AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM tok GROUP BY 1), pr AS (SELECT doc_id, n - 1 AS a, n // 2 AS b FROM n),
+up AS (SELECT doc_id, 0 AS side, a AS x, 0 AS d FROM pr WHERE a <> b UNION ALL SELECT doc_id, 1, b, 0 FROM pr WHERE a <> b
+  UNION ALL SELECT u.doc_id, u.side, t.head, u.d + 1 FROM up u JOIN tok t ON t.doc_id = u.doc_id AND t.i = u.x WHERE u.x <> 0),
+top AS (SELECT l.doc_id, arg_min(l.d, l.d) AS da, arg_min(r.d, l.d) AS db FROM up l JOIN up r ON l.doc_id = r.doc_id AND l.x = r.x AND l.side = 0 AND r.side = 1 GROUP BY 1),
+l AS (SELECT u.doc_id, string_agg(':↑' || t.dep || ':' || h.lemma, '' ORDER BY u.d) AS s, bool_or(t.pos = 'VERB') AS v, bool_or(t.pos = 'ADP') AS a FROM up u JOIN top ON top.doc_id = u.doc_id AND u.side = 0 AND u.d < da JOIN tok t ON t.doc_id = u.doc_id AND t.i = u.x JOIN tok h ON h.doc_id = u.doc_id AND h.i = t.head GROUP BY 1),
+r AS (SELECT u.doc_id, string_agg(':↓' || t.dep || ':' || t.lemma, '' ORDER BY u.d DESC) AS s, bool_or(t.pos = 'VERB') AS v, bool_or(t.pos = 'ADP') AS a FROM up u JOIN top ON top.doc_id = u.doc_id AND u.side = 1 AND u.d < db JOIN tok t ON t.doc_id = u.doc_id AND t.i = u.x GROUP BY 1),
+m AS (SELECT u.doc_id, t.pos FROM up u JOIN top ON top.doc_id = u.doc_id AND u.side = 0 AND u.d = da JOIN tok t ON t.doc_id = u.doc_id AND t.i = u.x),
+p AS (SELECT pr.doc_id, CASE WHEN top.doc_id IS NOT NULL THEN t.lemma || coalesce(l.s, '') || coalesce(r.s, '') END AS path, CASE WHEN top.doc_id IS NOT NULL THEN CAST(da + db + 1 AS INTEGER) END AS length,
+  CASE WHEN top.doc_id IS NOT NULL THEN coalesce(l.v, false) OR coalesce(r.v, false) OR m.pos = 'VERB' END AS has_verb, CASE WHEN top.doc_id IS NOT NULL THEN coalesce(l.a, false) OR coalesce(r.a, false) OR m.pos = 'ADP' END AS has_preposition
+  FROM pr JOIN tok t ON t.doc_id = pr.doc_id AND t.i = pr.a LEFT JOIN top ON top.doc_id = pr.doc_id LEFT JOIN l ON l.doc_id = pr.doc_id LEFT JOIN r ON r.doc_id = pr.doc_id LEFT JOIN m ON m.doc_id = pr.doc_id)
+SELECT *, CASE {" ".join(f"WHEN regexp_matches(path, '{p}') THEN '{w}'" for p, w in PATHS)} END AS predicate FROM p""")
+def dependency_paths(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    i = F.col("i")
+    rows = B.table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(w) - 1)
+    token = F.struct(
+        i, F.concat(F.lit("w"), F.col("l_suppkey") % 50).alias("lemma"), F.when(F.col("l_linestatus") == "O", "VERB").otherwise("ADP").alias("pos"),
+        F.when(F.col("l_returnflag") == "A", "nsubj").when(F.col("l_returnflag") == "R", "dobj").otherwise("prep").alias("dep"), F.when(i == 0, 0).otherwise(F.expr("l_partkey % if(i = 0, 1, i)")).cast("int").alias("head"),
+    )
+    trees = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+    pairs = trees.withColumn("a", F.size("tokens") - 1).withColumn("b", F.expr("size(tokens) div 2").cast("int"))
+    found = D.with_paths(pairs).withColumn("predicate", D.predicate_of(F.col("path"), PATHS))
+    return found.select("doc_id", "path", "length", "has_verb", "has_preposition", "predicate")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import aliases, coreference, grammar
+from skein.operators import aliases, coreference, dependency, grammar
 
 
 def found(text):
@@ -147,3 +147,44 @@ def test_a_million_aliases(spark):
     known = spark.range(1_000_000).select(F.concat(F.lit("name "), F.col("id").cast("string"), F.lit(" the great")).alias("alias"), "id")
     docs = spark.createDataFrame([(1, "Name 77 the Great met name 999999 the great and name 5 the small."), (2, "no one")], "doc_id long, text string")
     assert sorted(r.id for r in aliases.alias_mentions(docs, known).collect()) == [77, 999_999]
+
+
+# --- dependency paths ------------------------------------------------------------------------------------------------
+
+
+def bfs(tokens, a, b):
+    if a == b:
+        return None
+    near = {i: [] for i in range(len(tokens))}
+    for i, (_, dep, head) in enumerate(tokens):
+        if head is not None and 0 <= head < len(tokens) and head != i:
+            near[i].append((head, f":↑{dep}:{tokens[head][0]}"))
+            near[head].append((i, f":↓{dep}:{tokens[i][0]}"))
+    seen, queue = {a: tokens[a][0]}, [a]
+    for i in queue:
+        for j, edge in near[i]:
+            if j not in seen:
+                seen[j] = seen[i] + edge
+                queue.append(j)
+    return seen.get(b)
+
+
+def test_paths_of_random_trees_equal_breadth_first_search(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for k in range(300):
+        n = rng.randint(1, 14)
+        order = rng.sample(range(n), n)
+        tokens = [None] * n
+        for place, i in enumerate(order):
+            root = place == 0 or rng.random() < 0.05  # several roots: no path between their trees
+            tokens[i] = (f"l{i % 5}", rng.choice(["nsubj", "dobj", "prep"]), rng.choice([i, None, -1]) if root else order[rng.randrange(place)])
+        a, b = rng.randrange(n), rng.randrange(n)
+        rows.append((k, [(i, w, "VERB" if i % 3 else "ADP", dep, h) for i, (w, dep, h) in enumerate(tokens)], a, b))
+        want[k] = bfs(tokens, a, b)
+    rows += [(300, [(0, "x", "VERB", "d", 1), (1, "y", "ADP", "e", 0)], 0, 1), (301, [], 0, 1), (302, None, 0, 0), (303, [(0, "x", "VERB", "d", 0)], 0, 7)]
+    want |= {300: "x:↓e:y", 301: None, 302: None, 303: None}
+    df = spark.createDataFrame(rows, "k int, tokens array<struct<i:int,lemma:string,pos:string,dep:string,head:int>>, a int, b int")
+    got = {r.k: (r.path, r.length, r.edges) for r in dependency.with_paths(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == want and sum(v is not None for v in want.values()) > 150
+    assert all(v[1] is None or v[1] == len(v[2]) + 1 == v[0].count(":") // 2 + 1 for v in got.values())
