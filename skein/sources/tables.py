@@ -136,6 +136,23 @@ def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("doc_id"), idx.alias("idx"), told(DIALOGUE, (idx + F.col("o_orderkey")) % len(DIALOGUE)).alias("text"))
 
 
+#: Sentences on persons who share names; the first and the last say nothing that keeps persons apart.
+NAMESAKES = (
+    "{c} visited {n}.", "{c}, the wizard, visited {n}.", "{c} worked as a farmer in {n}.", "{c}, father of {s}, met the farmer.",
+    "{c}, a young wizard, left {n}.", "{c}, son of {s}, left {n}.", "The retired judge {c} rested in {n}.", "{c} died in {n}.", "{c} saw {p}.",
+)
+
+
+def namesakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, name, text: a sentence for each order; 97 names, of which every third is one person's."""
+    rows = _cast(spark, sf_dir)
+    k = F.col("o_custkey")
+    one = k % 97 % 3 == 0
+    which = F.when(one, F.col("o_orderkey") % 2).otherwise((k + F.col("o_orderkey") % 3) % len(NAMESAKES))
+    rows = rows.withColumn("which", which).withColumn("o_custkey", k % 97)
+    return rows.select(F.col("o_orderkey").alias("doc_id"), named("Cu", k).alias("name"), told(NAMESAKES, F.col("which")).alias("text"))
+
+
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: an English text of two or three sentences for each order, told of its customer, nation, first supplier
     and first part. The supplied documents are invented words without grammar; these have relations to be found. They are

@@ -2,7 +2,7 @@
 
 import pytest
 
-from skein.plans import catalogue, further, knowledge, language, more, narrative, rendering  # noqa: F401
+from skein.plans import catalogue, further, identity, knowledge, language, more, narrative, rendering  # noqa: F401
 
 from .conftest import SF, rows
 
