@@ -15,14 +15,15 @@ def mentions(docs: DataFrame) -> DataFrame:
     return rows.where(~T.is_blocked(F.col("surface")))
 
 
-def mention_spans(docs: DataFrame, pattern: str = T.NAME, keep: tuple[str, ...] = ()) -> DataFrame:
+def mention_spans(docs: DataFrame, pattern: str = T.NAME, keep: tuple[str, ...] = (), gaps: bool = False) -> DataFrame:
     """doc_id, ord, surface, start, end in code points of the matches of a pattern (one group, the whole match), and the
-    columns of ``keep``. The gaps between matches give the offsets: a running sum over the pieces of each row of docs."""
+    columns of ``keep``; with ``gaps`` also the text between a match and the one before it (gap). The gaps between matches give the offsets: a running sum over the pieces of each row of docs."""
     pieces = docs.select("doc_id", *keep, F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("m"), F.split("text", pattern).alias("gap"))
-    rows = pieces.select("doc_id", *keep, "_row", F.posexplode(F.transform(F.arrays_zip("gap", "m"), lambda x: F.struct(x["m"].alias("surface"), F.length(x["gap"]).alias("g")))).alias("ord", "s"))
-    rows = rows.where("s.surface is not null").select("doc_id", *keep, "_row", "ord", "s.surface", (F.col("s.g") + F.length("s.surface")).alias("n"))
+    rows = pieces.select("doc_id", *keep, "_row", F.posexplode(F.transform(F.arrays_zip("gap", "m"), lambda x: F.struct(x["m"].alias("surface"), F.length(x["gap"]).alias("g"), *([x["gap"].alias("gap")] if gaps else [])))).alias("ord", "s"))
+    between = ["s.gap"] if gaps else []
+    rows = rows.where("s.surface is not null").select("doc_id", *keep, "_row", "ord", *between, "s.surface", (F.col("s.g") + F.length("s.surface")).alias("n"))
     end = F.sum("n").over(Window.partitionBy("_row").orderBy("ord")).cast("int")
-    return rows.withColumn("end", end).select("doc_id", *keep, "ord", "surface", (F.col("end") - F.length("surface")).alias("start"), "end")
+    return rows.withColumn("end", end).select("doc_id", *keep, "ord", *(["gap"] if gaps else []), "surface", (F.col("end") - F.length("surface")).alias("start"), "end")
 
 
 def registry(found: DataFrame) -> DataFrame:

@@ -1,13 +1,20 @@
-"""Registered queries on who is who: persons of one name, clusters under constraints."""
+"""Registered queries on who is who: persons of one name, clusters under constraints, names in pieces, texts rewritten, a search
+index, the digest of the whole graph."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import digest as D
 from ..operators import homonyms as H
 from ..operators import linking as L
+from ..operators import stitching as S
+from ..operators.mentions import mention_spans
+from ..sources import postings as I
 from ..sources import tables as B
-from .catalogue import query
+from ..sources.lineage import shared_path
+from .catalogue import ENT, TRI, query
+from .language import PARTS
 
 # --- persons of one name --------------------------------------------------------------------------------------------
 
@@ -77,3 +84,75 @@ def constrained_clusters(spark, sf_dir):
     nodes = rows.select(F.concat(F.lit("C"), k).alias("id"), kind.alias("type"), title.alias("title"), F.coalesce("weight", F.lit(0)).alias("weight"), k.alias("k"))
     keys = nodes.select("id", F.explode(F.array(F.concat(F.lit("a"), F.expr("k div 4")), F.when(F.col("k") % 4 == 0, F.concat(F.lit("b"), F.expr("k div 12"))))).alias("key"))
     return L.united(*L.key_links(nodes.drop("k"), keys)).where("id not like '~%'")
+
+
+# --- names in pieces, texts rewritten -------------------------------------------------------------------------------
+
+_TYPES = {"Cu": "PERSON", "Qo": "PERSON", "Su": "ORG", "Pa": "ITEM", "Na": "PLACE", "Re": "TRIBE", "Mo": "HOUSE"}
+PIECES = f"""{PARTS}, tx AS (SELECT *, doc_id % 4 AS t, CASE doc_id % 4 WHEN 0 THEN c || ' of ' || n || ' met ' || s || ' and ' || q || '. They lived there.'
+  WHEN 1 THEN 'There ' || c || ' and ' || q || ' left ' || n || ' ' || p || '. ' || m || ' stayed there, there alone.' WHEN 2 THEN c || ' de ' || q || ' of ' || n || ' saw ' || s || '.' ELSE p || ' of ' || r || ' and ' || m || ' fell.' END AS text FROM cast_),
+th AS (SELECT doc_id, n, text, CAST(unnest(CASE t WHEN 0 THEN [length(text) - 6] WHEN 1 THEN [strpos(text, 'stayed there') + 6, strpos(text, ', there') + 1] ELSE [] END) AS INTEGER) AS start FROM tx),
+ed AS (SELECT doc_id, start, start + 5 AS "end", start + CAST((row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1) * (length(n) - 2) AS INTEGER) AS new_start, CAST(length(n) + 3 AS INTEGER) AS size FROM th)"""
+
+
+@query(f"""WITH {PIECES}, x AS (SELECT doc_id, text AS full_, unnest(CASE t WHEN 0 THEN [{{'s': c || ' of ' || n, 'k': 'PERSON', 'n': 2}}, {{'s': s || ' and ' || q, 'k': 'PERSON', 'n': 2}}]
+  WHEN 1 THEN [{{'s': c, 'k': 'PERSON', 'n': 1}}, {{'s': q, 'k': 'PERSON', 'n': 1}}, {{'s': n || ' ' || p, 'k': 'PLACE', 'n': 2}}, {{'s': m, 'k': 'HOUSE', 'n': 1}}]
+  WHEN 2 THEN [{{'s': c || ' de ' || q || ' of ' || n, 'k': 'PERSON', 'n': 3}}, {{'s': s, 'k': 'ORG', 'n': 1}}] ELSE [{{'s': p || ' of ' || r || ' and ' || m, 'k': 'ITEM', 'n': 3}}] END) AS z FROM tx)
+SELECT doc_id, CAST(strpos(full_, z.s) - 1 AS INTEGER) AS start, CAST(strpos(full_, z.s) - 1 + length(z.s) AS INTEGER) AS "end", z.s AS text, z.k AS type, CAST(z.n AS BIGINT) AS n FROM x""")
+def stitched_spans(spark, sf_dir):
+    kind = F.create_map(*[F.lit(x) for kv in _TYPES.items() for x in kv])
+    spans = mention_spans(B.pieces(spark, sf_dir), rf"(\b(?:{'|'.join(_TYPES)})[a-z]+)", gaps=True)
+    return S.stitched(spans.withColumn("type", kind[F.substring("surface", 1, 2)]))
+
+
+def _edits(docs):
+    places = mention_spans(docs, r"(\bNa[a-z]+)").select("doc_id", "start", F.col("surface").alias("name"))
+    return S.deictic_edits(docs, places)
+
+
+@query(f"WITH {PIECES} SELECT doc_id, CASE t WHEN 0 THEN replace(text, ' there', ' in ' || n) WHEN 1 THEN replace(text, ' there', ' in ' || n) ELSE text END AS text FROM tx")
+def deictic_rewritten(spark, sf_dir):
+    docs = B.pieces(spark, sf_dir)
+    return S.rewritten(docs, _edits(docs))
+
+
+@query(f"""WITH {PIECES}, pt AS (SELECT doc_id, unnest(range(0, 70, 7)) AS at_ FROM tx),
+j AS (SELECT pt.doc_id, CAST(at_ AS INTEGER) AS at_, arg_max({{'a': start, 'e': "end", 'na': new_start, 'ne': new_start + size}}, new_start) FILTER (new_start <= at_) AS x FROM pt LEFT JOIN ed ON ed.doc_id = pt.doc_id GROUP BY 1, 2)
+SELECT doc_id, at_ AS place, CASE WHEN x IS NULL THEN at_ WHEN at_ < x.ne THEN x.a ELSE at_ - x.ne + x.e END AS old FROM j""")
+def deictic_offsets(spark, sf_dir):
+    docs = B.pieces(spark, sf_dir)
+    points = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(69), F.lit(7))).alias("at"))
+    return S.to_old(points, S.placed(_edits(docs))).select("doc_id", F.col("at").alias("place"), "old")
+
+
+# --- search index ---------------------------------------------------------------------------------------------------
+
+#: Documents of quality 1 are changed after the index is built, toxic ones deleted.
+INDEXED = """now AS (SELECT doc_id, CASE WHEN quality = 1 THEN text || ' der der thtion' ELSE text END AS text, source FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) <> 1),
+w AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '([a-z]+)', 1), []) AS a, coalesce(regexp_extract_all(lower(source), '([a-z]+)', 1), []) AS b FROM now),
+sc AS (SELECT doc_id, len(list_filter(a, lambda x: x IN ('thtion', 'der', 'src'))) AS i, len(list_filter(b, lambda x: x IN ('thtion', 'der', 'src'))) AS j, greatest(len(a), 1) AS n, greatest(len(b), 1) AS m FROM w)"""
+
+
+@query(f"WITH {INDEXED} SELECT doc_id AS id, round(i / sqrt(n) + 5 * j / sqrt(m), 6) AS score FROM sc WHERE i + j > 0 ORDER BY score DESC, id LIMIT 20")
+def index_search(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    marks = B.table(spark, sf_dir, "labels").where("quality = 1 or toxic = 1").select(F.col("doc_id").alias("id"), "toxic")
+    path, boosts = shared_path(spark), {"text": 1.0, "source": 5.0}
+    I.build(docs, path, boosts)
+    gone = F.coalesce(F.col("toxic"), F.lit(0)) == 1
+    I.merge(docs.join(marks, "id").select("id", F.when(~gone, F.concat("text", F.lit(" der der thtion"))).alias("text"), F.when(~gone, F.col("source")).alias("source")), path, boosts)
+    return I.search(spark, path, "Der thtion src", 20)
+
+
+# --- digest ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ENT}, {TRI}, ln AS (SELECT 'entity' AS kind, '{{"aliases":[],"canonical":"' || canonical || '","type":"' || type || '"}}' AS line FROM entities
+  UNION ALL SELECT 'relation', '{{"confidence":' || CAST(CAST(confidence AS DOUBLE) AS VARCHAR) || ',"extractor":' || coalesce('"' || extractor || '"', 'null') || ',"obj":"' || coalesce(o.canonical, obj) || '","pred":"' || pred || '","qualifiers":[],"subj":"' || coalesce(s.canonical, subj) || '"}}'
+  FROM triples LEFT JOIN entities s ON s.id = subj LEFT JOIN entities o ON o.id = obj),
+e AS (SELECT kind, sha256(line) AS h, count(*) AS n FROM ln GROUP BY 1, 2), p AS (SELECT kind, h[1:4] AS b, sum(n) AS n, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS p FROM e GROUP BY 1, 2)
+SELECT kind, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(b || p, ',' ORDER BY b || p)) AS hash FROM p GROUP BY 1""")
+def graph_digest(spark, sf_dir):
+    entities = B.entities(spark, sf_dir).withColumn("aliases", F.lit(None).cast("array<string>"))
+    relations = B.triples(spark, sf_dir).withColumn("qualifiers", F.lit(None).cast("array<struct<type: string, value: string>>"))
+    return D.digest(D.canonical_lines(entities, relations))

@@ -153,6 +153,19 @@ def namesakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("doc_id"), named("Cu", k).alias("name"), told(NAMESAKES, F.col("which")).alias("text"))
 
 
+#: Names in pieces, and words for places named before.
+PIECES = (
+    "{c} of {n} met {s} and {q}. They lived there.", "There {c} and {q} left {n} {p}. {m} stayed there, there alone.",
+    "{c} de {q} of {n} saw {s}.", "{p} of {r} and {m} fell.",
+)
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text for each order; written, as stories are."""
+    k = F.col("o_orderkey")
+    return written(_cast(spark, sf_dir).select(k.alias("doc_id"), told(PIECES, k % len(PIECES)).alias("text")))
+
+
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: an English text of two or three sentences for each order, told of its customer, nation, first supplier
     and first part. The supplied documents are invented words without grammar; these have relations to be found. They are

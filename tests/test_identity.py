@@ -1,11 +1,17 @@
-"""Persons of one name and clusters under constraints, against plain Python."""
+"""Persons of one name, clusters under constraints, names in pieces, rewriting, the index and the digest, against plain Python."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from skein.operators import digest as D
 from skein.operators import homonyms as H
 from skein.operators import linking as L
+from skein.operators import stitching as S
+from skein.operators.mentions import mention_spans
+from skein.sources import postings as I
 
 
 def clash(a, b):
@@ -145,3 +151,137 @@ def test_titles(spark):
     names = ["Dr. Smith", "Lady  Ann Grey", "Smith", "dr", "", None, "Drab Smith"]
     got = [tuple(r) for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(L.title_of(F.col("n")), L.stripped(F.col("n"))).collect()]
     assert got == [("dr", "smith"), ("lady", "ann grey"), (None, "smith"), (None, "dr"), (None, ""), (None, None), (None, "drab smith")]
+
+
+def stitch(spans):
+    """Runs of spans (gap, surface, type) in plain Python: (text, type, n)."""
+    out = []
+    ok = lambda w: w.lower() in S.CONNECTORS or w[:1].isupper()
+    rank = lambda t: S.TYPES.index(t) if t in S.TYPES else 99
+    for i, (gap, surface, kind) in enumerate(spans):
+        words, before = gap.split(), spans[i - 1] if i else None
+        near = i and gap[:1].isspace() and gap[-1:].isspace() and len(words) <= 1 and all(re.fullmatch("[A-Za-z.'’]+", w) and ok(w) for w in words)
+        near = near and all(map(ok, surface.split())) and all(map(ok, before[1].split())) and not (words and words[0].lower() == "and" and before[2] == kind)
+        if near:
+            text, best, n = out[-1]
+            out[-1] = (text + gap + surface, min(best, kind, key=rank), n + 1)
+        else:
+            out.append((surface, kind, 1))
+    return out
+
+
+def test_stitched_equals_python(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for doc in range(150):
+        spans = [(rng.choice([" ", " of ", " and ", " met ", ", ", " The ", "  de la ", " St. ", "\n"]), rng.choice(["Ann", "Ann Lee", "House of Lords", "ann"]), rng.choice(["PERSON", "PLACE", "ORG", "MISC"])) for _ in range(rng.randrange(9))]
+        want[doc] = [] if not spans else stitch(spans)
+        rows += [(doc, i, g, s, 0, 0, t) for i, (g, s, t) in enumerate(spans)]
+    frame = spark.createDataFrame(rows, "doc_id long, ord int, gap string, surface string, start int, end int, type string")
+    offsets = frame.withColumn("end", F.sum(F.length("gap") + F.length("surface")).over(Window.partitionBy("doc_id").orderBy("ord")).cast("int")).withColumn("start", F.col("end") - F.length("surface"))
+    got = {}
+    for r in S.stitched(offsets).orderBy("doc_id", "start").collect():
+        assert r.end - r.start == len(r.text)
+        got.setdefault(r.doc_id, []).append((r.text, r.type, r.n))
+    assert got == {d: w for d, w in want.items() if w} and max(n for w in want.values() for _, _, n in w) > 3
+    assert S.stitched(offsets.where("false")).count() == 0
+
+
+def test_rewriting_there_and_back(spark):
+    rng = random.Random(8)
+    texts, edits = {}, []
+    for doc in range(80):
+        texts[doc] = "".join(rng.choice("abc é𝒳ß") for _ in range(rng.randrange(60)))
+        at = 0
+        while at < len(texts[doc]) and rng.random() < 0.8:
+            a = rng.randrange(at, len(texts[doc]) + 1)
+            b = min(len(texts[doc]), a + rng.randrange(4))
+            edits.append((doc, a, b, rng.choice(["", "X", "long word", "𝒴"])))
+            at = b + 1
+    overlapping = [(d, a, b + 1, None) for d, a, b, _ in edits[::7] if b + 1 <= len(texts[d]) and b > a]
+    frame = spark.createDataFrame([*edits, *edits[:5], *overlapping, (1, None, 2, "x"), (1, 4, 2, "x")], "doc_id int, start int, end int, replacement string")
+    docs = spark.createDataFrame([*((d, t, d) for d, t in texts.items()), (900, None, 1), (901, "", 2)], "doc_id int, text string, end int")
+    want, back, kept = {900: None, 901: ""}, {}, set()
+    for doc, text in texts.items():
+        mine = sorted({(a, -b, r or "") for d, a, b, r in [*edits, *overlapping] if d == doc})
+        new, old, at, end = "", [], 0, -1
+        for a, b, r in mine:
+            if a >= end:
+                new, old = new + text[at:a] + r, [*old, *range(at, a), *[a] * len(r)]
+                kept.add((doc, a, -b, r))
+                at = -b
+            end = max(end, -b)
+        want[doc], back[doc] = new + text[at:], [*old, *range(at, len(text))]
+    got = S.rewritten(docs, frame)
+    assert got.columns == docs.columns and {r.doc_id: r.text for r in got.collect()} == want
+    placed = S.placed(frame)
+    for r in placed.collect():
+        assert want[r.doc_id][r.new_start : r.new_end] == r.replacement and (r.doc_id, r.start, r.end, r.replacement) in kept
+    assert placed.count() == len(kept)
+    points = spark.createDataFrame([(d, i) for d in back for i in range(len(back[d]))], "doc_id int, at int")
+    assert {(r.doc_id, r.at): r.old for r in S.to_old(points, placed).collect()} == {(d, i): o for d in back for i, o in enumerate(back[d])}
+
+
+def test_there_is_the_last_place_before_it(spark):
+    docs = spark.createDataFrame([(1, "There Frodo studied at Rivendell. He lived there, then Bree. THERE he stayed; therefore."), (2, None), (3, "")], "doc_id int, text string")
+    places = mention_spans(docs, r"(Rivendell|Bree)").select("doc_id", "start", F.col("surface").alias("name"))
+    got = {r.doc_id: r.text for r in S.rewritten(docs, S.deictic_edits(docs, places)).collect()}
+    assert got == {1: "There Frodo studied at Rivendell. He lived in Rivendell, then Bree. in Bree he stayed; therefore.", 2: None, 3: ""}
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_index_equals_a_scan_after_updates_and_compaction(spark, tmp_path):
+    rng = random.Random(2)
+    words = ["ring", "sword", "elf", "orc", "gate", "the"]
+    make = lambda: (" ".join(rng.choices(words, k=rng.randrange(3))), " ".join(rng.choices(words, k=rng.randrange(40))), rng.choice(["PERSON", "PLACE", None]))
+    now = {f"d{i:03d}": make() for i in range(200)}
+    frame = lambda rows: spark.createDataFrame([(i, *v) for i, v in rows.items()], "id string, label string, text string, type string")
+    path = str(tmp_path / "index")
+    I.build(frame(now), path)
+
+    def scan(query):
+        scores = {}
+        for i, fields in now.items():
+            score = 0
+            for field, boost in zip(fields, I.BOOSTS.values(), strict=True):
+                w = (field or "").lower().split()
+                score += boost * sum(w.count(t) for t in set(query.lower().split())) / max(len(w), 1) ** 0.5
+            if score:
+                scores[i] = round(score, 6)
+        return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10]
+
+    def found(query, path):
+        return [(r.id, r.score) for r in I.search(spark, path, query, 10).collect()]
+
+    assert found("Ring elf ring", path) == scan("Ring elf ring") and found("person", path) == scan("person")
+    for gen in (1, 2):
+        changed = {i: make() for i in rng.sample(sorted(now), 30)} | {f"new{gen}": ("ring", "ring", "ITEM")}
+        gone = rng.sample(sorted(set(now) - set(changed)), 9)
+        now = {i: v for i, v in (now | changed).items() if i not in gone}
+        assert I.merge(frame(changed | dict.fromkeys(gone, (None, None, None))), path) == gen
+        assert found("ring orc", path) == scan("ring orc")
+    assert found("", path) == [] and found("zzz", path) == []
+    I.compacted(spark, path, str(tmp_path / "compact"))
+    assert found("ring orc", str(tmp_path / "compact")) == scan("ring orc")
+    shown = plan(I.search(spark, path, "ring orc"))
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|INSET) ", shown) and re.search(r"PushedFilters: \[[^\]]*In\(term, \[orc,ring\]\)", shown)
+
+
+def test_digest_does_not_see_ids_or_order(spark):
+    entity = "id string, type string, canonical string, aliases array<string>"
+    relation = "subj string, pred string, obj string, confidence double, extractor string, qualifiers array<struct<type: string, value: string>>"
+    rows = [("1", "PERSON", "Tom", ["T", "A"]), ("2", "ITEM", "Ring", None)]
+    edges = [("1", "has", "2", 0.9, None, [("t", "b"), ("t", "a")]), ("1", "has", "2", 0.9, None, [("t", "a"), ("t", "b")]), ("1", "met", "9", 0.5, "dep", None)]
+
+    def digest(rows, edges):
+        return {r.kind: (r.n, r.hash) for r in D.digest(D.canonical_lines(spark.createDataFrame(rows, entity), spark.createDataFrame(edges, relation))).collect()}
+
+    new = {"1": "x", "2": "a"}
+    renamed = digest([(new[i], k, n, a and a[::-1]) for i, k, n, a in rows[::-1]], [(new.get(s, s), p, new.get(o, o), *x) for s, p, o, *x in edges[::-1]])
+    one = digest(rows, edges)
+    assert one == renamed and one["relation"][0] == 3
+    assert digest(rows, edges[:1] + edges[2:])["relation"] != one["relation"]
+    assert digest([*rows[:1], ("2", "ITEM", "Rings", None)], edges) != one and digest([], []) == {}
