@@ -68,6 +68,20 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, by: list[str], at
     return p.join(i, [*by, "_b"]).where((F.col("start") <= F.col(at)) & (F.col(at) < F.col("end"))).drop("_b")
 
 
+def first_interval(points: DataFrame, intervals: DataFrame, by: list[str], at: str, reach: int, longest: int) -> DataFrame:
+    """Points (unique in ``by`` and ``at``) with the one interval (start, end, id) that they belong to, and ``inside``: of those
+    that hold the point the first, else the first of those at most ``reach`` away (start - reach <= at < end + reach). First is
+    the smallest start, then end, then id. Points that no interval reaches are left out; intervals may be nested, repeated
+    and, where end = start, empty. One join in buckets (see ``point_in_interval``) and a minimum that aggregates before the
+    shuffle, so a point in many intervals costs their rows, but no list of them."""
+    wide = intervals.select(*by, (F.col("start") - reach).alias("start"), (F.col("end") + reach).alias("end"), "id")
+    met = point_in_interval(points.withColumn("_at", F.col(at)), wide, by, at, longest)
+    start, end = F.col("start") + reach, F.col("end") - reach
+    outside = (F.col("_at") < start) | (F.col("_at") >= end)
+    best = met.groupBy(*by, "_at").agg(F.min(F.struct(outside.alias("o"), start.alias("start"), end.alias("end"), F.col("id"))).alias("m"))
+    return points.join(best.select(*by, F.col("_at").alias(at), (~F.col("m.o")).alias("inside"), "m.start", "m.end", "m.id"), [*by, at])
+
+
 def trailing_speakers(rows: DataFrame, by: list[str], order: list[str], who: str, n: int = 4) -> DataFrame:
     """The distinct ``who`` of the ``n`` rows before each row; two of them make an exchange."""
     w = Window.partitionBy(*by).orderBy(*order)

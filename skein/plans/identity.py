@@ -10,6 +10,7 @@ from ..operators import homonyms as H
 from ..operators import linking as L
 from ..operators import stitching as S
 from ..operators.mentions import mention_spans
+from ..operators.spans import first_interval
 from ..sources import postings as I
 from ..sources import tables as B
 from ..sources.lineage import shared_path
@@ -125,6 +126,23 @@ def deictic_offsets(spark, sf_dir):
     return S.to_old(points, S.placed(_edits(docs))).select("doc_id", F.col("at").alias("place"), "old")
 
 
+# --- windows by priority --------------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT o_custkey AS cust, o_orderkey AS id, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS start, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 60 AS end_ FROM orders),
+pt AS (SELECT o_custkey AS cust, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS day, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+m AS (SELECT pt.cust, day, n, id, day >= start AND day < end_ AS inside, row_number() OVER (PARTITION BY pt.cust, day ORDER BY NOT (day >= start AND day < end_), start, end_, id) AS r FROM pt JOIN d ON pt.cust = d.cust AND day >= start - 10 AND day < end_ + 10)
+SELECT cust, CAST(day AS INTEGER) AS day, n, id, inside FROM m WHERE r = 1""")
+def shipment_windows(spark, sf_dir):
+    day = lambda c: F.datediff(c, F.lit("1992-01-01").cast("date"))
+    orders = B.table(spark, sf_dir, "orders")
+    start = day("o_orderdate")
+    windows = orders.select(F.col("o_custkey").alias("cust"), start.alias("start"), (start + F.col("o_orderkey") % 60).alias("end"), F.col("o_orderkey").alias("id"))
+    lines = B.table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    points = lines.groupBy(F.col("o_custkey").alias("cust"), day("l_shipdate").alias("day")).agg(F.count("*").alias("n"))
+    return first_interval(points, windows, ["cust"], "day", 10, 60).select("cust", "day", "n", "id", "inside")
+
+
 # --- search index ---------------------------------------------------------------------------------------------------
 
 #: Documents of quality 1 are changed after the index is built, toxic ones deleted.

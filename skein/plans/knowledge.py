@@ -12,6 +12,7 @@ from ..operators import profiles as O
 from ..operators import references as W
 from ..operators import registry as Y
 from ..sources import tables as B
+from ..sources.lineage import shared_path, written
 from ..sources.tables import table
 from .catalogue import BLOCKED, ENT, MEN, PAIRS, SPANS, TRI, _pairs, query
 
@@ -345,6 +346,28 @@ def active_learning(spark, sf_dir):
     return L.active_round(table(spark, sf_dir, "documents"), _seeds(spark, sf_dir)).select("name", "n_templates", "n", "uncertainty")
 
 
+def _asking(k: int) -> str:
+    """Round k of the learning loop, from the seeds s and the refused names x of the round before."""
+    return f"""t{k} AS (SELECT template FROM occ WHERE name IN (SELECT name FROM s{k}) GROUP BY 1 HAVING count(*) >= 2),
+u{k} AS (SELECT name, sum(n) AS n, round(1 - abs(0.5 - power(0.5, count(*))) * 2, 6) AS uncertainty FROM occ WHERE length(name) >= 3 AND lower(name) NOT IN ('the', 'this', 'that', 'there', 'then', 'they', 'and', 'but', 'for', 'with')
+  AND template IN (SELECT template FROM t{k}) AND name NOT IN (SELECT name FROM s{k}) AND name NOT IN (SELECT name FROM x{k}) AND (SELECT g FROM go{k}) GROUP BY 1),
+a{k} AS MATERIALIZED (SELECT name, length(name) % 3 <> 0 AS ok FROM u{k} WHERE uncertainty >= 0.3 ORDER BY uncertainty DESC, n DESC, name LIMIT 10),
+s{k + 1} AS MATERIALIZED (SELECT name FROM s{k} UNION SELECT name FROM a{k} WHERE ok), x{k + 1} AS MATERIALIZED (SELECT name FROM x{k} UNION SELECT name FROM a{k} WHERE NOT ok), go{k + 1} AS MATERIALIZED (SELECT count(*) >= 2 AS g FROM a{k} WHERE ok)"""
+
+
+LOOP = """pr AS (SELECT w[i] AS a, w[i + 1] AS b FROM lw, LATERAL (SELECT unnest(generate_series(1, len(w) - 1)) AS i)),
+occ AS MATERIALIZED (SELECT name, template, count(*) AS n FROM (SELECT a AS name, 'X ' || b AS template FROM pr WHERE regexp_matches(a, '^[A-Z]') AND regexp_matches(b, '^[a-z]') UNION ALL SELECT b, a || ' X' FROM pr WHERE regexp_matches(b, '^[A-Z]') AND regexp_matches(a, '^[a-z]')) GROUP BY 1, 2),
+s1 AS MATERIALIZED (SELECT name FROM seeds), x1 AS (SELECT name FROM seeds WHERE false), go1 AS (SELECT true AS g)"""
+
+
+@query(f"WITH {MEN}, {SEEDS}, {LOOP}, {', '.join(_asking(k) for k in range(1, 6))} SELECT 0 AS round, name, 'seed' AS status FROM seeds {' '.join(f'UNION ALL SELECT {k}, name, CASE WHEN ok THEN $$confirmed$$ ELSE $$rejected$$ END FROM a{k}' for k in range(1, 6))}")
+def learning_loop(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))).alias("name")).distinct()
+    answers = words.select("name", (F.length("name") % 3 != 0).alias("is_correct"))
+    return L.learning_loop(docs, written(_seeds(spark, sf_dir)), answers, shared_path(spark))
+
+
 PATTERN = """cr AS (SELECT regexp_replace(regexp_replace(p_name, '[0-9]+', '0', 'g'), '[A-Z]', 'A', 'g') AS pattern, 'type' AS kind, CASE WHEN p_size % 5 = 0 THEN 'ARTIFACT' ELSE 'ITEM' END AS value FROM part),
 pt AS (SELECT pattern, kind, value, count(*) AS support, round(count(*) / sum(count(*)) OVER (PARTITION BY pattern, kind), 6) AS confidence FROM cr GROUP BY 1, 2, 3)"""
 

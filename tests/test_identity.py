@@ -10,7 +10,9 @@ from skein.operators import digest as D
 from skein.operators import homonyms as H
 from skein.operators import linking as L
 from skein.operators import stitching as S
+from skein.operators.learning import learning_loop
 from skein.operators.mentions import mention_spans
+from skein.operators.spans import first_interval
 from skein.sources import postings as I
 
 
@@ -285,3 +287,56 @@ def test_digest_does_not_see_ids_or_order(spark):
     assert one == renamed and one["relation"][0] == 3
     assert digest(rows, edges[:1] + edges[2:])["relation"] != one["relation"]
     assert digest([*rows[:1], ("2", "ITEM", "Rings", None)], edges) != one and digest([], []) == {}
+
+
+def test_first_interval_equals_python(spark):
+    rng = random.Random(6)
+    intervals = [(rng.randrange(3), a, a + rng.choice([0, 1, 5, 40, 300]), i % 50) for i, a in enumerate(rng.choices(range(400), k=120))]
+    points = [(k, at) for k in range(4) for at in range(-20, 760, 3)]
+    want = {}
+    for k, at in points:
+        near = [(not a <= at < b, a, b, i) for key, a, b, i in intervals if key == k and a - 12 <= at < b + 12]
+        if near:
+            out, a, b, i = min(near)
+            want[k, at] = (not out, a, b, i)
+    frame = spark.createDataFrame(intervals, "k int, start int, end int, id int")
+    for longest in (7, 1000):
+        got = {(r.k, r.at): (r.inside, r.start, r.end, r.id) for r in first_interval(spark.createDataFrame(points, "k int, at int"), frame, ["k"], "at", 12, longest).collect()}
+        assert got == want
+    assert {w[0] for w in want.values()} == {True, False}
+
+
+def test_a_learning_loop_that_was_stopped_goes_on(spark, tmp_path):
+    rng = random.Random(4)
+    names = [f"N{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(60)]
+    texts = [" ".join(f"{rng.choice(names)} w{rng.choice('abcdefghijklmnop')}x" for _ in range(6)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    seeds = spark.createDataFrame([("Naa",), ("Nab",), ("Nab",)], "name string")
+    said = {n: i % 4 != 3 for i, n in enumerate(names) if i % 11}
+    answers = spark.createDataFrame([*said.items(), (names[2], False)], "name string, is_correct boolean")
+    said[names[2]] = False
+
+    def loop(name, **more):
+        return sorted((r.round, r.name, r.status) for r in learning_loop(docs, seeds, answers, str(tmp_path / name), ask=5, **more).collect())
+
+    whole = loop("whole")
+    places = {}
+    for t in texts:
+        w = re.findall("[A-Za-z]+", t)
+        for a, b in zip(w, w[1:], strict=False):
+            for name, template in ((a, f"X {b}"), (b, f"{a} X")):
+                if name[0].isupper() and template.replace("X ", "").replace(" X", "")[0].islower():
+                    places.setdefault(template, []).append(name)
+    known, refused, want = {"Naa", "Nab"}, set(), [(0, "Naa", "seed"), (0, "Nab", "seed")]
+    for k in range(1, 6):
+        good = [t for t, ns in places.items() if len(set(ns) & known) >= 2]
+        score = {n: (round(1 - abs(0.5 - 0.5 ** sum(n in places[t] for t in good)) * 2, 6), sum(places[t].count(n) for t in good)) for t in good for n in places[t] if n not in known | refused}
+        asked = sorted((n for n, s in score.items() if s[0] >= 0.3), key=lambda n: (-score[n][0], -score[n][1], n))[:5]
+        want += [(k, n, {True: "confirmed", False: "rejected", None: "unanswered"}[said.get(n)]) for n in asked]
+        yes = [n for n in asked if said.get(n)]
+        known, refused = known | set(yes), refused | {n for n in asked if said.get(n) is False}
+        if len(yes) < 2:
+            break
+    assert whole == sorted(want) and max(k for k, _, _ in want) >= 2
+    first = loop("resumed", rounds=1)
+    assert first == [r for r in whole if r[0] <= 1] and loop("resumed") == whole and loop("resumed") == whole
