@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: file ingest, windowed counts, a keyed token bucket, the decaying salience of names.
+"""Structured Streaming jobs: file ingest, windowed counts, debounced bursts, a keyed token bucket, the decaying salience of names.
 
 Each ``run_*`` drives its stream with the availableNow trigger until the input is used up, writes to a folder and reads it
 back; a service would start the same stream with a processing-time trigger.
@@ -32,7 +32,8 @@ def finish(stream: DataFrame, folder: str, mode: str = "append", each: Callable[
 
 
 def window_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Events and their sum of values by type and tumbling window; events later than ``late`` are left out."""
+    """Events and their sum of values by type and tumbling window. ``late`` lets a sink that appends or
+    updates drop windows; in complete mode every window is kept and no event is too late."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
@@ -45,6 +46,30 @@ def run_window_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def debounced(events: DataFrame, by: list[str], quiet: str, late: str) -> DataFrame:
+    """by, first, last, n of a stream of events (ts, the columns of ``by``): one row for a burst, once no event of its key has come
+    for the time ``quiet``. A burst is a session window in the state store, which keeps a row a key and burst, merges bursts that a
+    late event joins, and lets one go when the watermark (``late`` behind the newest event) passes its end. So micro-batches
+    in another order, within ``late``, give the same bursts; events behind the watermark are left out. Keys may be hot: the
+    events of a batch are merged into bursts before the shuffle, if the session says so (see ``run_debounce``)."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    bursts = timed.groupBy(F.session_window("ts", quiet).alias("w"), *by).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    return bursts.select(*by, "first", "last", "n")
+
+
+def run_debounce(spark: SparkSession, path: str, by: list[str], quiet: str, late: str, files_per_batch: int = 8) -> DataFrame:
+    """The bursts of a table that are over when its events are used up; those that may still go on stay in the state."""
+    folder = shared_path(spark)
+    key = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        finish(debounced(parquet_stream(spark, path, files_per_batch), by, quiet, late), folder)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(f"{folder}/out")
+
+
 def token_bucket(events: DataFrame, capacity: float, refill_seconds: float) -> DataFrame:
     """event_id, user_id, allowed: each user has ``capacity`` tokens, one comes back every ``refill_seconds``."""
 

@@ -1,5 +1,6 @@
 """Persons of one name, clusters under constraints, names in pieces, rewriting, the index and the digest, against plain Python."""
 
+import datetime
 import random
 import re
 
@@ -14,6 +15,7 @@ from skein.operators.learning import learning_loop
 from skein.operators.mentions import mention_spans
 from skein.operators.spans import first_interval
 from skein.sources import postings as I
+from skein.streaming.jobs import run_debounce
 
 
 def clash(a, b):
@@ -340,3 +342,27 @@ def test_a_learning_loop_that_was_stopped_goes_on(spark, tmp_path):
     assert whole == sorted(want) and max(k for k, _, _ in want) >= 2
     first = loop("resumed", rounds=1)
     assert first == [r for r in whole if r[0] <= 1] and loop("resumed") == whole and loop("resumed") == whole
+
+
+def test_bursts_do_not_depend_on_the_order_of_micro_batches(spark, tmp_path):
+    rng = random.Random(9)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, start + datetime.timedelta(minutes=rng.randrange(4000)), i) for i, k in enumerate(rng.choices("aaab", k=160))]
+    schema = "k string, ts timestamp, i int"
+    late = sorted(rows, key=lambda r: r[1] + datetime.timedelta(minutes=rng.randrange(60)))  # at most an hour late
+    for name, order, size in (("whole", rows, 160), ("batches", late, 16)):
+        for b in range(0, len(rows), size):
+            spark.createDataFrame(order[b : b + size], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    want = []
+    for key in "ab":
+        bursts = []
+        for t in sorted(t for k, t, _ in rows if k == key):
+            if bursts and t < bursts[-1][-1] + datetime.timedelta(minutes=45):
+                bursts[-1].append(t)
+            else:
+                bursts.append([t])
+        want += [(key, b[0], b[-1], len(b)) for b in bursts if b[-1] + datetime.timedelta(minutes=45) <= max(t for _, t, _ in rows) - datetime.timedelta(hours=1)]
+    for name, files in (("whole", 8), ("batches", 1)):
+        got = run_debounce(spark, str(tmp_path / name), ["k"], "45 minutes", "1 hour", files)
+        assert sorted((r.k, r.first, r.last, r.n) for r in got.collect()) == sorted(want)
+    assert len(want) > 20 and max(n for *_, n in want) > 3
