@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.lineage import written
 from . import relations as R
 
 #: Predicate -> (before the verb when sure, the same when not, the verb, whether a time may follow) (fixed values).
@@ -45,18 +46,25 @@ def sentence(pred: Column, subj: Column, obj: Column, time: Column, confidence:
 
 def biographies(told: DataFrame, dated: int = 10, undated: int = 5) -> DataFrame:
     """id, text of sentences (id, year, weight, line): the first ``dated`` with a year, by year and weight, or else the first
-    ``undated`` by weight. Ranks inside each id cut the groups before they are gathered."""
-    rank = F.row_number().over(Window.partitionBy("id", F.col("year").isNull()).orderBy("year", F.desc("weight"), "line"))
-    few = told.withColumn("r", rank).where(((F.col("r") <= dated) & F.col("year").isNotNull()) | ((F.col("r") <= undated) & F.col("year").isNull()))
+    ``undated`` by weight. Each kind has its own limit, which Spark applies before the shuffle too, so no task sorts a hub."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("year", F.desc("weight"), "line"))
+    few = told.where("year is not null").withColumn("r", rank).where(F.col("r") <= dated).unionByName(told.where("year is null").withColumn("r", rank).where(F.col("r") <= undated))
     lines = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("r", "line")))), lambda x: x["line"]), " ")
     both = few.groupBy("id").agg(lines(F.col("year").isNotNull()).alias("a"), lines(F.col("year").isNull()).alias("b"))
     return both.select("id", F.when(F.col("a") != "", F.col("a")).otherwise(F.col("b")).alias("text"))
 
 
 def index_lines(entities: DataFrame) -> DataFrame:
-    """type, nth, line: a link to each entity's page, numbered by name inside its type."""
-    rank = F.row_number().over(Window.partitionBy("type").orderBy("canonical", "id"))
-    return entities.select("type", rank.alias("nth"), F.concat(F.lit("- ["), "canonical", F.lit("]("), T.slug(F.col("canonical")), F.lit(".md)")).alias("line"))
+    """type, nth, line: a link to each entity's page, numbered by name (ties: id) inside its type.
+
+    Entities are dealt by ranges of type, name and id and written with the number of their range; ranks are taken inside a
+    range and raised by the sizes of those before it, so no task sorts all entities of a type."""
+    rows = written(entities.select("type", "canonical", "id").repartitionByRange("type", "canonical", "id").withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy("type").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("type", "_range").agg(F.count("*").alias("_n")).select(F.col("type").alias("_type"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("type", "_range").orderBy("canonical", "id")))
+    nth = (F.col("_r") + F.col("_before")).cast("int")
+    return ranked.join(offsets, (F.col("_range") == F.col("_at")) & F.col("type").eqNullSafe(F.col("_type"))).select("type", nth.alias("nth"), F.concat(F.lit("- ["), "canonical", F.lit("]("), T.slug(F.col("canonical")), F.lit(".md)")).alias("line"))
 
 
 def statistics(relations: DataFrame, entities: DataFrame, top: int = 10) -> DataFrame:

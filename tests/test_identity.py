@@ -13,6 +13,7 @@ from skein.operators import linking as L
 from skein.operators import stitching as S
 from skein.operators.learning import learning_loop
 from skein.operators.mentions import mention_spans
+from skein.operators.rendering import biographies, index_lines
 from skein.operators.spans import first_interval
 from skein.sources import postings as I
 from skein.streaming.jobs import run_debounce
@@ -366,3 +367,25 @@ def test_bursts_do_not_depend_on_the_order_of_micro_batches(spark, tmp_path):
         got = run_debounce(spark, str(tmp_path / name), ["k"], "45 minutes", "1 hour", files)
         assert sorted((r.k, r.first, r.last, r.n) for r in got.collect()) == sorted(want)
     assert len(want) > 20 and max(n for *_, n in want) > 3
+
+
+def test_index_lines_number_each_type_over_ranges(spark):
+    rows = [(None if i % 5 == 4 else f"T{i % 5}", f"Name {i * 7919 % 500:03d}", f"e{i:03d}") for i in range(600)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges also of a small table
+    try:
+        got = sorted((r.type or "", r.nth, r.line) for r in index_lines(spark.createDataFrame(rows, "type string, canonical string, id string")).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = []
+    for kind in {t for t, _, _ in rows}:
+        names = sorted((c, i) for t, c, i in rows if t == kind)
+        want += [(kind or "", k, f"- [{c}](name-{c[5:]}.md)") for k, (c, _) in enumerate(names, 1)]
+    assert got == sorted(want)
+
+
+def test_biographies_limit_groups_before_the_shuffle(spark):
+    told = spark.createDataFrame([("a", 1900 + i, 0.5, f"l{i}") for i in range(30)] + [("b", None, i / 10, f"u{i}") for i in range(9)] + [("a", None, 1.0, "x")], "id string, year int, weight double, line string")
+    found = biographies(told)
+    assert {r.id: r.text for r in found.collect()} == {"a": " ".join(f"l{i}" for i in range(10)), "b": "u8 u7 u6 u5 u4"}
+    assert plan(found).count("WindowGroupLimit") >= 2
