@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import BLOCKED
 from .gates import ROLES
 from .paging import encode_cursor
 
@@ -72,6 +73,24 @@ def without_young_teachers(relations: DataFrame) -> DataFrame:
     return other.unionByName(teaches.join(children, "subj", "left_anti").select(relations.columns))
 
 
+#: A name that is told apart from brothers and sisters right behind it (fixed values).
+SIBLING = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*,\s*(?i:(?:the\s+)?(?:eldest|oldest|younger|youngest|twin|middle)\s+(?:son|daughter|child|brother|sister|sibling))\b"
+
+
+def without_siblings_as_parents(relations: DataFrame, docs: DataFrame) -> DataFrame:
+    """Relations (doc_id, subj, pred, obj as names, ...) less parent_of whose subject, and child_of whose object, is called the
+    eldest, twin or another of several children in the same document ("Tom, the eldest son"). Case matters for the name
+    alone, where a looser pattern takes the words before it for a part of it; a word that begins sentences ("Then Tom") may or
+    may not be one. An anti-join on document and name; null texts name
+    nobody, and relations with null ends stay."""
+    whole = F.transform(F.regexp_extract_all("text", F.lit(SIBLING), F.lit(1)), lambda x: F.lower(F.regexp_replace(x, r"\s+", " ")))
+    bare = F.transform(whole, lambda x: F.regexp_replace(x, rf"^(?:{'|'.join(BLOCKED)}) ", ""))
+    named = docs.select("doc_id", F.explode(F.array_union(whole, bare)).alias("_who"))
+    parent = F.when(F.col("pred") == "parent_of", F.lower("subj")).when(F.col("pred") == "child_of", F.lower("obj"))
+    asked = relations.where("pred in ('parent_of', 'child_of')").withColumn("_who", parent)
+    return relations.where("pred is null or pred not in ('parent_of', 'child_of')").unionByName(asked.join(named.distinct(), ["doc_id", "_who"], "left_anti").select(relations.columns))
+
+
 def first_of_appositives(relations: DataFrame, reach: int = 100) -> DataFrame:
     """Of relations (doc_id, pred, obj, start) with one predicate and object in a document: all where every next one begins within
     ``reach`` characters, else the first alone."""

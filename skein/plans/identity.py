@@ -10,6 +10,7 @@ from ..operators import homonyms as H
 from ..operators import linking as L
 from ..operators import stitching as S
 from ..operators.mentions import mention_spans
+from ..operators.resolution import without_siblings_as_parents
 from ..operators.spans import first_interval
 from ..sources import postings as I
 from ..sources import tables as B
@@ -127,6 +128,13 @@ def deictic_offsets(spark, sf_dir):
     return S.to_old(points, S.placed(_edits(docs))).select("doc_id", F.col("at").alias("place"), "old")
 
 
+@query(f"""WITH {PARTS}, e AS (SELECT doc_id, doc_id % 4 AS t, c, s, unnest([{{'subj': c, 'pred': 'parent_of', 'obj': s}}, {{'subj': q, 'pred': 'child_of', 'obj': s}}, {{'subj': m, 'pred': 'child_of', 'obj': c}}, {{'subj': s, 'pred': 'sibling_of', 'obj': c}}]) AS z FROM cast_)
+SELECT doc_id, z.subj AS subj, z.pred AS pred, z.obj AS obj FROM e WHERE z.pred = 'sibling_of' OR CASE z.pred WHEN 'parent_of' THEN z.subj ELSE z.obj END <> CASE t WHEN 1 THEN s WHEN 2 THEN '' ELSE c END""")
+def suppress_sibling_parents(spark, sf_dir):
+    docs, relations = B.families(spark, sf_dir)
+    return without_siblings_as_parents(relations, docs)
+
+
 # --- windows by priority --------------------------------------------------------------------------------------------
 
 

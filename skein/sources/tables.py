@@ -166,6 +166,19 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(_cast(spark, sf_dir).select(k.alias("doc_id"), told(PIECES, k % len(PIECES)).alias("text")))
 
 
+#: Sentences with and without a name that is told apart from brothers and sisters.
+FAMILIES = ("{c}, the eldest son of {s}, visited {n}.", "{c} visited {s}, twin brother of {q}.", "{c} raised {s}, {q} and {m}.", "{m} saw {c} , youngest  daughter, with {q}.")
+
+
+def families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) and relations (doc_id, subj, pred, obj), four of each order, some of which take a sibling for a parent."""
+    k = F.col("o_orderkey")
+    rows = _cast(spark, sf_dir)
+    who = {"c": named("Cu", F.col("o_custkey")), "s": named("Su", F.col("s")), "q": named("Qo", k % 97), "m": named("Mo", k % 31)}
+    edges = [F.struct(who[a].alias("subj"), F.lit(p).alias("pred"), who[b].alias("obj")) for a, p, b in (("c", "parent_of", "s"), ("q", "child_of", "s"), ("m", "child_of", "c"), ("s", "sibling_of", "c"))]
+    return rows.select(k.alias("doc_id"), told(FAMILIES, k % len(FAMILIES)).alias("text")), rows.select(k.alias("doc_id"), F.explode(F.array(*edges)).alias("e")).select("doc_id", "e.*")
+
+
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: an English text of two or three sentences for each order, told of its customer, nation, first supplier
     and first part. The supplied documents are invented words without grammar; these have relations to be found. They are

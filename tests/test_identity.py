@@ -14,6 +14,7 @@ from skein.operators import stitching as S
 from skein.operators.learning import learning_loop
 from skein.operators.mentions import mention_spans
 from skein.operators.rendering import biographies, index_lines
+from skein.operators.resolution import without_siblings_as_parents
 from skein.operators.spans import first_interval
 from skein.sources import postings as I
 from skein.streaming.jobs import run_debounce
@@ -389,3 +390,11 @@ def test_biographies_limit_groups_before_the_shuffle(spark):
     found = biographies(told)
     assert {r.id: r.text for r in found.collect()} == {"a": " ".join(f"l{i}" for i in range(10)), "b": "u8 u7 u6 u5 u4"}
     assert plan(found).count("WindowGroupLimit") >= 2
+
+
+def test_siblings_are_no_parents(spark):
+    docs = spark.createDataFrame([(1, "Then Tom Bell , the Eldest  son, met Ann, twin sister. Bob, a son, left."), (2, None), (3, "")], "doc_id int, text string")
+    rows = [(1, "Tom Bell", "parent_of", "Bob"), (1, "Bob", "child_of", "ann"), (1, "Bob", "parent_of", "Ann"), (1, "Ann", "child_of", "Bob"), (1, "Tom Bell", "knows", "Ann"), (2, "Tom Bell", "parent_of", "Ann"), (3, None, "parent_of", "Ann"), (3, "Ann", None, "Bob")]
+    got = without_siblings_as_parents(spark.createDataFrame([*rows, rows[2]], "doc_id int, subj string, pred string, obj string"), docs)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted([*rows[2:], rows[2]], key=key)
