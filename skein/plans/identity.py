@@ -154,10 +154,10 @@ def shipment_windows(spark, sf_dir):
 
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 21600000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
 b AS (SELECT user_id, t, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS n FROM b GROUP BY user_id, k HAVING max(t) + 21600000000 <= (SELECT max(t) FROM e) - 3600000000""")
+SELECT user_id, strftime(make_timestamp(min(t)), '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(make_timestamp(max(t)), '%Y-%m-%d %H:%M:%S.%f') AS last, count(*) AS n FROM b GROUP BY user_id, k HAVING max(t) + 21600000000 <= (SELECT max(t) FROM e) - 3600000000""")
 def event_bursts(spark, sf_dir):
     found = run_debounce(spark, f"{sf_dir}/events.parquet", ["user_id"], "6 hours", "1 hour")
-    return found.select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "n")
+    return found.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("first", "last")], "n")
 
 
 # --- search index ---------------------------------------------------------------------------------------------------
