@@ -127,12 +127,27 @@ def discriminated(similarity, same_type) -> F.col:
 
 
 def matching_sense(asked: DataFrame, senses: DataFrame, least: float = 0.7) -> DataFrame:
-    """asked (key, name, type, words) with the best sense (name, type, sense, words) above ``least``; ties to the smaller number."""
-    met = asked.join(senses.withColumnsRenamed({"words": "_w"}), ["name", "type"])
-    union = F.size(F.array_union("words", "_w"))
-    scored = met.withColumn("similarity", F.when(union > 0, F.size(F.array_intersect("words", "_w")) / union).otherwise(0.0)).where(F.col("similarity") > least)
-    best = scored.groupBy("key").agg(F.max(F.struct("similarity", (-F.col("sense")).alias("s"))).alias("b"))
-    return asked.select("key").distinct().join(best, "key", "left").select("key", (-F.col("b.s")).alias("sense"), F.round("b.similarity", 6).alias("similarity"))
+    """asked (key, name, type, words) with the best sense (name, type, sense, words) above ``least``; ties to the smaller number.
+
+    Different sets of words are compared, not rows: of the senses with one set the smallest number counts, and what was found
+    for a set holds for all that ask with it. Sets meet on the rarest words of both, as many as two of such a share cannot but
+    have in common."""
+    kind, words = ["name", "type"], F.array_sort(F.array_distinct("words")).alias("words")
+    sets = asked.select(*kind, words).distinct()
+    known = senses.groupBy(*kind, words).agg(F.min("sense").alias("sense"))
+    # By their hash, a null word meets a null word.
+    each = sets.unionByName(known.select(*kind, "words")).distinct().select(*kind, "words", F.explode("words").alias("w")).withColumn("t", F.xxhash64("w"))
+    df = each.groupBy(*kind, "t").agg(F.count("*").alias("df"))
+    ordered = each.join(df, [*kind, "t"]).groupBy(*kind, "words").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
+    prefix = F.slice("o", F.lit(1), F.size("o") - F.ceil(F.lit(least) * F.size("o")).cast("int") + 1)
+    rare = written(ordered.select(*kind, "words", F.explode(F.array_distinct(F.transform(prefix, lambda x: x["t"]))).alias("t")))
+    mine = rare.join(sets, [*kind, "words"], "left_semi")
+    theirs = rare.join(known, [*kind, "words"]).withColumnRenamed("words", "_w")
+    common = F.size(F.array_intersect("words", "_w"))
+    scored = mine.join(theirs, [*kind, "t"]).withColumn("similarity", common / (F.size("words") + F.size("_w") - common)).where(F.col("similarity") > least)
+    best = scored.groupBy(*kind, "words").agg(F.max(F.struct("similarity", (-F.col("sense")).alias("s"))).alias("b"))
+    rows = asked.select("key", *kind, words).join(best, [*kind, "words"], "left").groupBy("key").agg(F.max("b").alias("b"))
+    return rows.select("key", (-F.col("b.s")).alias("sense"), F.round("b.similarity", 6).alias("similarity"))
 
 
 def sense_stats(senses: DataFrame) -> DataFrame:
