@@ -1,12 +1,16 @@
 """Sentences with offsets by rules: abbreviations, initials, decimals, quotes and orphans; and the spans that lie in them.
 
-A text is cut after every mark that may end a sentence; whether it does is decided from the two sides of the cut, and a
-running sum over the pieces of a text numbers the sentences. All of it is built-in functions and one window by text.
+A text is cut after every mark that may end a sentence; whether it does is decided from the two sides of the cut. A text is
+read once, in its own Arrow batch and in time proportional to its length: no shuffle brings its pieces together again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import string
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,68 +26,97 @@ STARTERS = ("the", "a", "an", "and", "but", "or", "so", "yet")
 ORPHAN = 10
 _QUOTES = "\"'“”‘’«»"
 _MARK = "[.!?…]"
+_LETTERS, _BLANKS = string.ascii_letters, " \t\n\x0b\f\r"
 
 
-def ends_with_abbreviation(before: Column) -> Column:
+def ends_with_abbreviation(before: str) -> bool:
     """Whether the letters and full stops at the end of a piece are one of ABBREVIATIONS."""
-    return F.regexp_extract(before, r"([A-Za-z.]*)$", 1).isin(ABBREVIATIONS)
+    return before[len(before.rstrip(_LETTERS + ".")) :] in ABBREVIATIONS
 
 
-def ends_with_initial(before: Column) -> Column:
+def ends_with_initial(before: str) -> bool:
     """A single capital before the full stop."""
-    return before.rlike(r"(^|\s)[A-Z]\.$")
+    return before[-1:] == "." and "A" <= before[-2:-1] <= "Z" and (len(before) == 2 or before[-3] in _BLANKS)
 
 
-def is_decimal(before: Column, after: Column) -> Column:
+def is_decimal(before: str, after: str) -> bool:
     """A full stop between digits."""
-    return before.rlike(r"\d\.$") & after.rlike(r"^\d")
+    return before[-1:] == "." and "0" <= before[-2:-1] <= "9" and "0" <= after[:1] <= "9"
 
 
-def is_boundary(before: Column, after: Column) -> Column:
+def is_boundary(before: str, after: str) -> bool:
     """Whether a sentence ends between a piece that ends with a mark (and quotes) and what follows (its blanks included)."""
-    mark = F.regexp_extract(before, f"({_MARK})[{_QUOTES}]*$", 1)
-    bare = F.regexp_replace(before, f"[{_QUOTES}]+$", "")
-    then = F.regexp_replace(after, r"^\s+", "")
-    first = F.substring(then, 1, 1)
-    lower = (first == F.lower(first)) & (first != F.upper(first))
-    word = F.lower(F.regexp_extract(then, r"^([A-Za-z]*)", 1))
-    stop = ~(ends_with_abbreviation(bare) | ends_with_initial(bare) | is_decimal(bare, after)) & (F.instr(F.lit(_QUOTES), first).between(1, 99) & (first != "") | ~lower | word.isin(*STARTERS))
-    return F.when(mark.isin("!", "?"), ~lower).otherwise(stop)
+    bare, then = before.rstrip(_QUOTES), after.lstrip(_BLANKS)
+    first = then[:1]
+    lower = first == first.lower() and first != first.upper()
+    if bare[-1:] in ("!", "?"):
+        return not lower
+    if ends_with_abbreviation(bare) or ends_with_initial(bare) or is_decimal(bare, after):
+        return False
+    return not lower or then[: len(then) - len(then.lstrip(_LETTERS))].lower() in STARTERS
 
 
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, idx, start, end, text of the sentences of each row of docs; the text is that of [start, end) without blanks at
     its ends. A sentence of fewer than ORPHAN characters joins the next, the last one the one before."""
-    cut = rf"(?<={_MARK})(?!{_MARK}|[{_QUOTES}])|(?<={_MARK}[{_QUOTES}])(?![{_QUOTES}])"
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").where("text is not null")
-    pieces = rows.select("doc_id", "row", F.posexplode(F.split("text", cut)).alias("at", "piece"))
-    w = Window.partitionBy("row").orderBy("at")
-    end = F.sum(F.length("piece")).over(w)
-    pieces = pieces.withColumn("start", end - F.length("piece")).withColumn("before", F.lag("piece").over(w))
-    opens = F.when(F.col("at") == 0, 1).otherwise(F.when(is_boundary(F.col("before"), F.col("piece")), 1).otherwise(0))
-    return _joined(pieces.withColumn("n", F.sum(opens).over(w)).groupBy("doc_id", "row", "n"))
-
-
-def _joined(grouped) -> DataFrame:
-    whole = grouped.agg(F.min("start").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("raw"))
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))
-    text = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    rows = whole.select("doc_id", "row", "n", (F.col("start") + lead).alias("start"), text.alias("text")).where("text <> ''")
-    w = Window.partitionBy("row").orderBy("n")
-    # Orphans take the next sentence along, so every second of a run of them opens a new one; a last orphan looks back.
-    short = F.length("text") < ORPHAN
-    last = F.lead("n").over(w).isNull()
-    rows = rows.withColumn("short", short & ~last).withColumn("tail", short & last)
-    run = F.sum(F.when(F.col("short"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("run", F.coalesce(run, F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy("row", "run").orderBy("n"))
-    rows = rows.withColumn("opens", F.when(F.col("tail") & (nth % 2 == 1), 0).otherwise(nth % 2))
-    group = F.greatest(F.sum("opens").over(w), F.lit(1))
-    joined = rows.withColumn("group", group).groupBy("doc_id", "row", "group").agg(
-        F.min("start").cast("int").alias("start"), F.max(F.col("start") + F.length("text")).cast("int").alias("end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"),
-    )
-    return joined.select("doc_id", (F.row_number().over(Window.partitionBy("row").orderBy("group")) - 1).alias("idx"), "start", "end", "text")
+
+    def run(batches):
+        for batch in batches:
+            docs_of, found = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                rows = _joined(_cut(text)) if text is not None else ()
+                docs_of += [k] * len(rows)
+                found += rows
+                if len(found) >= 50_000:
+                    yield made(batch, docs_of, found)
+                    docs_of, found = [], []
+            if found:
+                yield made(batch, docs_of, found)
+
+    def made(batch, docs_of, found):
+        idx, start, end, text = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs_of)), pa.array(idx, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(text, pa.string())], ["doc_id", "idx", "start", "end", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, idx int, start int, end int, text string")
+
+
+_cuts = re.compile(rf"(?<={_MARK})(?!{_MARK}|[{_QUOTES}])|(?<={_MARK}[{_QUOTES}])(?![{_QUOTES}])").split
+_ends = re.compile(r"\s+(?=[\x85\u2028\u2029]?\Z)", re.ASCII).sub  # as Java's $, which also stands before a last line's end
+
+
+def _cut(text: str) -> list[tuple[int, str]]:
+    """Start and text of the sentences, orphans still apart."""
+    out, at, first, before = [], 0, 0, ""
+    raw: list[str] = []
+    for piece in [*_cuts(text), None]:
+        if raw and (piece is None or is_boundary(before, piece)):
+            whole = "".join(raw)
+            bare = whole.lstrip(_BLANKS)
+            if trimmed := _ends("", bare):
+                out.append((first + len(whole) - len(bare), trimmed))
+            raw, first = [], at
+        if piece is not None:
+            raw.append(piece)
+            before, at = piece, at + len(piece)
+    return out
+
+
+def _joined(cut: list[tuple[int, str]]) -> list[tuple[int, int, int, str]]:
+    """idx, start, end, text. Orphans take the next sentence along, so every second of a run of them opens a new one; a last
+    orphan looks back."""
+    out, nth = [], 0
+    for k, (start, text) in enumerate(cut):
+        nth += 1
+        short, last = len(text) < ORPHAN, k == len(cut) - 1
+        if not out or (nth % 2 == 1 and not (short and last)):
+            out.append([len(out), start, start + len(text), [text]])
+        else:
+            out[-1][2] = start + len(text)
+            out[-1][3].append(text)
+        if not short:
+            nth = 0
+    return [(idx, start, end, " ".join(texts)) for idx, start, end, texts in out]
 
 
 def blocks(docs: DataFrame) -> DataFrame:
