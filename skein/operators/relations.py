@@ -149,8 +149,9 @@ def suppress_family(relations: DataFrame, parent: str, social: list[str]) -> Dat
 
 
 def drop_dangling(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations of which both ends are known and have a name."""
-    known = entities.where(F.coalesce(F.trim("canonical"), F.lit("")) != "").select("id")
+    """Relations of which both ends are known and have a name. The ids are merged, not broadcast: their files are small for
+    what they are as a hash table in every task's memory."""
+    known = entities.where(F.coalesce(F.trim("canonical"), F.lit("")) != "").select("id").hint("merge")
     return relations.join(known.withColumnRenamed("id", "subj"), "subj", "left_semi").join(known.withColumnRenamed("id", "obj"), "obj", "left_semi")
 
 

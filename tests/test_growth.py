@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from skein.operators import entities, registry, sentences
+from skein.operators import entities, registry, relations, sentences
 
 
 def test_matching_sense_equals_brute_force(spark):
@@ -61,3 +61,10 @@ def test_sentences_are_cut_without_a_shuffle(spark):
     got = sorted((r.doc_id, r.idx, r.start, r.end, r.text) for r in found.where("doc_id < 3").collect())
     assert got == [(1, 0, 0, 18, "One sentence here."), (1, 0, 0, 29, "Dr. Ann met Bob in 3.5 hours."), (1, 1, 19, 38, "One sentence there."), (1, 1, 30, 64, "Hm. Then she left for good! no way")]
     assert found.where("doc_id = 3").select(F.sum(F.length("text"))).first()[0] == 60_000
+
+
+def test_known_ids_are_not_broadcast(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "x"), ("y", "b"), (None, "a"), ("c", "a"), ("a", "b")], "subj string, obj string")
+    kept = relations.drop_dangling(edges, spark.createDataFrame([("a", "A"), ("b", "B"), ("c", " ")], "id string, canonical string"))
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.subj, r.obj) for r in kept.collect()) == [("a", "b"), ("a", "b")]
