@@ -126,6 +126,29 @@ def discriminated(similarity, same_type) -> F.col:
     return F.when(~same_type, row(True, 1.0)).when(similarity < 0.3, row(True, 0.9)).when(similarity < 0.5, row(True, 0.6)).otherwise(row(False, 0.8))
 
 
+def discriminated_pairs(senses: DataFrame, size: int = 1024, salts: int = 16) -> DataFrame:
+    """a, b, different, confidence of every two senses (key, name, type, profile) of one name, a < b.
+
+    Senses of equal name, type and profile are a class, kept as blocks of about ``size`` keys. Only blocks are shuffled and
+    compared, once for all their keys; the pairs of keys are made where they leave the task, so nothing that is moved or held
+    grows with their number. The blocks of a name are dealt to ``salts`` tasks, which see all blocks of that name."""
+    spark = senses.sparkSession
+    rows = senses.where("name is not null").select("key", "name", F.struct("type", "profile").alias("k"))
+    sizes = rows.groupBy("name", "k").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / size)).alias("block")
+    blocks = written(rows.join(sizes, ["name", "k"]).select("key", "name", "k", block).groupBy("name", "k", "block").agg(F.collect_list("key").alias("keys")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mine = blocks.select("name", F.pmod(F.xxhash64("k", "block"), F.lit(salts)).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("k", "block", "keys")])
+    theirs = blocks.select("name", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("k", "block", "keys")])
+    met = mine.repartition(parts, "name", "salt").join(theirs.repartition(parts, "name", "salt").hint("merge"), ["name", "salt"])
+    met = met.where(F.struct("k_a", "block_a") <= F.struct("k_b", "block_b")).withColumn("own", F.struct("k_a", "block_a") == F.struct("k_b", "block_b"))
+    met = met.withColumns({"pa": F.col("k_a.profile"), "pb": F.col("k_b.profile")})
+    told = met.select("own", "keys_a", "keys_b", discriminated(profile_similarity("pa", "pb"), F.col("k_a.type") == F.col("k_b.type")).alias("d"))
+    each = told.select("own", "d", F.explode("keys_a").alias("x"), "keys_b").select("own", "d", "x", F.explode("keys_b").alias("y"))
+    pairs = each.where(F.when(F.col("own"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d.different", "d.confidence")
+
+
 def matching_sense(asked: DataFrame, senses: DataFrame, least: float = 0.7) -> DataFrame:
     """asked (key, name, type, words) with the best sense (name, type, sense, words) above ``least``; ties to the smaller number.
 

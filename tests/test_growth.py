@@ -68,3 +68,23 @@ def test_known_ids_are_not_broadcast(spark):
     kept = relations.drop_dangling(edges, spark.createDataFrame([("a", "A"), ("b", "B"), ("c", " ")], "id string, canonical string"))
     assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.subj, r.obj) for r in kept.collect()) == [("a", "b"), ("a", "b")]
+
+
+def test_discriminated_pairs_are_made_after_the_last_shuffle(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["n", "m", None]), rng.choice(["t", "u"]), rng.choice([["a"], ["a", "b"], ["b", "c", "d"], []])) for i in range(300)]
+    none = F.array().cast("array<string>")
+    senses = spark.createDataFrame(rows, "key long, name string, type string, words array<string>").select("key", "name", "type", F.struct("words", none.alias("descriptors"), none.alias("titles")).alias("profile"))
+    want = {}
+    for a, n, t, w in rows:
+        for b, m, u, x in rows:
+            if a < b and n and n == m:
+                share = len(set(w) & set(x)) / len(set(w) | set(x)) if w or x else 0.0
+                want[a, b] = (True, 1.0) if t != u else (True, 0.9) if share < 0.3 else (True, 0.6) if share < 0.5 else (False, 0.8)
+    for size in (7, 1024):
+        got = registry.discriminated_pairs(senses, size, 3).collect()
+        assert len(got) == len(want) and {(r.a, r.b): (r.different, r.confidence) for r in got} == want
+    plan = registry.discriminated_pairs(senses)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("keys_a") < plan.index("Exchange")  # keys are shuffled as blocks
+    one = senses.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"), (F.col("key") * 10 + F.col("i")).alias("key"), F.lit("n").alias("name"), F.lit("t").alias("type"), "profile")
+    assert registry.discriminated_pairs(one).count() == 3000 * 2999 // 2
