@@ -2,22 +2,25 @@
 
 No task and no broadcast holds the aliases. The trie's nodes, the beginnings of all aliases, are PLACES bits of hashes, of
 fixed size whatever the number of aliases: a walk from every word of a text ends at the first beginning that no alias has.
-What the walk takes for an alias is joined to the aliases by its words, so that equal hashes do no harm.
+What the walk takes for an alias is joined to the aliases by its words, so that equal hashes do no harm. The bits are many
+enough for millions of aliases: once most are set, walks find almost every place.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect, insort
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..sources.lineage import written
 
 #: Hashes of beginnings, and of whole aliases, are kept in so many bits each.
-PLACES = 1 << 23
+PLACES = 1 << 27
 #: A word (digits, letters, underscores, all that is not ASCII), or one mark; blanks part them and do not count.
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7E]"
 _tokens = re.compile(TOKEN).finditer
@@ -29,7 +32,7 @@ def _key(text: str | None) -> str:
 
 def keyed(aliases: DataFrame) -> DataFrame:
     """key (the words of an alias in lower case, blank between), id (the smallest that has it) and length of aliases (alias, id);
-    those without a word are left out."""
+    those without a word are left out. Written, as it is read three times."""
 
     def run(batches):
         for batch in batches:
@@ -37,16 +40,16 @@ def keyed(aliases: DataFrame) -> DataFrame:
             yield batch.set_column(at, "alias", pa.array([_key(a) for a in batch.column(at).to_pylist()], pa.string()))
 
     rows = aliases.select(F.col("alias").cast("string").alias("alias"), "id")
-    return rows.mapInArrow(run, rows.schema).where("alias <> ''").groupBy(F.col("alias").alias("key")).agg(F.min("id").alias("id")).withColumn("length", F.length("key"))
+    return written(rows.mapInArrow(run, rows.schema).where("alias <> ''").groupBy(F.col("alias").alias("key")).agg(F.min("id").alias("id")).withColumn("length", F.length("key")))
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
+def _bits(keys: DataFrame) -> bytes:
     """PLACES bits, set at the CRC-32 of each key; at most PLACES / 8 rows come to the driver, whatever the number of keys."""
     h = keys.select(F.pmod(F.crc32("key"), F.lit(PLACES)).alias("h"))
-    rows = h.groupBy(F.expr("cast(h >> 3 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(h & 7 as int)))").alias("bits")).toArrow()
-    bits = np.zeros(PLACES // 8, np.uint8)
+    rows = h.groupBy(F.expr("cast(h >> 6 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(PLACES // 64, "<i8")
     bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return bits
+    return bits.tobytes()
 
 
 def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
@@ -57,21 +60,34 @@ def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((_bits(heads), _bits(index)))
 
     def run(batches):
-        begun, whole = (np.unpackbits(b, bitorder="little").tobytes() for b in held.value)
-        crc = zlib.crc32
+        begun, whole = held.value
+        crc, last = zlib.crc32, PLACES - 1
         for batch in batches:
+            known = {}  # a word, as it is written: its lower case as bytes and text, and its hash if an alias begins with it
             for doc, text in zip(batch.column("doc_id"), batch.column("text").to_pylist(), strict=True):
                 found = list(_tokens(text or ""))
-                low = [m.group().lower().encode("utf-8", "surrogatepass") for m in found]
-                rows = []
-                for at, word in enumerate(low):
-                    h, end = crc(word), at + 1
-                    while begun[h % PLACES]:
-                        if whole[h % PLACES]:
-                            rows.append((at, end - at, found[at].start(), found[end - 1].end(), b" ".join(low[at:end]).decode("utf-8", "surrogatepass")))
+                words, rows = [m.group() for m in found], []
+                for word in set(words).difference(known):
+                    text_ = word.lower()
+                    low = text_.encode("utf-8", "surrogatepass")
+                    h = crc(low)
+                    known[word] = low, text_, h if begun[(h & last) >> 3] >> (h & 7) & 1 else None
+                low = [known[w] for w in words]
+                for at, (_, word, h) in enumerate(low):
+                    if h is None:
+                        continue
+                    end = at + 1
+                    if whole[(h & last) >> 3] >> (h & 7) & 1:
+                        rows.append((at, 1, found[at].start(), found[at].end(), word))
+                    if end == len(low):
+                        break
+                    h, end = crc(low[end][0], crc(b" ", h)), end + 1
+                    while begun[(h & last) >> 3] >> (h & 7) & 1:
+                        if whole[(h & last) >> 3] >> (h & 7) & 1:
+                            rows.append((at, end - at, found[at].start(), found[end - 1].end(), " ".join([w for _, w, _ in low[at:end]])))
                         if end == len(low):
                             break
-                        h, end = crc(low[end], crc(b" ", h)), end + 1
+                        h, end = crc(low[end][0], crc(b" ", h)), end + 1
                 for k in range(0, len(rows), 50_000):
                     columns = list(zip(*rows[k : k + 50_000], strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -81,20 +97,58 @@ def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, at int, n int, start int, end int, key string")
-    return seen.join(index.select("key", "id"), "key").select("doc_id", "at", "n", "start", "end", "key", "id")
+    # Not the aliases' own size but that of the texts says how many places there are: neither side is broadcast.
+    return seen.join(index.select("key", "id").hint("shuffle_hash"), "key").select("doc_id", "at", "n", "start", "end", "key", "id")
 
 
 def longest_first(found: DataFrame) -> DataFrame:
     """The candidates that stay when the longest key is taken first (ties: the first place, then the smaller key) and whatever
-    overlaps it goes, and so on. Candidates that overlap, directly or through others, are an island: small groups, folded one by
-    one, however many a document has."""
-    w = Window.partitionBy("doc_id").orderBy("at", "n")
-    before = F.max(F.col("at") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = found.withColumn("island", F.sum(F.when(F.col("at") < before, 0).otherwise(1)).over(w))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("l"), "at", "key", "n", "start", "end", "id")))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: (x["at"] < y["at"] + y["n"]) & (y["at"] < x["at"] + x["n"])), acc).otherwise(F.concat(acc, F.array(x))))
-    each = rows.groupBy("doc_id", "island").agg(ranked.alias("all")).select("doc_id", F.explode(kept).alias("x"))
-    return each.select("doc_id", "x.at", "x.n", "x.start", "x.end", "x.key", "x.id")
+    overlaps it goes, and so on. Candidates that overlap, directly or through others, are an island: small groups, read one by one
+    from the sorted candidates of a document."""
+    names = ["doc_id", "at", "n", "start", "end", "key", "id"]
+
+    def kept(island):  # rows of (-length, at, key, n, number)
+        taken, out = [], []  # taken: the places that are gone, as (first, behind the last) in order
+        for _, at, _, n, i in sorted(island):
+            k = bisect(taken, (at, at + n))
+            if (k == 0 or taken[k - 1][1] <= at) and (k == len(taken) or taken[k][0] >= at + n):
+                insort(taken, (at, at + n))
+                out.append(i)
+        return out
+
+    def resolved(rows, whole):
+        """The rows that stay, of sorted rows, and where the last island begins, which is left unless it is whole."""
+        at, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("at", "n"))
+        code = rows.column("doc_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        high = np.r_[0, np.cumsum(code[1:] != code[:-1])].astype(np.int64) << 32  # documents one behind the other
+        at += high
+        start = np.r_[0, 1 + np.flatnonzero(at[1:] >= np.maximum.accumulate(at + n)[:-1])]
+        upto = rows.num_rows if whole else start[-1]
+        start = start[start < upto]
+        size = np.diff(np.r_[start, upto])
+        stay = [start[size == 1]]
+        many = np.flatnonzero(np.repeat(size > 1, size))
+        if len(many):
+            keys = rows.column("key").take(many).to_pylist()
+            each = list(zip([-len(k) for k in keys], at[many].tolist(), keys, n[many].tolist(), many.tolist(), strict=True))
+            ends = np.cumsum(size[size > 1]).tolist()
+            stay += [np.array([i for a, b in zip([0, *ends], ends, strict=False) for i in kept(each[a:b])], np.int64)]
+        return rows.take(np.sort(np.concatenate(stay))), upto
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if left is None else pa.concat_tables([left, rows])
+            if rows.num_rows:
+                out, upto = resolved(rows, False)
+                left = rows.slice(upto)
+                yield from out.combine_chunks().to_batches()
+        if left is not None:
+            yield from resolved(left, True)[0].combine_chunks().to_batches()
+
+    sorted_ = found.select(*names).repartition("doc_id").sortWithinPartitions("doc_id", "at", "n")
+    return sorted_.mapInArrow(run, sorted_.schema)
 
 
 def alias_mentions(docs: DataFrame, aliases: DataFrame) -> DataFrame:

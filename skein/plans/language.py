@@ -76,7 +76,8 @@ can AS MATERIALIZED (SELECT doc_id, at_, n, key, id FROM pos JOIN ln USING (key,
 
 def _aliases(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents")
-    words = F.regexp_extract_all("text", F.lit(f"({A.TOKEN})"), F.lit(1))
+    begin = F.regexp_extract("text", rf"^(?:[\x00-\x20\x7F]*(?:{A.TOKEN})){{0,4}}", 0)  # no more words of a text are cut than an alias has
+    words = F.regexp_extract_all(begin, F.lit(f"({A.TOKEN})"), F.lit(1))
     return docs.select(F.array_join(F.slice(words, F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")), " ").alias("alias"), F.concat(F.lit("D"), "doc_id").alias("id"))
 
 

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from skein.operators import entities, registry, relations, sentences
+from skein.operators import aliases, entities, registry, relations, sentences
 
 
 def test_matching_sense_equals_brute_force(spark):
@@ -88,3 +88,31 @@ def test_discriminated_pairs_are_made_after_the_last_shuffle(spark):
     assert plan.index("keys_a") < plan.index("Exchange")  # keys are shuffled as blocks
     one = senses.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"), (F.col("key") * 10 + F.col("i")).alias("key"), F.lit("n").alias("name"), F.lit("t").alias("type"), "profile")
     assert registry.discriminated_pairs(one).count() == 3000 * 2999 // 2
+
+
+def test_aliases_are_resolved_in_batches_of_any_size(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    known = [(" ".join(rng.choice("abc") for _ in range(rng.randint(2, 4))), f"D{i}") for i in range(8)]
+    ids = {}
+    for alias, i in known:
+        ids[alias] = min(i, ids.get(alias, i))
+    want = set()
+    for doc, text in docs:
+        words, gone = text.split(), set()
+        places = [(-len(a), at, a) for a in ids for at in range(len(words)) if words[at : at + a.count(" ") + 1] == a.split()]
+        for _, at, a in sorted(places):
+            span = set(range(at, at + a.count(" ") + 1))
+            if not span & gone:
+                gone |= span
+                want.add((doc, at, len(span), ids[a]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    names = spark.createDataFrame(known, "alias string, id string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = aliases.alias_mentions(frame, names)
+        assert sorted((r.doc_id, r.at, r.n, r.id) for r in found.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "Window" not in plan and "ObjectHashAggregate" not in plan
