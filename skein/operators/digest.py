@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relations import with_names
+
 
 def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
@@ -17,11 +20,10 @@ def canonical_lines(entities: DataFrame, relations: DataFrame) -> DataFrame:
     qualifiers as array of struct(type, value)) the names of both ends, an unknown id itself, and sorted qualifiers. A null
     array is an empty one. Ids are unique; equal lines stay apart."""
     none = F.array().cast("array<string>")
-    named = entities.select("id", F.col("canonical").alias("_n"))
     own = entities.select(F.lit("entity").alias("kind"), _json(type=F.col("type"), canonical=F.col("canonical"), aliases=F.array_sort(F.coalesce("aliases", none))).alias("line"))
-    rows = relations.join(named.withColumnsRenamed({"id": "subj", "_n": "_s"}), "subj", "left").join(named.withColumnsRenamed({"id": "obj", "_n": "_o"}), "obj", "left")
+    rows = with_names(relations, entities)
     told = _json(
-        subj=F.coalesce("_s", "subj"), pred=F.col("pred"), obj=F.coalesce("_o", "obj"), confidence=F.col("confidence"), extractor=F.col("extractor"),
+        subj=F.col("subj_name"), pred=F.col("pred"), obj=F.col("obj_name"), confidence=F.col("confidence"), extractor=F.col("extractor"),
         qualifiers=F.array_sort(F.coalesce("qualifiers", F.array().cast(relations.schema["qualifiers"].dataType))),
     )
     return own.unionByName(rows.select(F.lit("relation").alias("kind"), told.alias("line")))
@@ -29,10 +31,18 @@ def canonical_lines(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 def digest(lines: DataFrame) -> DataFrame:
     """kind, n, hash of the bag of lines (kind, line), a row for each kind: SHA-256 of each different line and how often it is
-    there, of those in order that begin with the same four hex digits, and of these 65,536 digests at most. Equal lines are
-    counted before the shuffle; no task holds the whole graph."""
-    each = lines.groupBy("kind", F.sha2("line", 256).alias("h")).agg(F.count("*").alias("n"))
-    leaf = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", "n"))), ",")
-    parts = each.groupBy("kind", F.substring("h", 1, 4).alias("b")).agg(F.sum("n").alias("n"), F.sha2(leaf, 256).alias("p"))
-    whole = F.array_join(F.array_sort(F.collect_list(F.concat("b", "p"))), ",")
+    there, of those in order that begin with the same four hex digits, and of these 65,536 digests at most. Equal lines of an
+    Arrow batch are counted before the shuffle, the only one of all lines: it deals bytes, not hex digits, by the digest's
+    beginning, where equal lines meet as well. No task holds the whole graph."""
+
+    def counted(batches):
+        for batch in batches:
+            yield from pa.Table.from_batches([batch]).group_by(["kind", "h"]).aggregate([([], "count_all")]).rename_columns(["kind", "h", "n"]).to_batches()
+
+    some = lines.select("kind", F.unhex(F.sha2("line", 256)).alias("h")).mapInArrow(counted, "kind string, h binary, n long")
+    dealt = some.withColumn("b", F.substring("h", 1, 2)).repartition("kind", "b")
+    each = dealt.groupBy("kind", "b", "h").agg(F.sum("n").alias("n"))
+    leaf = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "n"))), lambda x: F.concat_ws(":", F.lower(F.hex(x["h"])), x["n"])), ",")
+    parts = each.groupBy("kind", "b").agg(F.sum("n").alias("n"), F.sha2(leaf, 256).alias("p"))
+    whole = F.array_join(F.array_sort(F.collect_list(F.concat(F.lower(F.hex("b")), "p"))), ",")
     return parts.groupBy("kind").agg(F.sum("n").alias("n"), F.sha2(whole, 256).alias("hash"))

@@ -33,15 +33,13 @@ def canonical_predicate(pred: Column) -> Column:
 
 
 def with_names(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """subj_name and obj_name; the id where an entity is unknown."""
-    names = entities.select("id", "canonical")
-    return (
-        relations.join(names.withColumnsRenamed({"id": "subj", "canonical": "_s"}), "subj", "left")
-        .join(names.withColumnsRenamed({"id": "obj", "canonical": "_o"}), "obj", "left")
-        .withColumn("subj_name", F.coalesce("_s", "subj"))
-        .withColumn("obj_name", F.coalesce("_o", "obj"))
-        .drop("_s", "_o")
-    )
+    """subj_name and obj_name; the id where an entity is unknown. The names are merged, not broadcast, for what ``drop_dangling``
+    says, and replace the id before the next shuffle unless both are asked for."""
+    named = relations
+    for end in ("subj", "obj"):
+        names = entities.select(F.col("id").alias(end), F.col("canonical").alias("_n")).hint("merge")
+        named = named.join(names, end, "left").withColumn(f"{end}_name", F.coalesce("_n", end)).drop("_n")
+    return named
 
 
 def query(relations: DataFrame, entities: DataFrame, *, subj=None, pred=None, obj=None, subj_name=None, obj_name=None, min_confidence=None) -> DataFrame:

@@ -1,11 +1,14 @@
 """Queries whose work grew with the square of a group: the same results, on groups that the square would not finish."""
 
+import hashlib
+import itertools
 import random
 import time
 
 from pyspark.sql import functions as F
 
-from skein.operators import aliases, entities, registry, relations, sentences
+from skein.operators import aliases, digest, entities, registry, relations, sentences
+from skein.sources import exports
 
 
 def test_matching_sense_equals_brute_force(spark):
@@ -116,3 +119,32 @@ def test_aliases_are_resolved_in_batches_of_any_size(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "Window" not in plan and "ObjectHashAggregate" not in plan
+
+
+NAMED = [("a", "PERSON", "Ann"), ("b", "PERSON", "Bob"), ("c", "ITEM", None)]
+TOLD = [("a", "met", "b", 0.5), ("a", "met", "x", 0.5), ("a", "met", "b", 0.9), ("c", "is", "a", 0.7), ("y", "saw", "b", 0.1)]
+
+
+def shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), "BroadcastHashJoin" in plan
+
+
+def test_names_are_merged_and_pages_shuffle_relations_twice(spark):
+    known = spark.createDataFrame(NAMED, "id string, type string, canonical string")
+    told = spark.createDataFrame(TOLD, "subj string, pred string, obj string, confidence double")
+    named = relations.with_names(told, known)
+    assert shuffles(named) == (4, False)  # the relations and the names, by either end
+    assert sorted((r.subj, r.subj_name, r.obj, r.obj_name) for r in named.collect()) == [("a", "Ann", "b", "Bob"), ("a", "Ann", "b", "Bob"), ("a", "Ann", "x", "x"), ("c", "c", "a", "Ann"), ("y", "y", "b", "Bob")]
+    pages = exports.entity_pages(told, known)
+    assert shuffles(pages) == (4, False)
+    assert {r.id: r.page for r in pages.collect()} == {"a": "# Ann\n## met\n- Bob\n- x", "c": "# c\n## is\n- Ann", "y": "# y\n## saw\n- Bob"}
+
+
+def test_digest_shuffles_lines_once(spark):
+    lines = spark.range(3000).select(F.lit("k").alias("kind"), (F.col("id") % 1000).cast("string").alias("line"))
+    found = digest.digest(lines)
+    assert shuffles(found) == (2, False)  # the lines, and the digests of their beginnings
+    each = [f"{h}:3" for h in sorted(hashlib.sha256(str(i).encode()).hexdigest() for i in range(1000))]
+    parts = sorted(b + hashlib.sha256(",".join(g).encode()).hexdigest() for b, g in ((b, list(g)) for b, g in itertools.groupby(each, lambda x: x[:4])))
+    assert [tuple(r) for r in found.collect()] == [("k", 3000, hashlib.sha256(",".join(parts).encode()).hexdigest())]
