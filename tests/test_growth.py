@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from skein.operators import aliases, digest, entities, registry, relations, sentences
+from skein.operators import aliases, digest, entities, learning, registry, relations, sentences
 from skein.sources import exports
 
 
@@ -148,3 +148,13 @@ def test_digest_shuffles_lines_once(spark):
     each = [f"{h}:3" for h in sorted(hashlib.sha256(str(i).encode()).hexdigest() for i in range(1000))]
     parts = sorted(b + hashlib.sha256(",".join(g).encode()).hexdigest() for b, g in ((b, list(g)) for b, g in itertools.groupby(each, lambda x: x[:4])))
     assert [tuple(r) for r in found.collect()] == [("k", 3000, hashlib.sha256(",".join(parts).encode()).hexdigest())]
+
+
+def test_active_round_reads_the_texts_once_for_occurrences(spark):
+    docs = spark.createDataFrame([(i, f"old {n} walked home. old {n} went out. the {n} walked") for i, n in enumerate(["Ann", "Bob", "Cyd", "Dan"])], "doc_id long, text string")
+    seeds = spark.createDataFrame([("Ann",), ("Bob",)], "name string")
+    asked = learning.active_round(docs, seeds)
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # both kinds of templates in one reading; what the contexts gave is written
+    assert sorted((r.name, r.n_templates, r.n) for r in asked.collect()) == []  # four templates each: certain
+    assert sorted((r.name, r.n_templates, r.n) for r in learning.scored(learning.applied(docs, learning.generalized(learning.contexts(docs, seeds)), seeds), learning.generalized(learning.contexts(docs, seeds))).collect()) == [("Cyd", 4, 6), ("Dan", 4, 6)]
