@@ -11,7 +11,7 @@ The code length of a word does not depend on its neighbours, so each different w
 1. words are counted by class over all documents, added up in the tasks before they are shuffled;
 2. the different words give the counts of (context, byte), which give those of the nodes, level by level from the deepest
    contexts to the root, and mixtures from the root back to the deepest: one sum, then one join a level, none of them skewed,
-   as a node has 256 children at most;
+   as a node has 256 children at most. All are merged: files of a few MB hold millions of nodes, and eight decisions a row;
 3. words are coded by the table of (context, byte), and documents by the table of words. Of either table at most TOP rows, the
    most frequent ones, are broadcast; what those do not hold is joined, so nothing is left out and no table must fit a task.
 """
@@ -175,7 +175,7 @@ def gram_scores(counts: DataFrame, k: int, shared: Shared, depth: int = DEPTH) -
         if mixed is None:
             rows = rows.withColumn("m", F.lit(0.0)).withColumn("rest", F.lit(1.0))
         else:
-            rows = rows.withColumn("up", F.col("ctx").bitwiseAND((1 << 8 * (d - 1)) - 1)).join(mixed.select(F.col("ctx").alias("up"), "q", "m", "rest"), ["up", "q"])
+            rows = rows.withColumn("up", F.col("ctx").bitwiseAND((1 << 8 * (d - 1)) - 1)).join(mixed.select(F.col("ctx").alias("up"), "q", "m", "rest").hint("merge"), ["up", "q"])
         mixed = rows.select("ctx", "q", (F.col("m") + F.col("rest") * F.col("w") * own).alias("m"), (F.col("rest") * (1 - F.col("w"))).alias("rest"), "deepest")
         if d < depth:
             mixed = shared.write(mixed)
@@ -183,9 +183,9 @@ def gram_scores(counts: DataFrame, k: int, shared: Shared, depth: int = DEPTH) -
     end = ends[0]
     for some in ends[1:]:
         end = end.unionByName(some)
-    p = leaves.join(end, ["ctx", "q"]).select("ctx", "q", *((F.col("m") + F.col("rest") * (F.col(f"b{j}") + 0.5) / (F.col(f"a{j}") + F.col(f"b{j}") + 1.0)).alias(f"p{j}") for j in range(k)))
+    p = leaves.join(end.hint("merge"), ["ctx", "q"]).select("ctx", "q", *((F.col("m") + F.col("rest") * (F.col(f"b{j}") + 0.5) / (F.col(f"a{j}") + F.col(f"b{j}") + 1.0)).alias(f"p{j}") for j in range(k)))
     total = sum((F.col(f"c{j}") for j in range(1, k)), F.col("c0"))
-    each = bits.select("key", "ctx", "q", "bit", total.alias("n")).join(p, ["ctx", "q"])
+    each = bits.select("key", "ctx", "q", "bit", total.alias("n")).join(p.hint("merge"), ["ctx", "q"])
     lp = F.array(*(F.sum(F.log10(F.when(one, F.col(f"p{j}")).otherwise(1 - F.col(f"p{j}")))) for j in range(k)))
     return each.groupBy("key").agg(F.max("n").alias("n"), lp.alias("lp"))
 
@@ -248,8 +248,8 @@ def coded_words(vocabulary: DataFrame, scores: DataFrame, k: int, shared: Shared
     # Words with pieces that the broadcast table lacks: these are added up by the word's place in a table of such words.
     short = shared.write(first.where(F.size("missing") > 0).withColumn("place", F.monotonically_increasing_id()))
     asked = short.select("place", F.explode("missing").alias("key")).groupBy("place", "key").count()
-    more = asked.join(scores.select("key", F.col("lp").alias("more")), "key").groupBy("place").agg(*(F.sum(F.col("count") * F.col("more")[j]).alias(f"m{j}") for j in range(k)))
-    whole = short.join(more, "place").select("word", "n", F.array(*(F.col("lp")[j] + F.col(f"m{j}") for j in range(k))).alias("lp"))
+    more = asked.join(scores.select("key", F.col("lp").alias("more")).hint("merge"), "key").groupBy("place").agg(*(F.sum(F.col("count") * F.col("more")[j]).alias(f"m{j}") for j in range(k)))
+    whole = short.join(more.hint("merge"), "place").select("word", "n", F.array(*(F.col("lp")[j] + F.col(f"m{j}") for j in range(k))).alias("lp"))
     return shared.write(first.where(F.size("missing") == 0).drop("missing").unionByName(whole))
 
 
@@ -335,11 +335,11 @@ def scored(docs: DataFrame, model: Model, top: int = TOP_WORDS) -> DataFrame:
     asked = partial.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("m"))
     m = F.col("m")
     base = F.log10((F.col("n") + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
-    more = asked.join(model.table, "word").groupBy("row").agg(
+    more = asked.join(model.table.hint("merge"), "word").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, m).otherwise(0)).alias("known"), F.sum(m * base).alias("more"), *(F.sum(m * F.col("lp")[j]).alias(f"m{j}") for j in range(k))
     )
     none = F.lit(0.0)
-    rows = partial.drop("rare").join(more, "row", "left").withColumn("by_class", F.array(*(F.col("lp")[j] + F.coalesce(f"m{j}", none) + model.prior[j] for j in range(k))))
+    rows = partial.drop("rare").join(more.hint("merge"), "row", "left").withColumn("by_class", F.array(*(F.col("lp")[j] + F.coalesce(f"m{j}", none) + model.prior[j] for j in range(k))))
     best = F.array_max("by_class")
     score = best + F.log10(F.aggregate(F.transform("by_class", lambda x: F.pow(F.lit(10.0), x - best)), none, lambda a, x: a + x))
     out = rows.select(

@@ -260,6 +260,16 @@ def test_score_edges(spark, edges):
         assert len(got) == len(none) and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and abs(r.score + 15 * 8 * math.log10(2)) < 1e-6 for r in got)
 
 
+def test_no_table_of_the_trees_is_broadcast(spark, monkeypatch):
+    frames, write = [], context_tree.Shared.write
+    monkeypatch.setattr(context_tree.Shared, "write", lambda self, df: frames.append(df) or write(self, df))
+    df = spark.createDataFrame([(i, f"abba ab{i} cab", "en") for i in range(20)], LANG)
+    frames.append(context_tree.scored(df, context_tree.train(df, top_grams=5), top=3))
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in frames]
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    assert sum(p.count("SortMergeJoin") for p in plans) == 10
+
+
 def test_words_in_pieces(monkeypatch):
     text = ("Aé\x0b b c  " * 50).encode()
     want = text.lower().split()
