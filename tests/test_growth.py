@@ -162,6 +162,16 @@ def test_active_round_reads_the_texts_once_for_occurrences(spark):
     assert sorted((r.name, r.n_templates, r.n) for r in learning.scored(learning.applied(docs, learning.generalized(learning.contexts(docs, seeds)), seeds), learning.generalized(learning.contexts(docs, seeds))).collect()) == [("Cyd", 4, 6), ("Dan", 4, 6)]
 
 
+def test_a_learning_loop_reads_the_answers_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"N{chr(97 + i % 24)}{chr(97 + j)} w{chr(97 + (i + j) % 7)}x" for j in range(6))) for i in range(24)], "doc_id int, text string")
+    names = [f"N{chr(97 + i)}{chr(97 + j)}" for i in range(24) for j in range(6)]
+    read = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda name: read.add(1) or True, "boolean")
+    answers = spark.createDataFrame([(n,) for n in names], "name string").select("name", told("name").alias("is_correct"))
+    found = learning.learning_loop(docs, spark.createDataFrame([("Naa",), ("Nha",)], "name string"), answers, str(tmp_path / "loop"), rounds=3, ask=5)
+    assert found.agg(F.max("round")).first()[0] == 3 and read.value == len(names)
+
+
 def test_words_are_counted_within_a_document(spark, monkeypatch):
     monkeypatch.setattr(index, "ROWS", 3)
     rng = random.Random(11)
