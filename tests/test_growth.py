@@ -123,6 +123,35 @@ def test_aliases_are_resolved_in_batches_of_any_size(spark):
     assert "BroadcastHashJoin" not in plan and "Window" not in plan and "ObjectHashAggregate" not in plan
 
 
+def test_places_of_aliases_are_not_moved(spark, monkeypatch):
+    monkeypatch.setattr(aliases, "CHUNK", 40)
+    monkeypatch.setattr(aliases, "MOST", 2)
+    rng = random.Random(8)
+    docs = [(rng.choice([None, *range(30)]), " ".join(rng.choice(["A", "a", "b", "c,", "\u0130x"]) for _ in range(rng.randint(0, 30)))) for _ in range(60)] + [(5, None)]
+    known = [("a", 3), ("A  b", 2), ("a b", 1), ("b c", 4), ("c,a", 5), ("\u0130X a", 6), (None, 7), ("z", 8), ("", 9)]
+    key = lambda t: [m.lower() for m in re.findall(aliases.TOKEN, t or "")]
+    ids = {}
+    for a, i in known:
+        if key(a):
+            ids[tuple(key(a))] = min(i, ids.get(tuple(key(a)), i))
+    everywhere = sorted((str(d), at, len(a), i) for d, t in docs for a, i in ids.items() for at in range(len(key(t))) if tuple(key(t)[at : at + len(a)]) == a)
+    want = set()
+    for doc in {d for d, _ in docs}:
+        gone = set()
+        for _, at, a in sorted({(-len(" ".join(a)), at, a) for d, t in docs if d == doc for a in ids for at in range(len(key(t))) if tuple(key(t)[at : at + len(a)]) == a}):
+            span = set(range(at, at + len(a)))
+            if not span & gone:
+                gone |= span
+                want.add((str(doc), at, len(a), ids[a]))
+    frame, names = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(known, "alias string, id int")
+    assert sorted((str(r.doc_id), r.at, r.n, r.id) for r in aliases.candidates(frame, aliases.keyed(names)).collect()) == everywhere
+    found = aliases.alias_mentions(frame, names)
+    got = found.collect()
+    assert len(got) == len(want) and {(str(r.doc_id), r.at, r.n, r.id) for r in got} == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and "Exchange" not in plan[: plan.index("FlatMapCoGroups")]  # texts are dealt once, places stay where they are found
+
+
 NAMED = [("a", "PERSON", "Ann"), ("b", "PERSON", "Bob"), ("c", "ITEM", None)]
 TOLD = [("a", "met", "b", 0.5), ("a", "met", "x", 0.5), ("a", "met", "b", 0.9), ("c", "is", "a", 0.7), ("y", "saw", "b", 0.1)]
 
