@@ -126,12 +126,14 @@ def discriminated(similarity, same_type) -> F.col:
     return F.when(~same_type, row(True, 1.0)).when(similarity < 0.3, row(True, 0.9)).when(similarity < 0.5, row(True, 0.6)).otherwise(row(False, 0.8))
 
 
-def discriminated_pairs(senses: DataFrame, size: int = 1024, salts: int = 16) -> DataFrame:
+def discriminated_pairs(senses: DataFrame, size: int = 1024, salts: int = 16, most: int = 64) -> DataFrame:
     """a, b, different, confidence of every two senses (key, name, type, profile) of one name, a < b.
 
     Senses of equal name, type and profile are a class, kept as blocks of about ``size`` keys. Only blocks are shuffled and
     compared, once for all their keys; the pairs of keys are made where they leave the task, so nothing that is moved or held
-    grows with their number. The blocks of a name are dealt to ``salts`` tasks, which see all blocks of that name."""
+    grows with their number: of ``most`` keys and a block at a time, as Spark holds all that explodes from one row, and from all
+    matches of a row of a join that is compiled with the explode. The transform keeps the explodes out of the join's code. The
+    blocks of a name are dealt to ``salts`` tasks, which see all blocks of that name."""
     spark = senses.sparkSession
     rows = senses.where("name is not null").select("key", "name", F.struct("type", "profile").alias("k"))
     sizes = rows.groupBy("name", "k").agg(F.count("*").alias("n"))
@@ -144,9 +146,11 @@ def discriminated_pairs(senses: DataFrame, size: int = 1024, salts: int = 16) ->
     met = met.where(F.struct("k_a", "block_a") <= F.struct("k_b", "block_b")).withColumn("own", F.struct("k_a", "block_a") == F.struct("k_b", "block_b"))
     met = met.withColumns({"pa": F.col("k_a.profile"), "pb": F.col("k_b.profile")})
     told = met.select("own", "keys_a", "keys_b", discriminated(profile_similarity("pa", "pb"), F.col("k_a.type") == F.col("k_b.type")).alias("d"))
-    each = told.select("own", "d", F.explode("keys_a").alias("x"), "keys_b").select("own", "d", "x", F.explode("keys_b").alias("y"))
+    few = F.transform(F.sequence(F.lit(0), F.size("keys_a") - 1, F.lit(most)), lambda i: F.slice("keys_a", i + 1, F.lit(most)))
+    parts_a = told.select("own", "d.different", "d.confidence", "keys_b", F.explode(few).alias("xs"))
+    each = parts_a.select("own", "different", "confidence", "keys_b", F.explode("xs").alias("x")).select("own", "different", "confidence", "x", F.explode("keys_b").alias("y"))
     pairs = each.where(F.when(F.col("own"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d.different", "d.confidence")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "different", "confidence")
 
 
 def matching_sense(asked: DataFrame, senses: DataFrame, least: float = 0.7) -> DataFrame:

@@ -95,6 +95,21 @@ def test_discriminated_pairs_are_made_after_the_last_shuffle(spark):
     assert registry.discriminated_pairs(one).count() == 3000 * 2999 // 2
 
 
+def test_pairs_of_senses_are_not_held_by_the_join(spark, tmp_path):
+    none = F.array().cast("array<string>")
+    senses = spark.range(600).select(F.col("id").alias("key"), F.lit("n").alias("name"), (F.col("id") % 3).cast("string").alias("type"), F.struct(F.array(F.lit("a")).alias("words"), none.alias("descriptors"), none.alias("titles")).alias("profile"))
+    for most in (7, 64):
+        found = registry.discriminated_pairs(senses, 50, 3, most)
+        found.write.parquet(str(tmp_path / f"pairs{most}"))
+        got = spark.read.parquet(str(tmp_path / f"pairs{most}"))
+        assert got.distinct().count() == got.count() == 600 * 599 // 2 and got.where("a >= b or different = ((a - b) % 3 = 0)").count() == 0
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    code = {x: set(re.findall(rf"\*\((\d+)\) {x}", plan)) for x in ("SortMergeJoin", "Generate explode\\(keys_b")}
+    # What is compiled with a join is held for all matches of a row: here, all pairs of a block and its name.
+    assert all(code.values()) and not set.intersection(*code.values())
+
+
 def test_aliases_are_resolved_in_batches_of_any_size(spark):
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40)))) for i in range(60)]
